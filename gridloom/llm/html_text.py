@@ -219,16 +219,16 @@ class Page:
 
     def _headed(self) -> set[int]:
         """Header elements in an article that hold its first heading: part of the article, not of the page's frame."""
-        out = set()
+        out: set[int] = set()
         for i, tag in enumerate(self.tags):
             if tag == "h1":
-                k = self.parents[i]
+                over, k = set(), self.parents[i]
                 while k > 0 and self.tags[k] != "article":
                     if self.tags[k] == "header":
-                        out.add(k)
+                        over.add(k)
                     k = self.parents[k]
-                if k <= 0:
-                    out.clear()
+                if k > 0:
+                    out |= over
         return out
 
     def main_text(self, paths: list[str]) -> str:

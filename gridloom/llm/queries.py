@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, separators, va_file
+from . import html_text, mixing, packing, separators, suffix_dedup, va_file
 from .common import table
 
 
@@ -28,12 +28,16 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_text, op3_token_counts, op5_exact_top_k, op7_mix_sources, op10_pack_sequences)}
+    return {f.__name__: f for f in (op2_html_text, op3_token_counts, op5_exact_top_k, op7_mix_sources, op9_suffix_dedup, op10_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:

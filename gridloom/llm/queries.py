@@ -8,10 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, separators, suffix_dedup, va_file
+from . import html_text, mixing, near_dedup, packing, separators, suffix_dedup, va_file
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages"))
 
@@ -37,7 +41,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_text, op3_token_counts, op5_exact_top_k, op7_mix_sources, op9_suffix_dedup, op10_pack_sequences)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op5_exact_top_k, op7_mix_sources, op9_suffix_dedup, op10_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dedup, packing, separators, suffix_dedup, va_file
+from . import html_text, mixing, near_dedup, packing, quality, separators, suffix_dedup, va_file
 from .common import table
 
 
@@ -28,6 +28,13 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0, 5, change=lambda v: np.floor(256.0 * v))
 
 
+def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.learned(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, net).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,7 +48,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op5_exact_top_k, op7_mix_sources, op9_suffix_dedup, op10_pack_sequences)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op5_exact_top_k, op6_quality_score, op7_mix_sources, op9_suffix_dedup, op10_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dedup, packing, quality, separators, suffix_dedup, va_file
+from . import html_text, mixing, near_dedup, nn_descent, packing, quality, separators, suffix_dedup, va_file
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, 20)
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0, 5, change=lambda v: np.floor(256.0 * v))
 
@@ -48,7 +52,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op5_exact_top_k, op6_quality_score, op7_mix_sources, op9_suffix_dedup, op10_pack_sequences)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_nearest_neighbours, op5_exact_top_k, op6_quality_score, op7_mix_sources, op9_suffix_dedup, op10_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:

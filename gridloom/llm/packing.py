@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, dense_rank_in, slices, text_buffer
+from .common import SLICE_BYTES, Scratch, dense_rank_in, slices, text_buffer, trim
 
 #: Second lengths tried for each first length of a three-document pattern.
 TRIPLES = 16
@@ -33,19 +33,21 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int = 1
         encoder, end = tokens.word_encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            raw = memoryview(data)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE_BYTES // 2):
                 rows, piece, start, length, crc = [], [], [], [], []
-                texts = [bytes(raw[offsets[i] : offsets[i + 1]]) for i in range(a, b)]
-                for i, ids in enumerate(encoder.encode(texts), a):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+                ids, bounds = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                raw, bounds = memoryview(ids.astype("<u4").tobytes()), bounds.tolist()
+                for i in range(b - a):
+                    lo, hi = bounds[i], bounds[i + 1]
+                    for k, at in enumerate(range(lo, hi + 1, capacity)):
+                        stop = min(at + capacity, hi + 1)
+                        sum_ = zlib.crc32(raw[4 * at : 4 * min(stop, hi)])
+                        rows.append(a + i), piece.append(k), start.append(at - lo), length.append(stop - at), crc.append(zlib.crc32(end, sum_) if stop > hi else sum_)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -1,15 +1,24 @@
-"""Public tokenizers on Arrow batches: whole texts to flat id bytes."""
+"""Public tokenizers on Arrow batches: whole texts to flat ids."""
 
 from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import os
 
 import numpy as np
 
-#: Words whose ids a worker remembers; a full memory starts anew.
-MEMORY_WORDS = 250_000
+from .hashing import Rolling
+
+#: Atoms that a worker remembers; a full memory starts anew.
+MEMORY_ATOMS = 3_000_000
+SPACE, LETTER, SIGN = 0, 1, 2
+_KIND = np.full(256, SIGN, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -22,31 +31,92 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 
 
 class WordEncoder:
-    """Ids of a tokenizer that drops white space, by remembering the ids of each word between ASCII white space.
+    """Ids of a tokenizer that lowers case and drops white space, by remembering the ids of short atoms.
 
-    Such a tokenizer's pieces never reach across white space, so a text's ids are the ids of its words in turn.
+    Such a tokenizer's pieces never reach across white space, so a text's ids are those of its words in turn. Pieces don't
+    reach from Latin letters into ASCII signs either, so words of only these are cut there too; words with an apostrophe, a
+    special id's opening or other characters stay whole. Atoms are found, hashed and looked up a slice of texts at a time.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        words = [t.split() for t in texts]
-        known = self.known
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in known))
-        if len(known) + len(new) > MEMORY_WORDS:
-            known = self.known = {}
-            new = list({w for ws in words for w in ws})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    @staticmethod
+    def atoms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with plain words in lower case, atom starts, atom ends)."""
+        n = len(data)
+        kind = _KIND[data]
+        before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        before[1:], after[:-1] = data[:-1], data[1:]
+        begin = np.zeros(n + 1, bool)
+        begin[offsets] = True
+        begin = begin[:n]
+        solid = kind != SPACE
+        turn = np.ones(n, bool)
+        turn[1:] = kind[1:] != kind[:-1]
+        space_before = np.ones(n, bool)
+        space_before[1:] = kind[:-1] == SPACE
+        word = solid & (space_before | begin)
+        sign = lambda b: (b == 0x97) | (b == 0xB7)  # noqa: E731  the two that aren't letters
+        latin = ((data == 0xC3) & ~sign(after)) | ((before == 0xC3) & ~sign(data))
+        odd = (data == 0x27) | ((data >= 0x80) & ~latin) | ((data == 0x3C) & (after == 0x7C))
+        number = np.cumsum(word) - 1
+        whole = np.zeros(int(number[-1]) + 2 if n else 1, bool)
+        whole[number[odd & solid]] = True
+        kept = whole[number] & solid
+        low = np.where(kept, data, _LOWER[data])
+        start = word | (solid & turn & ~kept)
+        end = np.zeros(n, bool)
+        if n:
+            end[:-1] = solid[:-1] & (start[1:] | ~solid[1:])
+            end[-1] = solid[-1]
+        return low, np.flatnonzero(start), np.flatnonzero(end) + 1
+
+    def _learn(self, new: np.ndarray, atoms: list[str]) -> None:
+        counts, flat = [], []
+        for i in range(0, len(atoms), 20_000):
+            for e in self.tokenizer.encode_batch_fast(atoms[i : i + 20_000], add_special_tokens=False):
+                ids = e.ids
+                counts.append(len(ids))
+                flat.append(ids)
+        ids = np.fromiter(itertools.chain.from_iterable(flat), np.uint32, sum(counts))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        counts = np.array(counts, np.int32)
+        starts = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        at = np.searchsorted(self.keys, new)
+        self.keys, self.starts, self.counts = np.insert(self.keys, at, new), np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets into them) of the texts data[offsets[i]:offsets[i+1]]."""
+        low, start, end = self.atoms(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        keys, first, inverse = np.unique(Rolling(low).at(start, end), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > MEMORY_ATOMS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            raw = low.tobytes()
+            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        count = self.counts[at][inverse].astype(np.int64)
+        ahead = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(count, out=ahead[1:])
+        where = np.repeat(self.starts[at][inverse] - ahead[:-1], count)
+        where += np.arange(len(where))
+        return self.pool[where], ahead[np.searchsorted(start, offsets)]
 
 
 @functools.lru_cache(maxsize=4)

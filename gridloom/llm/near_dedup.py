@@ -6,10 +6,9 @@ stops once its next arrival comes later than every register's (early termination
 the probability Jaccard similarity of the two sets. Bands of registers give candidates; these are verified with the exact
 similarity of the whole sets, and verified links make classes.
 
-Texts with equal weighted sets are one node from the start. In a bucket, nodes are compared with a pivot, not with each
-other. Nodes of a bucket that are still in different components then get further pivots, the nearest to the last one first,
-while many pairs are open; when few are left they are all verified. 1 - similarity is a metric, so pairs whose similarities
-to a common pivot differ by more than 1 - threshold can't be links and are left out. No candidate link is lost.
+Texts with equal weighted sets are one node from the start. In a bucket, nodes are compared with its least node, not with each
+other. Where a bucket's nodes are then still in different components, those outside the largest one are compared with all
+others, block by block, so no link between nodes that share a bucket is lost and no list of all pairs is made.
 
 Defined cases: null, empty and blank texts have no shingles and are classes of their own; texts of fewer than five words are
 one shingle; rows that repeat are members of one class; a null doc_id is kept, and a class is named by its least non-null id;
@@ -35,9 +34,8 @@ BANDS, ROWS = 24, 6
 THRESHOLD = 0.8
 #: Bits of a shingle's hash.
 BITS = 44
-ROUNDS = 12
-#: Open pairs per bucket member up to which all are verified.
-OPEN = 2
+#: Bytes of sets on either side of a block of comparisons.
+BLOCK_BYTES = 4 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,14 +187,75 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a long, b long, sim double")
 
 
+def _family_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between members of one bucket that are still in different components; None if no bucket has such.
+
+    Buckets that share members make a family. All its members outside its largest component are compared with all its
+    members of other components, in blocks of bounded bytes: a member's set is sent once for each block it meets, and only
+    links leave a block.
+    """
+    rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+    held = scratch.keep(rooted.join(open_, "bucket").select("node", "pivot", "root"))
+    if held.isEmpty():
+        return None
+    family = components(held.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), scratch)
+    nodes = held.select("node", "root").distinct().join(family.select("node", F.col("root").alias("family")), "node", "left").withColumn("family", F.coalesce("family", "node"))
+    full = scratch.keep(nodes.join(sets, "node"))
+    sizes = full.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("elements")).alias("bytes"))
+    whole = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("big"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", -F.col("root"))).alias("big_bytes"))
+    part = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_BYTES)).cast("int")
+    whole = whole.select("family", "big", part(F.col("bytes") - F.col("big_bytes")).alias("zs"), part(F.col("bytes")).alias("xs"))
+    dealt = full.join(whole, "family").withColumn("h", F.xxhash64("node"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    z = dealt.where("root <> big").withColumn("z", F.pmod("h", "zs").cast("int")).withColumn("x", F.explode(every(F.col("xs")))).withColumn("asks", F.lit(True))
+    x = dealt.withColumn("x", F.pmod("h", "xs").cast("int")).withColumn("z", F.explode(every(F.col("zs")))).withColumn("asks", F.lit(False))
+    columns = ["family", "z", "x", "asks", "node", "root", "elements", "weights"]
+
+    def run(block: pa.Table) -> pa.Table:
+        asks = block.column("asks").to_numpy(zero_copy_only=False)
+        node, root = (block.column(c).to_numpy() for c in ("node", "root"))
+        sets_ = [(np.frombuffer(e.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.int32)) for e, w in zip(block.column("elements"), block.column("weights"), strict=True)]
+        others = np.flatnonzero(~asks)
+        out: list[tuple[int, int]] = []
+        if len(others) and asks.any():
+            count = np.array([len(sets_[i][0]) for i in others])
+            element, weight = np.concatenate([sets_[i][0] for i in others]), np.concatenate([sets_[i][1] for i in others])
+            owner = np.repeat(np.arange(len(others)), count)
+            total = np.bincount(owner, weight, len(others))
+            plain = np.array([bool((sets_[i][1] == 1).all()) for i in others])
+            order = np.argsort(element, kind="stable")
+            element, weight, owner = element[order], weight[order], owner[order]
+            for i in np.flatnonzero(asks):
+                e, w = sets_[i]
+                lo, hi = np.searchsorted(element, e, "left"), np.searchsorted(element, e, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                o = owner[at]
+                mine, theirs = np.bincount(o, np.repeat(w, n), len(others)), np.bincount(o, weight[at], len(others))
+                # the similarity is at most either set's share of weight in common
+                may = (mine >= threshold * w.sum() - 1e-9) & (theirs >= threshold * total - 1e-9) & (root[others] != root[i])
+                done: set[int] = set()
+                flat = bool((w == 1).all())
+                for j in np.flatnonzero(may):
+                    k = others[j]
+                    if int(root[k]) not in done:
+                        sim = mine[j] / (len(e) + total[j] - mine[j]) if flat and plain[j] else similarity(e, w, *sets_[k])
+                        if sim >= threshold:
+                            done.add(int(root[k]))
+                            out.append((int(node[i]), int(node[k])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return z.select(columns).unionByName(x.select(columns)).groupBy("family", "z", "x").applyInArrow(run, "a long, b long")
+
+
 def _pair(x, y):
     return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, class_size: one row per row of docs (doc_id, text); class_id is the class's least doc_id."""
-    scratch = Scratch(docs.sparkSession, "near")
-    texts = docs.select("doc_id", "text").withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(17), "text", "doc_id"))
+def _rooted(texts: DataFrame, threshold: float, words: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, k1, k2, root: the class of every row of texts (doc_id, k1, k2, text)."""
+    scratch = Scratch(texts.sparkSession, "near")
     sigs = scratch.keep(signed(texts, words, bands, rows).withColumn("uid", F.monotonically_increasing_id()))
     full = sigs.where(F.col("bands").isNotNull())
     # nodes: one per distinct weighted set, named by its least uid
@@ -211,41 +270,34 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
 
     # every member with its bucket's pivot
     todo = buckets.where("node <> pivot").select(_pair(F.col("pivot"), F.col("node")).alias("p")).select("p.*").distinct()
-    tried = scratch.keep(_verified(todo, sets))
-    state = buckets
-    for round_ in range(ROUNDS + 1):
-        roots = components(tried.where(F.col("sim") >= threshold).select("a", "b"), scratch)
-        rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = scratch.keep(rooted(state))
-        per = spread.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("roots > 1")
-        open_ = scratch.keep(per)
-        r = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        if not r.n:
-            break
-        known = tried.select("a", "b", "sim")
-        held = spread.join(open_.select("bucket"), "bucket")
-        p = _pair(F.col("pivot"), F.col("node"))
-        near = held.withColumn("p", p).select("bucket", "node", "pivot", "root", F.col("p.a").alias("a"), F.col("p.b").alias("b")).join(known, ["a", "b"], "left")
-        near = scratch.keep(near.select("bucket", "node", "pivot", "root", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(F.coalesce("sim", F.lit(0.0))).alias("sim")))
-        last = r.pairs <= max(10_000, OPEN * r.n) or round_ == ROUNDS
-        if last:
-            x, y = near.alias("x"), near.alias("y")
-            cond = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - threshold + 1e-9)
-            new = x.join(y, cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        else:
-            # the next pivot: the nearest to the last one that hasn't been a pivot of this bucket
-            best = near.where("node <> pivot").groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("next"), F.col("root").alias("next_root"), F.col("sim").alias("next_sim")), F.struct("sim", -F.col("node"))).alias("z")).select("bucket", "z.*")
-            step = near.join(best, "bucket")
-            new = step.where((F.col("root") != F.col("next_root")) & (F.abs(F.col("sim") - F.col("next_sim")) <= 1 - threshold + 1e-9)).select(_pair(F.col("next"), F.col("node")).alias("p")).select("p.*").distinct()
-            state = scratch.keep(step.where("node <> pivot").select("bucket", "node", F.col("next").alias("pivot")).unionByName(near.where("node = pivot").join(best, "bucket").select("bucket", "node", F.col("next").alias("pivot"))))
-        new = new.join(known, ["a", "b"], "left_anti")
-        more = scratch.keep(_verified(new, sets))
-        tried = scratch.keep(tried.unionByName(more))
-        if last:
-            roots = components(tried.where(F.col("sim") >= threshold).select("a", "b"), scratch)
-            break
+    links = scratch.keep(_verified(todo, sets).where(F.col("sim") >= threshold).select("a", "b"))
+    roots = components(links, scratch)
+    more = _family_links(buckets, roots, sets, threshold, scratch)
+    if more is not None:
+        roots = components(links.unionByName(more), scratch)
 
     nodes_of = sigs.join(kinds, ["d1", "d2"], "left").withColumn("node", F.coalesce(F.when(F.col("bands").isNotNull(), F.col("node")), F.col("uid")))
-    member = nodes_of.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    return nodes_of.select("doc_id", "k1", "k2", "node").join(roots, "node", "left").select("doc_id", "k1", "k2", F.coalesce("root", "node").alias("root"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds k1, k2: 128 bits of a row's doc_id and text."""
+    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(17), "text", "doc_id"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id, class_size: one row per row of docs (doc_id, text); class_id is the class's least doc_id."""
+    member = _rooted(keyed(docs.select("doc_id", "text")), threshold, words, bands, rows)
     named = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return member.join(named, "root").select("doc_id", "class_id", "class_size")
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs with one row of each class: that of the least doc_id. Columns are those of ``docs``."""
+    member = _rooted(keyed(docs.select("doc_id", "text")), threshold, words, bands, rows)
+    each = member.groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    first = each.groupBy("root").agg(F.min_by(F.struct("k1", "k2", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("z")).select(F.col("z.k1").alias("__k1"), F.col("z.k2").alias("__k2"), F.col("z.copies").alias("__copies"))
+    own = docs.withColumn("__h1", F.xxhash64("doc_id", "text")).withColumn("__h2", F.xxhash64(F.lit(17), "text", "doc_id"))
+    kept = own.join(first, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")))
+    alike = kept.where("__copies > 1").dropDuplicates(["__h1", "__h2"])
+    return kept.where("__copies = 1").unionByName(alike).select(*[f"`{c}`" for c in docs.columns])

@@ -3,11 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, packing
+from gridloom.llm import mixing, near_dedup, packing, quality, suffix_dedup
 from gridloom.llm.common import Scratch, table
 
 
+#: Bytes of a repeated passage that the pipeline takes out: fewer than 50 words have.
+PASSAGE_BYTES = 240
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    net = quality.learned(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, net, "__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_dedup.representatives(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that occur elsewhere too."""
+    return suffix_dedup.strip_repeats(docs, PASSAGE_BYTES)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeat_documents(docs)
 
@@ -16,7 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+STAGES = [("quality_classifier", keep_quality), ("near_dedup", drop_near_copies), ("suffix_dedup", drop_repeats), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
 ORACLE_SQL = None
 
 

@@ -240,49 +240,81 @@ def covered(docs: DataFrame, length: int, core: int, scratch: Scratch) -> DataFr
     return whole.unionByName(twice).unionByName(found)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds k1, k2: 128 bits of a row's doc_id and text; rows that agree in both are alike in every result."""
-    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(17), "text", "doc_id"))
-
-
-def remove_repeats(docs: DataFrame, min_bytes: int = 400, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept`` bytes) of docs (doc_id, text)."""
+def _joined(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """docs with ``__ranges``: the covered ranges of each row's text, null where there are none."""
     length, core = min_bytes, max(4, min_bytes // 4)
     if length < 8:
         raise ValueError("min_bytes must be at least 8")
-    spark = docs.sparkSession
-    texts = keyed(docs.select("doc_id", "text")).select("k1", "k2", "doc_id", "text")
-    ranges = covered(texts, length, core, Scratch(spark, "repeats"))
-    per_doc = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    joined = texts.join(per_doc, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
+    own = docs.withColumn("__k1", F.xxhash64("doc_id", "text")).withColumn("__k2", F.xxhash64(F.lit(17), "text", "doc_id"))
+    texts = own.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text")
+    ranges = covered(texts, length, core, Scratch(docs.sparkSession, "repeats"))
+    per_doc = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("__ranges"))
+    return own.join(per_doc, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").drop("__k1", "__k2", "k1", "k2")
+
+
+def _kept(data: np.ndarray, offsets: np.ndarray, listed: pa.Array) -> Iterator[tuple[np.ndarray | None, memoryview]]:
+    """Per text: which bytes are covered (None: none), and its bytes."""
+    counts = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = listed.flatten()
+    start, end = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end"))
+    raw, at = memoryview(data), 0
+    for i, n in enumerate(counts):
+        text = raw[offsets[i] : offsets[i + 1]]
+        gone = None
+        if n:
+            edge = np.zeros(len(text) + 1, np.int32)
+            np.add.at(edge, start[at : at + n], 1)
+            np.subtract.at(edge, end[at : at + n], 1)
+            gone = np.cumsum(edge[:-1]) > 0
+            at += n
+        yield gone, text
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs (doc_id, text)."""
+    joined = _joined(docs.select("doc_id", "text"), min_bytes).select("doc_id", "text", "__ranges")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            raw = memoryview(data)
-            listed = batch.column(2)
-            counts = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = listed.flatten()
-            start, end = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end"))
-            at, removed, spans, digest, kept_all = 0, [], [], [], []
-            for i, n in enumerate(counts):
-                text = raw[offsets[i] : offsets[i + 1]]
-                if n:
-                    edge = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(edge, start[at : at + n], 1)
-                    np.subtract.at(edge, end[at : at + n], 1)
-                    at += n
-                    gone = np.cumsum(edge[:-1]) > 0
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                    spans.append(int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
-                else:
-                    kept = text
-                    spans.append(0)
+            removed, spans, digest = [], [], []
+            for gone, text in _kept(data, offsets, batch.column(2)):
+                kept = text if gone is None else np.frombuffer(text, np.uint8)[~gone].tobytes()
+                spans.append(0 if gone is None else int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
                 removed.append(len(text) - len(kept)), digest.append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    kept_all.append(bytes(kept))
-            cols = [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept_all, pa.binary())] * with_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+def strip_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
+    """docs without the covered bytes of their texts; a character that loses a byte goes whole.
+
+    A text of which nothing is left goes as a row, one that was empty before stays. Columns are those of ``docs``; n_chars,
+    where it is one, counts the new text.
+    """
+    names = docs.columns
+    joined = _joined(docs, min_bytes).select(*[f"`{c}`" for c in names], "__ranges")
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(at))
+            texts: list[bytes | None] = []
+            for i, (gone, text) in enumerate(_kept(data, offsets, batch.column(len(names)))):
+                if gone is not None:
+                    new = np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+                    texts.append(new if new.strip() else None)
+                else:
+                    texts.append(batch.column(at)[i].as_py())
+            full = pa.array(texts, pa.string())
+            stay = pa.array([t is not None or g == 0 for t, g in zip(texts, batch.column(len(names)).value_lengths().fill_null(0).to_pylist(), strict=True)])
+            cols = [full if j == at else batch.column(j) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(stay)
+
+    out = joined.mapInArrow(run, docs.schema)
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return out

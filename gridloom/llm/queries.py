@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dedup, nn_descent, packing, quality, separators, suffix_dedup, va_file
+from . import html_text, license_scan, mixing, near_dedup, nn_descent, packing, quality, separators, suffix_dedup, va_file
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_nearest_neighbours, op5_exact_top_k, op6_quality_score, op7_mix_sources, op9_suffix_dedup, op10_pack_sequences)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_nearest_neighbours, op5_exact_top_k, op6_quality_score, op7_mix_sources, op8_license_scan, op9_suffix_dedup, op10_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -146,19 +146,32 @@ class Index:
         """(text, template, first word, word behind the last, containment) of every place that holds a template."""
         shingles, bounds = text_shingles(data, offsets)
         out = []
+        found = self.candidates(shingles, bounds).tolist()
+        i = 0
         key, reach = None, 0
-        for text, t, start in self.candidates(shingles, bounds).tolist():
+        while i < len(found):
+            text, t, start = found[i]
+            size, wanted = len(self.shingles[t]), self.sets[t]
             if (text, t) != key:
-                key, reach = (text, t), -1
+                key, reach = (text, t), 0
             own = shingles[bounds[text] : bounds[text + 1]]
-            size = len(self.shingles[t])
             slack = max(2, size // 4)
-            lo, hi = max(0, start - slack, reach), min(len(own), start + size + slack)
-            held = [i for i, s in enumerate(own[lo:hi].tolist(), lo) if s in self.sets[t]]
-            share = len({int(own[i]) for i in held}) / len(self.sets[t])
-            if share >= THRESHOLD:
+            best: tuple[float, list[int]] = (0.0, [])
+            while i < len(found) and found[i][:2] == [text, t] and found[i][2] < start + size:  # the starts of one place
+                lo, hi = max(0, found[i][2] - slack, reach), min(len(own), found[i][2] + size + slack)
+                held = [j for j, x in enumerate(own[lo:hi].tolist(), lo) if x in wanted]
+                share = len({int(own[j]) for j in held}) / len(wanted)
+                if share > best[0]:
+                    best = (share, held)
+                i += 1
+            if best[0] >= THRESHOLD:
+                held = best[1]
+                while own[held[-1]] in own[held[:-1]]:  # the ends repeat what the place holds already: a neighbouring copy's
+                    held = held[:-1]
+                while own[held[0]] in own[held[1:]]:
+                    held = held[1:]
                 reach = held[-1] + 1
-                out.append((text, self.names[t], held[0], held[-1] + WORDS, share))
+                out.append((text, self.names[t], held[0], held[-1] + WORDS, best[0]))
         return out
 
 

@@ -19,7 +19,7 @@ class Rolling:
     @classmethod
     def grow(cls, n: int) -> None:
         if len(cls.up) < n:
-            n = max(n, SLICE_BYTES // 2, min(2 * len(cls.up), 4 * SLICE_BYTES))
+            n = max(n, SLICE_BYTES // 4, min(2 * len(cls.up), SLICE_BYTES))
             one = np.full(n, _MULTIPLIER, np.uint64)
             back = np.full(n, pow(_MULTIPLIER, -1, 2**64), np.uint64)
             one[0] = back[0] = 1

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, text_buffer
+from .common import SLICE_BYTES, Scratch, slices, text_buffer, trim
 from .components import components
 from .hashing import Rolling, mixed
 from .tokens import _KIND, _LOWER, SPACE
@@ -62,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     left = bounds[row + 1] - np.arange(len(h))
     for j in range(words):  # words beyond a short text's end add nothing
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - j] = h[j:]
+        part[: max(0, len(h) - j)] = h[j:]
         total += np.where(left > j, part * np.uint64(2 * 0x1F3D5B79 * (j + 1) + 1), np.uint64(0))
         total = (total << np.uint64(7)) ^ (total >> np.uint64(57)) if j < words - 1 else total
     keep = (left >= words) | ((np.arange(len(h)) == bounds[row]) & (count[row] < words))
@@ -123,7 +123,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         spread = np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             data, offsets = text_buffer(batch.column(3))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE_BYTES // 4):
                 row, element, weight = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 n = b - a
                 sig = signatures(row, element, weight, n, bands * rows)
@@ -134,6 +134,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.ravel()))
                 lists = pa.compute.if_else(pa.array(empty), pa.scalar(None, lists.type), lists)
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, n) for j in range(3)), pa.array(d1), pa.array(d2), lists], names=["doc_id", "k1", "k2", "d1", "d2", "bands"])
+        trim()
 
     import pyarrow.compute  # noqa: F401
 
@@ -160,13 +161,14 @@ def _sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE_BYTES // 4):
                 row, element, weight = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 cut = np.searchsorted(row, np.arange(b - a + 1)).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([element[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([weight[x:y].astype(np.int32).tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary())],
                     names=["node", "elements", "weights"],
                 )
+        trim()
 
     texts = docs.join(nodes, ["k1", "k2"]).select("node", "text")
     return texts.mapInArrow(run, "node long, elements binary, weights binary")
@@ -181,6 +183,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for ea, wa, eb, wb in zip(*(batch.column(j) for j in range(2, 6)), strict=True):
                 sims.append(similarity(np.frombuffer(ea.as_buffer(), np.uint64), np.frombuffer(wa.as_buffer(), np.int32), np.frombuffer(eb.as_buffer(), np.uint64), np.frombuffer(wb.as_buffer(), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+        trim()
 
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, slices, text_buffer
+from .common import SLICE_BYTES, Scratch, slices, task_width, text_buffer, trim
 from .hashing import Rolling, mixed
 
 HOT = 20_000
-#: Contexts of one batch of the index family.
-BATCH = 1000
+#: Contexts of one batch of the index family, and of one shard on average.
+BATCH, SHARD = 1000, 4000
+#: Bytes of text that one step of the anchor scan handles.
+STEP = SLICE_BYTES // 4
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,14 +67,14 @@ def find_anchors(data: np.ndarray, ends: np.ndarray, length: int, core: int, fir
 def _anchor_rows(data: np.ndarray, offsets: np.ndarray, length: int, core: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, place, context start, context end, anchor hash, context hash), places within documents."""
     side = length - core
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, STEP):
         size = int(offsets[b] - offsets[a])
         if size < length:
             continue
-        if b - a > 1 or size <= 2 * SLICE_BYTES:
+        if b - a > 1 or size <= 2 * STEP:
             parts = [(0, size, 0, size)]
         else:  # one long text: overlapping pieces
-            parts = [(max(0, at - length), min(size, at + SLICE_BYTES + 2 * length), at, min(size, at + SLICE_BYTES)) for at in range(0, size, SLICE_BYTES)]
+            parts = [(max(0, at - length), min(size, at + STEP + 2 * length), at, min(size, at + STEP)) for at in range(0, size, STEP)]
         seen = -1
         for lo, hi, first, last in parts:
             part = data[offsets[a] + lo : offsets[a] + hi]
@@ -102,6 +104,7 @@ def anchors(docs: DataFrame, length: int, core: int) -> DataFrame:
             for row, place, start, end, h, c in _anchor_rows(data, offsets, length, core):
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(h), pa.array(c)], names=["k1", "k2", "place", "start", "end", "h", "c"])
+        trim()
 
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place int, start int, end int, h long, c long")
 
@@ -190,7 +193,7 @@ def _cut_contexts(needed: DataFrame, docs: DataFrame, length: int, core: int) ->
     return joined.mapInArrow(run, "shard long, h long, k1 long, k2 long, place int, start int, single boolean, context binary")
 
 
-def _family_matches(contexts: DataFrame, length: int) -> DataFrame:
+def _family_matches(contexts: DataFrame, length: int, shards: int) -> DataFrame:
     """k1, k2, start, end of the covered ranges of single contexts, found by one index family per shard.
 
     A window's key holds its fingerprint, the anchor's and its distance from the anchor, so that one place of a document,
@@ -213,6 +216,7 @@ def _family_matches(contexts: DataFrame, length: int) -> DataFrame:
                 seat = mixed(h.to_numpy().view(np.uint64))[owner] + (place[owner] - start[owner] - inner).astype(np.uint64)
                 family.add(len(n), mixed(rolling.at(where, where + length) ^ mixed(seat)), owner.astype(np.int32), inner.astype(np.int32))
                 kept.append((k1, k2, start, single.to_numpy(zero_copy_only=False).astype(bool)))
+        family.levels.clear()
         at = 0
         for k1, k2, start, single in kept:
             low, high = family.low[at : at + len(start)], family.high[at : at + len(start)]
@@ -220,8 +224,9 @@ def _family_matches(contexts: DataFrame, length: int) -> DataFrame:
             good = np.flatnonzero(single & (high >= 0))
             rows = pa.array(good)
             yield pa.RecordBatch.from_arrays([k1.take(rows), k2.take(rows), pa.array((start[good] + low[good]).astype(np.int32)), pa.array((start[good] + high[good] + length).astype(np.int32))], names=["k1", "k2", "start", "end"])
+        trim()
 
-    return contexts.repartition("shard").select("h", "k1", "k2", "place", "start", "single", "context").mapInArrow(run, "k1 long, k2 long, start int, end int")
+    return contexts.repartition(shards, "shard").select("h", "k1", "k2", "place", "start", "single", "context").mapInArrow(run, "k1 long, k2 long, start int, end int")
 
 
 def covered(docs: DataFrame, length: int, core: int, scratch: Scratch) -> DataFrame:
@@ -236,7 +241,8 @@ def covered(docs: DataFrame, length: int, core: int, scratch: Scratch) -> DataFr
     twice = varied.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("k1", "k2", "start", "end")
     per_anchor = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"))
     needed = kinds.join(per_anchor, "h").select("one.*", "h", (F.col("n") == 1).alias("single"), "contexts")
-    found = _family_matches(_cut_contexts(needed, docs, length, core), length)
+    shards = max(task_width(docs.sparkSession), -(-kinds.count() // SHARD))
+    found = _family_matches(_cut_contexts(needed, docs, length, core), length, shards)
     return whole.unionByName(twice).unionByName(found)
 
 
@@ -248,8 +254,8 @@ def _joined(docs: DataFrame, min_bytes: int) -> DataFrame:
     own = docs.withColumn("__k1", F.xxhash64("doc_id", "text")).withColumn("__k2", F.xxhash64(F.lit(17), "text", "doc_id"))
     texts = own.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text")
     ranges = covered(texts, length, core, Scratch(docs.sparkSession, "repeats"))
-    per_doc = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("__ranges"))
-    return own.join(per_doc, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").drop("__k1", "__k2", "k1", "k2")
+    per_doc = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("__ranges")).select(F.col("k1").alias("__p1"), F.col("k2").alias("__p2"), "__ranges")
+    return own.join(per_doc, (F.col("__k1") == F.col("__p1")) & (F.col("__k2") == F.col("__p2")), "left").drop("__k1", "__k2", "__p1", "__p2")
 
 
 def _kept(data: np.ndarray, offsets: np.ndarray, listed: pa.Array) -> Iterator[tuple[np.ndarray | None, memoryview]]:
@@ -299,19 +305,21 @@ def strip_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(at))
-            texts: list[bytes | None] = []
-            for i, (gone, text) in enumerate(_kept(data, offsets, batch.column(len(names)))):
-                if gone is not None:
-                    new = np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
-                    texts.append(new if new.strip() else None)
-                else:
-                    texts.append(batch.column(at)[i].as_py())
-            full = pa.array(texts, pa.string())
-            stay = pa.array([t is not None or g == 0 for t, g in zip(texts, batch.column(len(names)).value_lengths().fill_null(0).to_pylist(), strict=True)])
-            cols = [full if j == at else batch.column(j) for j in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(stay)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                data, offsets = text_buffer(batch.column(at))
+                texts: list[bytes | str | None] = []
+                for i, (gone, text) in enumerate(_kept(data, offsets, batch.column(len(names)))):
+                    if gone is not None:
+                        new = np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+                        texts.append(new if new.strip() else None)
+                    else:
+                        texts.append(batch.column(at)[i].as_py())
+                full = pa.array(texts, pa.string())
+                stay = pa.array([t is not None or not g for t, g in zip(texts, batch.column(len(names)).value_lengths().fill_null(0).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([full if j == at else batch.column(j) for j in range(len(names))], names=names).filter(stay)
+        trim()
 
     out = joined.mapInArrow(run, docs.schema)
     if "n_chars" in names:

@@ -89,12 +89,14 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of ``docs``; n_chars, where it is one, counts the new text.
     """
-    mixed = mix(docs, **options)
+    thin = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    mixed = mix(thin, **options)
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     rows = mixed.where(times > 0).withColumn("__k", F.explode(F.sequence(F.lit(1), times.cast("int"))))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("__k") - 1) * F.col("size"))
+    rows = rows.withColumn("__words", F.least(F.col("size"), F.col("taken") - (F.col("__k") - 1) * F.col("size")))
     part = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, cast(__words as int)), '')")
-    rows = rows.withColumn("__words", words).withColumn("text", F.when(F.col("__words") == F.col("size"), F.col("text")).otherwise(part))
+    text = F.when(F.col("__words") == F.col("size"), F.col("text")).otherwise(part)
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("__words") == F.col("size"), F.col("__row")["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("__row")[c].alias(c) for c in docs.columns])

@@ -108,9 +108,9 @@ def _pairs(scratch: Scratch, approx: DataFrame, queries: DataFrame, width: int)
         return approx.withColumn("one", F.lit(1)).join(F.broadcast(blocks.withColumn("one", F.lit(1))), "one")
     ids = scratch.keep(blocks.select("block"))
     dealt = approx.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(SALTS)))
-    keys = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    keys = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     chunks = dealt.join(keys, "salt")
-    return chunks.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["block", "salt"])
+    return chunks.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["block", "salt"])
 
 
 def _scored(pairs: DataFrame, vectors: DataFrame, width: int) -> DataFrame:

@@ -22,6 +22,9 @@ def window_of(ds: Raster, row: int, col: int, height: int, width: int) -> Raster
     keep = F.col("row").between(row, row + height - 1) & F.col("col").between(col, col + width - 1)
     if {"tile_row", "tile_col"} <= set(base.columns):  # the optimiser can't derive these from row and col
         keep = keep & F.col("tile_row").between(row // TILE, (row + height - 1) // TILE) & F.col("tile_col").between(col // TILE, (col + width - 1) // TILE)
+    for key in (c for c in base.columns if c.startswith("__key_")):  # a row-major pixel number: whole grid rows are a range
+        span = int(key.removeprefix("__key_"))
+        keep = keep & (F.col(key) >= row * span) & (F.col(key) < (row + height) * span)
     bands = [e.alias(f"b{i}") for i, e in enumerate(ds._exprs, 1)]
     df = base.where(keep).select((F.col("row") - row).cast("int").alias("row"), (F.col("col") - col).cast("int").alias("col"), *bands)
     return ds.replaced(df, height=height, width=width, transform=ds.meta.transform.shifted(col, row))

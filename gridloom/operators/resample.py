@@ -92,7 +92,7 @@ def _axis(method: str, at: Column, num: float, den: float, shift: float, size: i
 def whole(spark: SparkSession, height: int, width: int) -> DataFrame:
     """row, col of every pixel of a grid."""
     n = spark.range(height * width)
-    return n.select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    return n.select(F.expr(f"cast(id div {width} as int)").alias("row"), (F.col("id") % width).cast("int").alias("col"))
 
 
 def finish(value: Column, dtype: str) -> Column:

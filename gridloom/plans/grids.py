@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def grid(df: DataFrame, key: str, width: int, bands: list[Column], dtype: str, nodata: float | None = None, names: tuple = (), transform: Affine = PLACE, crs: str = CRS, height: int | None = None) -> Raster:
     height = height or -(-df.count() // width)  # from the files' footers
     meta = RasterMeta(height, width, dtype, len(bands), transform, crs, nodata, names)
-    return Raster.from_table(df, meta, bands, row=F.floor(F.col(key) / width), col=F.col(key) % width)
+    return Raster.from_table(df, meta, bands, key=key)
 
 
 def events(spark: SparkSession, d: str, **options) -> Raster:

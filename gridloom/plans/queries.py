@@ -579,14 +579,14 @@ def composite_rgb(spark, d):
 
 @query("SELECT CAST(l_orderkey // 100 AS INTEGER) AS row, CAST(l_orderkey % 100 AS INTEGER) AS col, " + r6("quantile_cont(l_quantity, 0.5)") + " AS quantity, " + r6("quantile_cont(l_extendedprice, 0.5)", 3) + " AS price FROM lineitem GROUP BY 1, 2")
 def time_median_composite(spark, d):
-    seen = grids.table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 100).cast("int").alias("row"), (F.col("l_orderkey") % 100).cast("int").alias("col"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    seen = grids.table(spark, d, "lineitem").select(F.expr("cast(l_orderkey div 100 as int)").alias("row"), (F.col("l_orderkey") % 100).cast("int").alias("col"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
     c = analysis.composite_observations(seen, "median", ["quantity", "price"])
     return c.select("row", "col", rounded("quantity").alias("quantity"), rounded("price", 3).alias("price"))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, CAST(user_id // 20 AS INTEGER) AS row, CAST(user_id % 20 AS INTEGER) AS col, count(*) AS n, count(CASE WHEN event_type <> 'error' THEN value END) AS n_valid, " + r6("avg(CASE WHEN event_type <> 'error' THEN CAST(CAST(value AS FLOAT) AS DOUBLE) END)", 4) + " AS mean FROM events GROUP BY 1, 2, 3")
 def windowed_composite(spark, d):
-    e = grids.table(spark, d, "events").select(F.floor(F.col("user_id") / 20).cast("int").alias("row"), (F.col("user_id") % 20).cast("int").alias("col"), "ts", F.when(F.col("event_type") != "error", F.col("value").cast("float")).alias("value"))
+    e = grids.table(spark, d, "events").select(F.expr("cast(user_id div 20 as int)").alias("row"), (F.col("user_id") % 20).cast("int").alias("col"), "ts", F.when(F.col("event_type") != "error", F.col("value").cast("float")).alias("value"))
     w = streaming.windowed_composite(e)
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "row", "col", "n", "n_valid", rounded("mean", 4).alias("mean"))
 

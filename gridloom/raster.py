@@ -40,12 +40,19 @@ class Raster:
     # -- construction --
 
     @classmethod
-    def from_table(cls, df: DataFrame, meta: RasterMeta, bands: list[str | Column] | None = None, row: str | Column = "row", col: str | Column = "col") -> Raster:
-        """Pixels of a wide table; stored nodata become NULL. Every pixel of the grid has one row."""
+    def from_table(cls, df: DataFrame, meta: RasterMeta, bands: list[str | Column] | None = None, row: str | Column = "row", col: str | Column = "col", key: str | None = None) -> Raster:
+        """Pixels of a wide table; stored nodata become NULL. Every pixel of the grid has one row.
+
+        ``key``: a column that counts pixels in row-major order; row and col follow from it, and windows become ranges of it
+        that reach the scan.
+        """
+        if key is not None:
+            row, col = F.expr(f"`{key}` div {meta.width}"), F.expr(f"`{key}` % {meta.width}")
         bands = bands if bands is not None else [f"b{i}" for i in range(1, meta.count + 1)]
         as_col = lambda c: F.col(c) if isinstance(c, str) else c
         values = [contract.decode(as_col(b).cast(contract.storage(meta.dtype)), meta.nodata, meta.dtype).alias(f"b{i}") for i, b in enumerate(bands, 1)]
-        return cls(meta, df.select(as_col(row).cast("int").alias("row"), as_col(col).cast("int").alias("col"), *values))
+        known = [F.col(key).alias(f"__key_{meta.width}")] if key is not None else []
+        return cls(meta, df.select(as_col(row).cast("int").alias("row"), as_col(col).cast("int").alias("col"), *known, *values))
 
     @property
     def spark(self) -> SparkSession:

@@ -48,7 +48,7 @@ def save_raster(ds: Raster, path: str | os.PathLike, driver: str = "auto") -> No
         return
     if driver not in ("auto", "parquet"):
         raise BackendError(f"unknown driver {driver!r}")
-    tiled = ds.encoded().withColumn("tile_row", F.floor(F.col("row") / TILE).cast("int")).withColumn("tile_col", F.floor(F.col("col") / TILE).cast("int"))
+    tiled = ds.encoded().withColumn("tile_row", F.expr(f"cast(row div {TILE} as int)")).withColumn("tile_col", F.expr(f"cast(col div {TILE} as int)"))
     tiled.repartition("tile_row", "tile_col").sortWithinPartitions("tile_row", "tile_col", "row", "col").write.mode("overwrite").partitionBy("tile_row", "tile_col").parquet(f"{path}/pixels")
     ds.spark.createDataFrame([(_to_json(ds.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 

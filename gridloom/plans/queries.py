@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import operators, sources, streaming  # noqa: F401
-from ..errors import ValidationError  # noqa: F401
-from ..operators import analysis, resample, stats, viz
+from .. import operators, streaming
+from ..operators import analysis, stats, viz
 from ..raster import Raster
 from ..sources.catalogue import stac_search
 from . import grids

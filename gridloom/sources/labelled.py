@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import contract
 from .._optional import import_optional
 from ..errors import ValidationError
 from ..meta import Affine, RasterMeta

@@ -19,8 +19,20 @@ SLICE_BYTES = 1 << 20
 BUCKET_ROWS = 4000
 
 
+#: Rows of an Arrow batch where the session doesn't say otherwise: texts are long, and a batch lies in memory several times.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batch size, unless the user has."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +55,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -114,6 +127,7 @@ def dense_rank_in(df: DataFrame, keys: list[str], order: list, out: str, n_rows:
 
 def trim() -> None:
     """Gives a worker's free memory back at a task's end, where the C library can."""
+    pa.default_memory_pool().release_unused()
     release = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if release:
         release(0)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import trim
+
 #: Elements of HTML by their role in a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
@@ -285,6 +287,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 source = source.as_py()
                 texts.append(Page(source).main_text(paths or []) if source else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        trim()
 
     own = pages.select("page_id", "url", "html")
     joined = own.join(winners(votes(own)), host_of(F.col("url")) == F.col("voted"), "left").select("page_id", "url", "html", "paths")

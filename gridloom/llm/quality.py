@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices, text_buffer, trim
+from .common import SLICE_BYTES, slices, small_batches, text_buffer, trim
 
 WIDTH, STRIDE, FILTERS, HIDDEN = 8, 4, 24, 16
 #: Bytes of half a chunk; chunks overlap by one half.
@@ -159,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
 
 def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
     """docs with ``column``: each whole text's probability."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != column]
     at = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(net.p)  # a fixed number of weights, 200 KB

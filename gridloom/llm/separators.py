@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import tokens
-from .common import Scratch, slices, text_buffer
+from .common import Scratch, slices, text_buffer, trim
 
 BLOCK_BYTES = 1 << 20
 #: Blocks that one first-level scan covers.
@@ -58,6 +58,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, dtype: str =
                 yield pa.RecordBatch.from_pylist([{"file": file, "first": count, "doc_ids": ids.to_pylist()}], schema)
                 count += len(ids)
         yield from cut(1)
+        trim()
 
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -12,7 +12,7 @@ import numpy as np
 from .hashing import Rolling
 
 #: Atoms that a worker remembers; a full memory starts anew.
-MEMORY_ATOMS = 3_000_000
+MEMORY_ATOMS = 2_000_000
 SPACE, LETTER, SIGN = 0, 1, 2
 _KIND = np.full(256, SIGN, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = SPACE
@@ -82,8 +82,8 @@ class WordEncoder:
 
     def _learn(self, new: np.ndarray, atoms: list[str]) -> None:
         counts, flat = [], []
-        for i in range(0, len(atoms), 20_000):
-            for e in self.tokenizer.encode_batch_fast(atoms[i : i + 20_000], add_special_tokens=False):
+        for i in range(0, len(atoms), 5_000):
+            for e in self.tokenizer.encode_batch_fast(atoms[i : i + 5_000], add_special_tokens=False):
                 ids = e.ids
                 counts.append(len(ids))
                 flat.append(ids)

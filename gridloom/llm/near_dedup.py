@@ -21,7 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Scratch, slices, text_buffer, trim
@@ -132,12 +133,10 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 keys = mixed(keys).view(np.int64)
                 empty = np.bincount(row, minlength=n) == 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                lists = pa.compute.if_else(pa.array(empty), pa.scalar(None, lists.type), lists)
+                lists = pc.if_else(pa.array(empty), pa.scalar(None, lists.type), lists)
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, n) for j in range(3)), pa.array(d1), pa.array(d2), lists], names=["doc_id", "k1", "k2", "d1", "d2", "bands"])
         trim()
 
-    import pyarrow.compute  # noqa: F401
-
     return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, d1 long, d2 long, bands array<long>")
 
 

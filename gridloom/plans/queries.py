@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import operators, streaming
-from ..operators import analysis, stats, viz
+from .. import operators, sources, streaming
+from ..operators import analysis, resample, stats, viz
 from ..raster import Raster
 from ..sources.catalogue import stac_search
 from . import grids
@@ -608,3 +608,83 @@ def nodata_export(spark, d):
     r = grids.events(spark, d).band(1)
     enc = r.encoded()
     return enc.select("row", "col", rounded(F.when(F.col("b1") != -9999, F.col("b1"))).alias("b1"))
+
+
+# -- storage, decimation and further methods --
+
+
+@query(f"WITH {EVT} SELECT CAST(row - 2 AS INTEGER) AS row, CAST(col - 10 AS INTEGER) AS col, {r6('b1')} AS b1, {r6('b2')} AS b2, {r6('b3')} AS b3 FROM evt WHERE row BETWEEN 2 AND 7 AND col BETWEEN 10 AND 39")
+def stored_tiles_clip(spark, d):
+    """Saved as tiles in the shared folder, opened again, clipped: only the tiles of the box are read."""
+    import uuid
+
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gridloom").rstrip("/")
+    path = f"{folder}/rasters/{uuid.uuid4().hex}"
+    grids.events(spark, d).save_raster(path, driver="parquet")
+    return pixels(sources.load_raster(path if "://" in path else f"file://{path}", spark=spark).clip_raster_with_bbox((500100.0, 4199920.0, 500400.0, 4199980.0)))
+
+
+@query(f"WITH {CUST} SELECT row, col, {r6('b1')} AS b1 FROM cust")
+def labelled_round_trip(spark, d):
+    return pixels(sources.from_labelled(grids.balances(spark, d).to_labelled(), crs=grids.CRS))
+
+
+@query(f"WITH {MOSAIC}, m AS (SELECT row, col, arg_max(b1, prio) FILTER (WHERE b1 IS NOT NULL) AS b1 FROM united GROUP BY 1, 2) SELECT g.row, g.col, {r6('b1', 2)} AS b1 FROM g LEFT JOIN m USING (row, col)")
+def mosaic_last(spark, d):
+    return _mosaic(spark, d, method="last")
+
+
+@query(f"WITH {MOSAIC}, m AS (SELECT row, col, count(b1) AS b1 FROM united GROUP BY 1, 2) SELECT g.row, g.col, {r6('b1', 2)} AS b1 FROM g LEFT JOIN m USING (row, col)")
+def mosaic_count(spark, d):
+    return _mosaic(spark, d, method="count")
+
+
+@query(_half("quantile_cont(CAST(b1 AS DOUBLE), 0.25)"))
+def resample_q1(spark, d):
+    return _halved(spark, d, "q1")
+
+
+@query(_half("quantile_cont(CAST(b1 AS DOUBLE), 0.75)"))
+def resample_q3(spark, d):
+    return _halved(spark, d, "q3")
+
+
+@query(f"WITH {GRADIENT} SELECT row, col, {r6(f32('(degrees(atan2(-dx, dy)) + 360) % 360'), 2)} AS b1 FROM gr WHERE dx <> 0 OR dy <> 0")
+def aspect(spark, d):
+    r = grids.balances(spark, d)
+    flat = analysis.gradients(r).where("dx = 0 and dy = 0").select("row", "col")
+    return r.aspect().df.join(flat, ["row", "col"], "left_anti").select("row", "col", rounded("b1", 2).alias("b1"))
+
+
+@query(f"WITH {EVT} SELECT row, col, {r6('b1')} AS b1, {r6('b2')} AS b2, {r6('b3')} AS b3 FROM (SELECT CAST(row // 5 AS INTEGER) AS row, CAST(col // 5 AS INTEGER) AS col, b1, b2, b3 FROM evt WHERE row % 5 = 2 AND col % 5 = 2)")
+def decimated_read(spark, d):
+    e = grids.events(spark, d)
+    return pixels(resample.decimate(e, e.meta.height // 5, 20))
+
+
+@query(f"WITH {ITEMS}, r AS (SELECT k, ts, row_number() OVER (ORDER BY ts NULLS LAST, CAST(k AS VARCHAR)) AS n FROM items WHERE collection = '1-URGENT') SELECT CAST(k AS VARCHAR) AS id, CAST(n AS INTEGER) AS place FROM r WHERE n BETWEEN 11 AND 40")
+def items_slice(spark, d):
+    found = stac_search("1-URGENT", items=grids.scene_items(spark, d)).df.limit(40)
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.col("ts").asc_nulls_last(), "id"))).where("place > 10").select("id", "place")
+
+
+@query(f"WITH {EVT} SELECT row, col, b1 > 20 AND b2 < 50 AS both, b1 > 20 OR b2 < 50 AS either, NOT (b1 > 20) AS neither FROM evt WHERE b1 IS NOT NULL")
+def mask_algebra(spark, d):
+    e = grids.events(spark, d)
+    high, low = e.column(1) > 20, e.column(2) < 50
+    masks = e.derived([high & low, high | low, ~high], dtype="bool", nodata=None)
+    return masks.df.where("b1 is not null").select("row", "col", F.col("b1").alias("both"), F.col("b2").alias("either"), F.col("b3").alias("neither"))
+
+
+@query(f"WITH {EVT}, z AS (SELECT CASE WHEN b1 > 20 THEN 1 ELSE 0 END AS wet, CASE WHEN b2 > 50 THEN 1 ELSE 0 END AS built FROM evt WHERE b1 IS NOT NULL) SELECT coalesce(wet, -1) AS wet, coalesce(built, -1) AS built, count(*) AS n FROM z GROUP BY CUBE (wet, built)")
+def cross_tabulation(spark, d):
+    e = grids.events(spark, d)
+    both = e.derived([e.column(1), e.column(2)]).df.where("b1 is not null").select((F.col("b1") > 20).cast("int").alias("wet"), (F.col("b2") > 50).cast("int").alias("built"))
+    return both.cube("wet", "built").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("wet", F.lit(-1)).alias("wet"), F.coalesce("built", F.lit(-1)).alias("built"), "n")
+
+
+@query("SELECT CAST(l_orderkey // 100 AS INTEGER) AS row, CAST(l_orderkey % 100 AS INTEGER) AS col, strftime(max(l_shipdate), '%Y-%m-%d') AS day, " + r6("max(l_quantity)") + " AS most FROM lineitem GROUP BY 1, 2")
+def latest_observation(spark, d):
+    seen = grids.table(spark, d, "lineitem").select(F.expr("cast(l_orderkey div 100 as int)").alias("row"), (F.col("l_orderkey") % 100).cast("int").alias("col"), F.col("l_shipdate").alias("ts"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.col("l_quantity").alias("most"))
+    latest = analysis.composite_observations(seen, "latest", ["day"])
+    return latest.join(analysis.composite_observations(seen, "max", ["most"]), ["row", "col"]).select("row", "col", "day", rounded("most").alias("most"))

@@ -7,8 +7,8 @@ with each other and keeps what is nearer than a node's last neighbour. A search
 entry nodes, expands the best nodes not yet expanded, a beam per query and a join per round, until a round adds nothing; the
 beam is scored again with the original vectors in double precision.
 
-Every row is indexed. Bounds (neighbours per node, reverse neighbours, block size, beam) are parameters of the index and
-don't depend on the number of rows. Measured against brute force, recall is stated in the README and tested.
+Every row is indexed. Bounds (neighbours per node, reverse neighbours, block size) are parameters of the index and don't
+depend on the number of rows; the beam grows with its logarithm. Measured against brute force, recall is stated in the README and tested.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part; shorter vectors are padded with
 zeros; rows that repeat an id or a vector are candidates of their own; ties go to the smaller id, null ids last; fewer than k
@@ -27,17 +27,20 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_buffer
 from .vectors import dense, matrix
 
-NEIGHBOURS = 24
-TREES = 4
-BLOCK = 384
+NEIGHBOURS = 32
+TREES = 8
+BLOCK = 1024
 #: Rows of the sample that trees are fitted on.
 SAMPLE = 16_384
 ROUNDS = 4
 #: A round that changes fewer of the neighbours than this ends the descent.
 SETTLED = 0.01
-BEST = 6
-BEAM = 96
-SEARCH_ROUNDS = 12
+BEST = 8
+#: The beam holds so many nodes for each doubling of the number of nodes, as a search's depth grows with it.
+BEAM = 16
+#: Nodes of a beam that one round expands.
+EXPANDED = 48
+SEARCH_ROUNDS = 40
 ENTRIES = 16
 
 
@@ -81,21 +84,21 @@ def grow_tree(sample: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np
     return planes, cuts
 
 
-def _blocks(small: DataFrame, width: int, trees: list, splits: int) -> DataFrame:
-    """key, node, x of every node in every tree; a leaf too large for one block is dealt to several by hash."""
+def _blocks(small: DataFrame, width: int, trees: list, scratch: Scratch) -> DataFrame:
+    """key, part, node, x of every node in every tree; a leaf larger than a block is dealt to several by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _rows(batch, 1, "f2", width).astype(np.float32)
-            nodes = batch.column(0).to_numpy()
             for t, (planes, cuts) in enumerate(trees):
                 at = np.ones(len(x), np.int64)
                 while len(cuts) > 1 and len(at) and at[0] < len(cuts):
                     at = 2 * at + (np.einsum("ij,ij->i", x, planes[at]) > cuts[at])
-                part = (nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * t) >> np.uint64(33)).astype(np.int64) % splits
-                yield pa.RecordBatch.from_arrays([pa.array((at * splits + part) * len(trees) + t), batch.column(0), batch.column(1)], names=["key", "node", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(at * len(trees) + t), batch.column(0), batch.column(1)], names=["key", "node", "x"])
 
-    return small.select("node", "x").mapInArrow(run, "key long, node long, x binary")
+    leaves = scratch.keep(small.select("node", "x").mapInArrow(run, "key long, node long, x binary"))
+    parts = leaves.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    return leaves.join(parts, "key").select("key", F.pmod(F.xxhash64("node", "key"), "parts").alias("part"), "node", "x")
 
 
 def _in_blocks(blocks: DataFrame, width: int, k: int) -> DataFrame:
@@ -106,8 +109,8 @@ def _in_blocks(blocks: DataFrame, width: int, k: int) -> DataFrame:
         nodes = block.column("node").to_numpy()
         x = text_buffer(block.column("x"))[0].view("f2").reshape(-1, width).astype(np.float32)
         out = []
-        for a in range(0, len(nodes), BLOCK):  # an uneven leaf is taken in pieces
-            own, y = nodes[a : a + BLOCK], x[a : a + BLOCK]
+        for a in range(0, len(nodes), 2 * BLOCK):  # a part is a little more or less than a block
+            own, y = nodes[a : a + 2 * BLOCK], x[a : a + 2 * BLOCK]
             s = y @ y.T
             np.fill_diagonal(s, -np.inf)
             n = min(k, len(own) - 1)
@@ -117,7 +120,7 @@ def _in_blocks(blocks: DataFrame, width: int, k: int) -> DataFrame:
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
         return pa.table({"node": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float32())})
 
-    return blocks.groupBy("key").applyInArrow(run, "node long, other long, score float")
+    return blocks.groupBy("key", "part").applyInArrow(run, "node long, other long, score float")
 
 
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -168,8 +171,7 @@ def build_graph(small: DataFrame, width: int, n: int, scratch: Scratch, k: int =
     sample = np.array([np.frombuffer(r.x, "f2") for r in small.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()], np.float32).reshape(-1, width)
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / (BLOCK * 0.7))))), int(np.log2(max(1, len(sample) / 8)))))
     trees = [grow_tree(sample, depth, seed) for seed in range(TREES)]
-    splits = max(1, int(np.ceil(n / 2**depth / BLOCK))) if n / 2**depth > BLOCK else 1
-    first = _in_blocks(_blocks(small, width, trees, splits), width, k)
+    first = _in_blocks(_blocks(small, width, trees, scratch), width, k)
     graph = scratch.keep(_nearest(first.withColumn("fresh", F.lit(True)), k))
     for round_ in range(ROUNDS):
         found = _join_round(graph, small, width, k, round_).withColumn("fresh", F.lit(True))
@@ -182,19 +184,26 @@ def build_graph(small: DataFrame, width: int, n: int, scratch: Scratch, k: int =
 
 
 def _expand(steps: DataFrame, lists: DataFrame, width: int) -> DataFrame:
-    """q, node, score of all neighbours of the nodes that ``steps`` (q, node, qx) names."""
+    """q, node, score of the neighbours, nearer than ``least``, of the nodes that ``steps`` (q, node, qx, least) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                counts = part.column(2).value_lengths().to_numpy()
-                x = text_buffer(part.column(3).flatten())[0].view(np.int8).reshape(-1, width).astype(np.float32) / 127
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                counts = part.column(3).value_lengths().to_numpy()
+                x = text_buffer(part.column(4).flatten())[0].view(np.int8).reshape(-1, width).astype(np.float32) / 127
                 q = _rows(part, 1, "f2", width).astype(np.float32)
                 row = np.repeat(np.arange(len(counts)), counts)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(2).flatten(), pa.array(np.einsum("ij,ij->i", x, q[row]).astype(np.float32))], names=["q", "node", "score"])
+                score = np.einsum("ij,ij->i", x, q[row]).astype(np.float32)
+                qs, nodes = part.column(0).to_numpy()[row], part.column(3).flatten().to_numpy()
+                good = np.flatnonzero(score > part.column(2).to_numpy()[row])
+                order = good[np.lexsort((nodes[good], qs[good]))]  # expanded nodes share neighbours
+                new = np.ones(len(order), bool)
+                new[1:] = (nodes[order][1:] != nodes[order][:-1]) | (qs[order][1:] != qs[order][:-1])
+                order = order[new]
+                yield pa.RecordBatch.from_arrays([pa.array(qs[order], pa.int64()), pa.array(nodes[order], pa.int64()), pa.array(score[order])], names=["q", "node", "score"])
 
-    return steps.join(lists, "node").select("q", "qx", "others", "xs").mapInArrow(run, "q long, node long, score float")
+    return steps.join(lists, "node").select("q", "qx", "least", "others", "xs").mapInArrow(run, "q long, node long, score float")
 
 
 def _neighbour_lists(graph: DataFrame, small: DataFrame, width: int, k: int) -> DataFrame:
@@ -212,17 +221,21 @@ def _neighbour_lists(graph: DataFrame, small: DataFrame, width: int, k: int) ->
     return full.select("node", F.col("l.other").alias("others"), F.col("l.x8").alias("xs"))
 
 
-def search(queries: DataFrame, graph: DataFrame, small: DataFrame, width: int, scratch: Scratch, k: int = NEIGHBOURS, beam: int = BEAM) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, small: DataFrame, width: int, scratch: Scratch, beam: int, k: int = NEIGHBOURS) -> DataFrame:
     """q, node, score: for queries (q, qx, node: where to start) the beam that greedy search ends with."""
     lists = scratch.keep(_neighbour_lists(graph, small, width, k))
     entries = small.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(ENTRIES).select("node")
     starts = queries.select("q", "node").unionByName(queries.select("q").join(F.broadcast(entries), F.lit(True)))
-    state = scratch.keep(starts.distinct().withColumn("score", F.lit(-1.0).cast("float")).withColumn("open", F.lit(True)))
+    state = scratch.keep(starts.distinct().withColumn("score", F.lit(-1.5).cast("float")).withColumn("open", F.lit(True)))
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
+    next_ = Window.partitionBy("q").orderBy(F.col("open").desc(), F.col("score").desc(), "node")
     for _ in range(SEARCH_ROUNDS):
-        steps = state.where("open").select("q", "node").join(queries.select("q", "qx"), "q")
+        last = state.groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select("q", F.when(F.col("n") >= beam, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
+        chosen = state.withColumn("n", F.row_number().over(next_)).withColumn("now", F.col("open") & (F.col("n") <= EXPANDED)).drop("n")
+        steps = chosen.where("now").select("q", "node").join(queries.select("q", "qx"), "q").join(last, "q")
         found = _expand(steps, lists, width).withColumn("open", F.lit(True))
-        merged = state.withColumn("open", F.lit(False)).unionByName(found).groupBy("q", "node").agg(F.max("score").alias("score"), F.min("open").alias("open"))
+        left = chosen.select("q", "node", "score", (F.col("open") & ~F.col("now")).alias("open"))
+        merged = left.unionByName(found).groupBy("q", "node").agg(F.max("score").alias("score"), F.min("open").alias("open"))
         new = scratch.keep(merged.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n"))
         scratch.drop(state)
         state = new
@@ -245,7 +258,8 @@ def nearest(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: in
     graph = build_graph(small, width + 1, n, scratch)
     asked = vectors.where(is_query).join(nodes, "v").select(F.col("uid").alias("q"), "node", "v")
     queries = scratch.keep(_asked(asked, width))
-    beams = scratch.keep(search(queries, graph, small, width + 1, scratch))
+    beam = max(4 * k, BEAM * int(np.ceil(np.log2(n + 1))))
+    beams = scratch.keep(search(queries, graph, small, width + 1, scratch, beam))
     # members of a node that can be among k results: its k + 1 least ids
     by_id = Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last(), "uid")
     members = vectors.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).join(nodes, "v").select("node", F.col("uid").alias("c"), F.col("id").alias("cid"), F.col("v").alias("b"))

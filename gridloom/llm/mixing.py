@@ -18,12 +18,20 @@ from .common import BUCKET_ROWS, Scratch, task_width
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20_240_601
+#: Buckets of all sources up to which their sums are broadcast, else joined by shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def draw_key(seed: int) -> Column:
+    """60 bits of the MD5 of seed, id and text: the place of a document in the draw. Any engine can compute it."""
+    content = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
+    return F.conv(F.substring(F.md5(content), 1, 15), 16, 10).cast("long")
+
+
 def source_order(sizes: DataFrame) -> DataFrame:
     """Adds ``place``: 0, 1, 2 ... by the source's code points, null last, from a range partitioning and bucket offsets."""
     dealt = sizes.repartitionByRange(task_width(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("__p", F.spark_partition_id())
@@ -54,12 +62,13 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, budget_share: float = 1.0, wei
     """Adds size, source_size, target and taken (words the mix takes) to documents with columns doc_id, text and source.
 
     Weights repeat over the sources in code point order. Reruns agree: the order of a draw is the hash of the document's
-    content and the seed. A hot source is dealt to hash buckets, whose running sums are offset by bucket totals.
+    content and the seed. A source is dealt to hash buckets, whose totals tell which of them lie before and behind the border of
+    the draw; only the rows of the border's bucket are put in order.
     """
     names = docs.columns
     scratch = Scratch(docs.sparkSession, "mix")
     sized = docs.select(*[F.col(f"`{c}`") for c in names if c not in ("size", "source_size", "target", "taken")])
-    sized = sized.withColumn("size", word_count(F.col("text"))).withColumn("__h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+    sized = sized.withColumn("size", word_count(F.col("text"))).withColumn("__h", draw_key(seed))
     thin = scratch.keep(sized.select("source", "size", "__h"))
     per_source = scratch.keep(source_order(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__n"))))
     totals = per_source.agg(F.sum("source_size").alias("s"), F.sum("__n").alias("n")).first()
@@ -70,17 +79,20 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, budget_share: float = 1.0, wei
     filled = filled.select(F.col("source").alias("__s"), "source_size", "target", "__whole", "__extra")
 
     buckets = max(1, -(-int(totals.n or 0) // BUCKET_ROWS))
-    bucket = F.pmod(F.shiftrightunsigned("__h", 8), F.lit(buckets))
+    bucket = F.shiftright(F.shiftright("__h", 30) * F.lit(buckets), 30)  # in the order of the keys
     sums = thin.groupBy("source", bucket.alias("__b")).agg(F.sum("size").alias("__n"))
     ahead = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("__t"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__from"))
-    plan = starts.join(filled, F.col("__t").eqNullSafe(F.col("__s"))).drop("__s")
-    dealt = sized.withColumn("__b", bucket)
-    joined = dealt.join(plan, F.col("source").eqNullSafe(F.col("__t")) & (F.col("__b") == F.col("__c")))
+    starts = sums.select(F.col("source").alias("__t"), F.col("__b").alias("__c"), "__n", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__from"))
+    plan = scratch.keep(starts.join(filled, F.col("__t").eqNullSafe(F.col("__s"))).drop("__s"))
+    side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    joined = sized.withColumn("__b", bucket).join(side, F.col("source").eqNullSafe(F.col("__t")) & (F.col("__b") == F.col("__c")))
+    # whole buckets in front of the border take one more repetition, those behind it none; only the border's rows are numbered
+    full, none = F.col("__from") + F.col("__n") <= F.col("__extra"), F.col("__from") >= F.col("__extra")
+    settled = joined.where(full | none).withColumn("__more", F.when(full, F.col("size")).otherwise(F.lit(0)))
     inner = Window.partitionBy("__t", "__b").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__from") + F.coalesce(F.sum("size").over(inner), F.lit(0))
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__extra") - before))
-    out = joined.withColumn("taken", (F.col("__whole") * F.col("size") + extra).cast("long"))
+    border = joined.where(~(full | none)).withColumn("__more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__extra") - before)))
+    out = settled.unionByName(border).withColumn("taken", (F.col("__whole") * F.col("size") + F.col("__more")).cast("long"))
     return out.select(*[F.col(f"`{c}`") for c in names if c not in ("size", "source_size", "target", "taken")], "size", "source_size", "target", "taken")
 
 

@@ -40,7 +40,7 @@ def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": OP5_SQL}
+    return {"op5_exact_top_k": OP5_SQL, "op7_mix_sources": OP7_SQL}
 
 
 OP5_SQL = """
@@ -71,3 +71,21 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transf
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+#: The level of the water is found at the first source, by cap over weight, that it doesn't reach.
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+g AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, CAST(source_size AS DOUBLE) AS source_size, 1.0 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM g),
+c AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total, 3 * source_size / weight AS ratio FROM w),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+      sum(weight) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM c),
+l AS (SELECT (total - held) / free AS level FROM o WHERE (total - held) / free <= ratio ORDER BY ratio, source LIMIT 1),
+t AS (SELECT source, source_size, least(cap, level * weight) AS target FROM c, l),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole FROM t),
+b AS (SELECT d.*, f.source_size, f.target, f.whole, round(f.target - f.whole * f.source_size) AS extra,
+      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target, CAST(whole * size + greatest(0, least(size, extra - before)) AS BIGINT) AS taken FROM b
+"""

@@ -60,7 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": OP5_SQL, "op7_mix_sources": OP7_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_suffix_dedup": OP9_SQL}
 
 
 OP5_SQL = """
@@ -89,3 +89,39 @@ b AS (SELECT d.*, f.source_size, f.target, f.whole, round(f.target - f.whole * f
       FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target, CAST(whole * size + greatest(0, least(size, extra - before)) AS BIGINT) AS taken FROM b
 """
+
+#: Exact probability Jaccard similarities of all pairs that share a shingle, then the links' closure.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM w WHERE len(ws) > 0),
+s AS (SELECT doc_id, md5(array_to_string(ws[k:k + 4], ' ')) AS sh, CAST(count(*) AS DOUBLE) AS x FROM i GROUP BY 1, 2),
+t AS (SELECT doc_id, sum(x) AS total, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.x) AS ax, sum(b.x) AS bx FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+q AS (SELECT p.*, ta.total AS ta, tb.total AS tb FROM p JOIN t ta ON ta.doc_id = p.a JOIN t tb ON tb.doc_id = p.b WHERE ax >= 0.79 * ta.total AND bx >= 0.79 * tb.total),
+c AS (SELECT q.a, q.b, u.x AS x, v.x AS y FROM q JOIN s u ON u.doc_id = q.a JOIN s v ON v.doc_id = q.b AND v.sh = u.sh),
+r AS (SELECT DISTINCT a, b, y / x AS rho FROM c),
+m AS (SELECT r.a, r.b, rho, sum(greatest(x, y / rho)) AS most, sum(CASE WHEN y / x = rho THEN x ELSE 0 END) AS own FROM r JOIN c ON c.a = r.a AND c.b = r.b GROUP BY 1, 2, 3),
+j AS (SELECT m.a, m.b FROM m JOIN q ON q.a = m.a AND q.b = m.b GROUP BY 1, 2 HAVING sum(own / (most + ta - ax + (tb - bx) / rho)) >= 0.8),
+e AS (SELECT a, b FROM j UNION SELECT b, a FROM j),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+g AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM g
+"""
+
+#: Every 400-byte string by its start; starts whose string occurs again, merged to spans; what lies between them.
+OP9_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+s AS (SELECT doc_id, unnest(range(0, n - 399)) AS p FROM n WHERE n >= 400),
+h AS (SELECT s.doc_id, p, md5(hex(b[p + 1:p + 400])) AS m FROM s JOIN n USING (doc_id)),
+r AS (SELECT doc_id, p FROM h QUALIFY count(*) OVER (PARTITION BY m) > 1),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS f FROM r),
+k AS (SELECT doc_id, p, sum(f) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+x AS (SELECT doc_id, span, min(p) AS a, max(p) + 400 AS z FROM k GROUP BY 1, 2),
+y AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, z FROM x),
+parts AS (SELECT doc_id, before AS u, a AS v FROM y UNION ALL SELECT n.doc_id, coalesce(max(z), 0), n FROM n LEFT JOIN x USING (doc_id) GROUP BY n.doc_id, n),
+kept AS (SELECT doc_id, string_agg(hex(b[u + 1:v]), '' ORDER BY u) AS kept FROM parts JOIN n USING (doc_id) WHERE v > u GROUP BY 1),
+t AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM x GROUP BY 1)
+SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM n LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -4,11 +4,12 @@ Equal vectors are one node. One more component gives all nodes the same length,
 nearest in space. Random hyperplane trees, fitted on a bounded sample, deal the nodes to small blocks whose members are
 compared: the first neighbours. Then NN-descent: each round joins, in Spark, every node's neighbours and reverse neighbours
 with each other and keeps what is nearer than a node's last neighbour. A search starts at a query's own node and the graph's
-entry nodes, expands the best nodes not yet expanded, a beam per query and a join per round, until a round adds nothing; the
-beam is scored again with the original vectors in double precision.
+entry nodes, expands the best nodes not yet expanded, a beam per query and a join per round, until a round adds nothing. The
+recall of a bounded sample of the queries is then measured against brute force; while it is too low, beam and entry nodes
+double and the search goes on from where it ended. The beam is scored again with the original vectors in double precision.
 
 Every row is indexed. Bounds (neighbours per node, reverse neighbours, block size) are parameters of the index and don't
-depend on the number of rows; the beam grows with its logarithm. Measured against brute force, recall is stated in the README and tested.
+depend on the number of rows; the beam is what the measured recall asks for. Recall is stated in the README and tested.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part; shorter vectors are padded with
 zeros; rows that repeat an id or a vector are candidates of their own; ties go to the smaller id, null ids last; fewer than k
@@ -17,6 +18,7 @@ candidates give all of them; an empty table or no query gives no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,13 @@ ROUNDS = 4
 #: A round that changes fewer of the neighbours than this ends the descent.
 SETTLED = 0.01
 BEST = 8
-#: The beam holds so many nodes for each doubling of the number of nodes, as a search's depth grows with it.
+#: The first beam holds so many nodes for each doubling of the number of nodes, as a search's depth grows with it.
 BEAM = 16
-#: Nodes of a beam that one round expands.
-EXPANDED = 48
+#: Recall at which the beam is wide enough, and the queries that it is measured on.
+RECALL = 0.95
+PROBES = 256
+#: Nodes of a beam that one round expands, and the least share of the beam.
+EXPANDED, EXPANDED_SHARE = 48, 6
 SEARCH_ROUNDS = 40
 ENTRIES = 16
 
@@ -221,17 +226,19 @@ def _neighbour_lists(graph: DataFrame, small: DataFrame, width: int, k: int) ->
     return full.select("node", F.col("l.other").alias("others"), F.col("l.x8").alias("xs"))
 
 
-def search(queries: DataFrame, graph: DataFrame, small: DataFrame, width: int, scratch: Scratch, beam: int, k: int = NEIGHBOURS) -> DataFrame:
-    """q, node, score: for queries (q, qx, node: where to start) the beam that greedy search ends with."""
-    lists = scratch.keep(_neighbour_lists(graph, small, width, k))
-    entries = small.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(ENTRIES).select("node")
-    starts = queries.select("q", "node").unionByName(queries.select("q").join(F.broadcast(entries), F.lit(True)))
-    state = scratch.keep(starts.distinct().withColumn("score", F.lit(-1.5).cast("float")).withColumn("open", F.lit(True)))
+def search(queries: DataFrame, lists: DataFrame, small: DataFrame, width: int, scratch: Scratch, beam: int, entries: int = ENTRIES, known: DataFrame | None = None) -> DataFrame:
+    """q, node, score, open: for queries (q, qx, node: where to start) the beam that greedy search ends with; ``known`` is a narrower beam's."""
+    first = small.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(entries).select("node")
+    starts = queries.select("q", "node").unionByName(queries.select("q").join(F.broadcast(first), F.lit(True))).distinct().withColumn("score", F.lit(-1.5).cast("float"))
+    if known is not None:
+        starts = starts.unionByName(known.select("q", "node", "score")).groupBy("q", "node").agg(F.max("score").alias("score"))
+    state = scratch.keep(starts.withColumn("open", F.lit(True)))
+    expanded = max(EXPANDED, beam // EXPANDED_SHARE)
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
     next_ = Window.partitionBy("q").orderBy(F.col("open").desc(), F.col("score").desc(), "node")
     for _ in range(SEARCH_ROUNDS):
         last = state.groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select("q", F.when(F.col("n") >= beam, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
-        chosen = state.withColumn("n", F.row_number().over(next_)).withColumn("now", F.col("open") & (F.col("n") <= EXPANDED)).drop("n")
+        chosen = state.withColumn("n", F.row_number().over(next_)).withColumn("now", F.col("open") & (F.col("n") <= expanded)).drop("n")
         steps = chosen.where("now").select("q", "node").join(queries.select("q", "qx"), "q").join(last, "q")
         found = _expand(steps, lists, width).withColumn("open", F.lit(True))
         left = chosen.select("q", "node", "score", (F.col("open") & ~F.col("now")).alias("open"))
@@ -241,7 +248,67 @@ def search(queries: DataFrame, graph: DataFrame, small: DataFrame, width: int, s
         state = new
         if state.where("open").isEmpty():
             break
-    return state.select("q", "node", "score")
+    return state
+
+
+def _probes(asked: DataFrame, nodes: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sample of the queries: q, vector, how many nodes its recall counts (k, or all others), and the last one's score."""
+    rows = asked.orderBy(F.xxhash64("q", F.lit(9)), "q").limit(PROBES).select("q", "node", "v").collect()
+    qs, own = (np.array([r[c] for r in rows], np.int64) for c in ("q", "node"))
+    v = np.array([np.frombuffer(r.v, np.float64) for r in rows]).reshape(-1, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(qs), 0), -np.inf)
+        for batch in batches:
+            s = v @ matrix(batch.column(1), width).T
+            s[own[:, None] == batch.column(0).to_numpy()[None, :]] = -np.inf
+            best = np.hstack([best, s])
+            best = -np.partition(-best, k - 1, axis=1)[:, :k] if best.shape[1] > k else best
+        at, j = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(best[at, j])], names=["at", "score"])
+
+    order = Window.partitionBy("at").orderBy(F.col("score").desc())
+    top = nodes.select("node", "v").mapInArrow(run, "at long, score double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    wanted, last = np.zeros(len(qs), np.int64), np.zeros(len(qs))
+    for r in top.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last")).collect():
+        wanted[r["at"]], last[r["at"]] = r["n"], r["last"]
+    return qs, v, wanted, last
+
+
+def _recall(beams: DataFrame, queries: DataFrame, nodes: DataFrame, width: int, probes: tuple) -> float:
+    """The share of the probes' nearest nodes that their beams hold; of nodes with equal scores any counts."""
+    qs, v, wanted, last = probes
+    order = np.argsort(qs)
+    sorted_ = qs[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = order[np.searchsorted(sorted_, batch.column(0).to_numpy())]
+            s = np.einsum("ij,ij->i", v[at], matrix(batch.column(1), width))
+            good = s >= last[at] - 1e-9 * np.abs(last[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good))], names=["q"])
+
+    held = beams.where(F.col("q").isin(qs.tolist())).select("q", "node").join(queries.select("q", F.col("node").alias("own")), "q").where("node <> own")
+    found = {r.q: r.n for r in held.join(nodes, "node").select("q", "v").mapInArrow(run, "q long").groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return sum(min(found.get(q, 0), n) for q, n in zip(qs.tolist(), wanted.tolist(), strict=True)) / max(1, int(wanted.sum()))
+
+
+def search_to_recall(queries: DataFrame, asked: DataFrame, nodes: DataFrame, graph: DataFrame, small: DataFrame, width: int, n: int, k: int, scratch: Scratch) -> DataFrame:
+    """q, node, score: beams as wide as the recall at k of a sample of the queries asks for; a beam of all nodes is the last."""
+    lists = scratch.keep(_neighbour_lists(graph, small, width + 1, NEIGHBOURS))
+    probes = _probes(asked, nodes, width, k)
+    beam, entries, beams = max(4 * k, BEAM * int(np.ceil(np.log2(n + 1)))), ENTRIES, None
+    while True:
+        wider = search(queries, lists, small, width + 1, scratch, beam, entries, beams)
+        if beams is not None:
+            scratch.drop(beams)
+        beams, recall = wider, _recall(wider, queries, nodes, width, probes)
+        if recall >= RECALL or beam >= n:
+            break
+        beam, entries = 2 * beam, 2 * entries
+    if recall < RECALL:
+        warnings.warn(f"recall at {k} of the sampled queries is {recall:.3f}", stacklevel=2)
+    return beams.select("q", "node", "score")
 
 
 def nearest(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int) -> DataFrame:
@@ -258,8 +325,7 @@ def nearest(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: in
     graph = build_graph(small, width + 1, n, scratch)
     asked = vectors.where(is_query).join(nodes, "v").select(F.col("uid").alias("q"), "node", "v")
     queries = scratch.keep(_asked(asked, width))
-    beam = max(4 * k, BEAM * int(np.ceil(np.log2(n + 1))))
-    beams = scratch.keep(search(queries, graph, small, width + 1, scratch, beam))
+    beams = search_to_recall(queries, asked, nodes, graph, small, width, n, k, scratch)
     # members of a node that can be among k results: its k + 1 least ids
     by_id = Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last(), "uid")
     members = vectors.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).join(nodes, "v").select("node", F.col("uid").alias("c"), F.col("id").alias("cid"), F.col("v").alias("b"))

@@ -165,3 +165,18 @@ def test_nearest_neighbours(spark):
     few = table.where("vec_id in (0, 3, 700)")
     assert [r.vec_id for r in nn_descent.nearest(few, "vec_id", "embedding", F.col("id") == 0, 20).orderBy("rank").collect()].__len__() == 2
     assert nn_descent.nearest(table.limit(0), "vec_id", "embedding", F.col("id") % 20 == 0, 20).count() == 0
+
+
+def test_the_beam_widens_until_neighbours_are_found(spark, monkeypatch):
+    for name, value in (("BEAM", 1), ("TREES", 3), ("BLOCK", 256), ("ROUNDS", 0)):  # a first beam as narrow for its graph as on a far larger table
+        monkeypatch.setattr(nn_descent, name, value)
+    v = np.random.default_rng(3).normal(size=(3000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(table, "vec_id", "embedding", F.col("id") % 30 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = v[::30] @ v.T
+    s[np.arange(100), np.arange(0, 3000, 30)] = -9
+    hit = sum(len(got[30 * i] & set(best.tolist())) for i, best in enumerate(np.argsort(-s, axis=1)[:, :5]))
+    assert hit / 500 >= 0.95

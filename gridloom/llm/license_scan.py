@@ -6,12 +6,13 @@ bands of them are looked up among the bands of all windows of the templates. A t
 size (1, 4 or 8 shingles): a copy that keeps 0.8 of the template's shingles keeps a run of that many in place, since an edit
 breaks up to five neighbouring shingles, and a window without an edit equals the template's window, so all its bands agree. A
 window that shares 0.8 of its shingles is found with probability 1 - (1 - 0.8^ROWS)^BANDS, 0.98. Around every window found,
-the share of the template's shingles that the text holds is counted exactly; at least 0.8 is a match.
+the share of the template's shingles that the text holds is counted exactly; at least 0.8 is a match. Where one window's
+surroundings hold less, those of the windows that follow are joined to them, as a copy may be interrupted by other words.
 
 Templates are a bounded parameter and travel with the code; nothing is shuffled.
 
 Defined cases: a null or empty text has no match; a template of fewer than five words is one shingle; a text that holds a
-template several times gives a row for each place; two templates that share wording can both match one place; repeated rows
+template several times gives a row for each place; parts that are more than four times the template's size apart are not one copy; two templates that share wording can both match one place; repeated rows
 give repeated matches; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -32,6 +33,8 @@ BANDS, ROWS = 4, 2
 THRESHOLD = 0.8
 #: Window lengths and the least template size, in shingles, for which each is used.
 WINDOWS = ((8, 32), (4, 8), (1, 1))
+#: Sizes of its template that an interruption of a copy can have.
+APART = 4
 _FILTER_BITS = 22
 
 _WORD = np.zeros(256, bool)
@@ -142,6 +145,27 @@ class Index:
                 out.append(np.stack([text[place], template[k], place - offsets[text[place]] - at[k]], 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
+    def _joined(self, found: list[list[int]], i: int, own: np.ndarray, reach: int, slack: int) -> tuple[float, list[int]]:
+        """Containment and places of the template's shingles from candidate ``i`` to the last one that adds to them, before the next whole copy."""
+        text, t, start = found[i]
+        size, wanted = len(self.shingles[t]), self.sets[t]
+        held: list[int] = []
+        seen: set[int] = set()
+        at, grown = max(0, start - slack, reach), start
+        while i < len(found) and found[i][:2] == [text, t] and found[i][2] < grown + (APART + 1) * size:
+            end = min(len(own), found[i][2] + size + slack)
+            if len(wanted.intersection(own[max(0, found[i][2] - slack, reach) : end].tolist())) >= THRESHOLD * len(wanted):
+                break  # a whole copy of its own
+            if end > at:
+                new = [(j, x) for j, x in enumerate(own[at:end].tolist(), at) if x in wanted]
+                if any(x not in seen for _, x in new):
+                    held += [j for j, _ in new]
+                    seen.update(x for _, x in new)
+                    grown = found[i][2]
+                at = end
+            i += 1
+        return len(seen) / len(wanted), held
+
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, int, int, float]]:
         """(text, template, first word, word behind the last, containment) of every place that holds a template."""
         shingles, bounds = text_shingles(data, offsets)
@@ -155,7 +179,7 @@ class Index:
             if (text, t) != key:
                 key, reach = (text, t), 0
             own = shingles[bounds[text] : bounds[text + 1]]
-            slack = max(2, size // 4)
+            slack, first = max(2, size // 4), i
             best: tuple[float, list[int]] = (0.0, [])
             while i < len(found) and found[i][:2] == [text, t] and found[i][2] < start + size:  # the starts of one place
                 lo, hi = max(0, found[i][2] - slack, reach), min(len(own), found[i][2] + size + slack)
@@ -164,6 +188,8 @@ class Index:
                 if share > best[0]:
                     best = (share, held)
                 i += 1
+            if best[0] < THRESHOLD:
+                best = self._joined(found, first, own, reach, slack)
             if best[0] >= THRESHOLD:
                 held = best[1]
                 while own[held[-1]] in own[held[:-1]]:  # the ends repeat what the place holds already: a neighbouring copy's

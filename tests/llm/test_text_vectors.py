@@ -180,3 +180,13 @@ def test_the_beam_widens_until_neighbours_are_found(spark, monkeypatch):
     s[np.arange(100), np.arange(0, 3000, 30)] = -9
     hit = sum(len(got[30 * i] & set(best.tolist())) for i, best in enumerate(np.argsort(-s, axis=1)[:, :5]))
     assert hit / 500 >= 0.95
+
+
+def test_interrupted_licenses(docs_of, prose):
+    words = license_scan.TEMPLATES["MIT"].split()
+    split = lambda n: " ".join(words[:40]) + " " + prose(n, 6) + " " + " ".join(words[40:])
+    half = " ".join(words[:45])
+    rows = [(n, prose(30, 1) + " " + split(n) + " " + prose(30, 2), "s") for n in (20, 35, 60, 120, 300)] + [(1, (half + " ") * 50, "s"), (2, split(60) + " x " + split(60), "s"), (3, half + " x " + " ".join(words) + " x " + " ".join(words), "s")]
+    got = sorted((r.doc_id, r.license, r.first_word) for r in license_scan.scan(docs_of(rows)).collect())
+    assert [(i, n) for i, n, _ in got] == [(2, "MIT"), (2, "MIT"), (3, "MIT"), (3, "MIT"), *((n, "MIT") for n in (20, 35, 60, 120, 300))]
+    assert all(at == 30 for i, _, at in got if i >= 60)

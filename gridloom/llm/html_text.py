@@ -145,9 +145,13 @@ class Page:
         return ">".join(reversed(steps))
 
     def best(self) -> tuple[int, float]:
-        """The container with the most running text, raised to the article or main element around it, and its score."""
+        """The container with the most running text, raised to the article or main element around it, and its score.
+
+        Without one, it is raised while the element around it holds further running text, or a first heading.
+        """
         hidden = self.hidden()
         score: dict[int, float] = {}
+        running = [0] * len(self.tags)
         links = [False] * len(self.tags)
         for i, p in enumerate(self.parents):
             links[i] = self.tags[i] == "a" or (p >= 0 and links[p])
@@ -156,6 +160,11 @@ class Page:
 
         def done() -> None:
             nonlocal length, linked, commas, holder
+            if holder >= 0 and 2 * linked < length and (length - linked >= 25 or self.tags[holder] == "h1"):
+                node = holder
+                while node >= 0:
+                    running[node] += length - linked
+                    node = self.parents[node]
             if length - linked >= 25 and holder >= 0:
                 points = (1 + commas + (length - linked) / 100) * (1 - linked / length)
                 node, part = holder, 1.0
@@ -193,7 +202,14 @@ class Page:
             if self.tags[up] == "article" or self.tags[up] == "main" and whole < 0:
                 whole = up
             up = self.parents[up]
-        return (whole if whole > 0 else node), value
+        if whole > 0:
+            return whole, value
+        up = self.parents[node]
+        while up > 0 and self.tags[up] != "html" and self.tags[node] not in SEALED:
+            if running[up] > running[node]:
+                node = up
+            up = self.parents[up]
+        return node, value
 
     def extract(self, roots: set[int]) -> str:
         """The text in ``roots`` outside boilerplate: blocks in page order, white space made single, joined by blank lines."""

@@ -190,3 +190,13 @@ def test_interrupted_licenses(docs_of, prose):
     got = sorted((r.doc_id, r.license, r.first_word) for r in license_scan.scan(docs_of(rows)).collect())
     assert [(i, n) for i, n, _ in got] == [(2, "MIT"), (2, "MIT"), (3, "MIT"), (3, "MIT"), *((n, "MIT") for n in (20, 35, 60, 120, 300))]
     assert all(at == 30 for i, _, at in got if i >= 60)
+
+
+def test_main_text_in_unequal_siblings(spark):
+    source = """<body><nav><p>Home, news, and all the other places to go to.</p></nav><div class="wrap"><h1>Headline</h1><div class="lead"><p>A lead, in a few words, before the rest.</p></div>
+<section class="part-a"><p>{}</p><p>{}</p></section><section class="part-b"><p>The second part, shorter, but still the story.</p></section><div class="sidebar"><p>Related stories, and more of them, all over the place.</p></div></div></body>"""
+    long = "The first part, told in many words, over and over. " * 5
+    page = source.format(long, long)
+    rows = [(i, "http://h.x/" if i < 3 else None, page) for i in range(5)]
+    wanted = "\n\n".join(["Headline", "A lead, in a few words, before the rest.", long.strip(), long.strip(), "The second part, shorter, but still the story."])
+    assert {r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {wanted}

@@ -9,7 +9,7 @@ from gridloom.llm import mixing, near_dedup, packing, quality, suffix_dedup
 from gridloom.llm.common import Scratch, table
 
 
-#: Bytes of a repeated passage that the pipeline takes out: fewer than 50 words have.
+#: Bytes of a repeated passage that the pipeline takes out: fewer than 50 words mostly have (the README states the share).
 PASSAGE_BYTES = 240
 
 

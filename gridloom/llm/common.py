@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Rows that a rank bucket holds on average.
 BUCKET_ROWS = 4000
+#: Rows that a key may always bring to a task of a join.
+FREQUENT_ROWS = 1000
 
 
 #: Rows of an Arrow batch where the session doesn't say otherwise: texts are long, and a batch lies in memory several times.
@@ -77,6 +79,21 @@ def task_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def frequent_join(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
+    """left joined with right, which has one row a key and in ``count`` how many rows of left the key has.
+
+    Keys with more rows than a quarter of a task's fair share are at most ``4 * task_width``; they are broadcast, and left's
+    rows of them stay where they are. All other keys meet by shuffle.
+    """
+    width = task_width(left.sparkSession)
+    limit = max(FREQUENT_ROWS, (right.agg(F.sum(count)).first()[0] or 0) // (4 * width))
+    frequent = right.where(F.col(count) > limit)
+    if frequent.isEmpty():
+        return left.join(right, on)
+    keys = F.broadcast(frequent.select(*on))
+    return left.join(F.broadcast(frequent), on).unionByName(left.join(keys, on, "left_anti").join(right.where(F.col(count) <= limit), on))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without a copy; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

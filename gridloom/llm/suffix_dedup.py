@@ -4,19 +4,23 @@ A byte goes if a string of ``min_bytes`` that covers it also starts anywhere els
 corpus with every other isn't needed: each string of that length holds an anchor, the least hash among its short substrings,
 and equal strings hold equal anchors at equal places. So
 
-1. every document is scanned once for its anchors, with a fingerprint of the anchor and one of the whole context around it;
-2. anchors that occur once are left out; where the whole context occurs again, all of it is covered, without another look;
-3. for the rest, one context of each kind is cut from the documents and dealt by anchor to shards. In a shard each new batch
-   gets a suffix array: its window starts in the order of the fingerprints of their ``min_bytes`` prefixes, in which equal
-   prefixes are neighbours, the only property of the order that a match of that length needs. The batch is merge-scanned
-   against every level of the family, then joins it, and levels of equal size merge, so a level's size doubles with its height;
+1. every document is scanned once for its anchors, with the anchor's hash and a 128-bit cryptographic digest of the whole
+   context around it, the bytes that strings with this anchor can cover;
+2. anchors that occur once are left out; equal contexts are one entry of the index, and their copies are covered whole;
+3. the contexts that differ are cut from the documents and dealt by anchor to shards. Each new batch of a shard gets two suffix
+   arrays in byte order: of the suffixes that start at its anchors, and of the texts in front of them read backwards. It is
+   merge-scanned against every level of the shard's family: the arrays of batch and level are merged in one linear pass, and
+   the common lengths of neighbours, taken from the bytes, tell which strings of ``min_bytes`` occur in both. Then the batch
+   becomes a level, and levels of equal size merge, so a level's size doubles with its height;
 4. covered ranges come back to their documents.
 
-Contexts of a very frequent anchor are cut into narrower ranges that are dealt by the bytes they must share, so a shard's
-share of one anchor is bounded (``HOT`` contexts of full width) whatever the number of its copies.
+Contexts of an anchor that has very many are halved into narrower ranges, dealt by the bytes that these must share, and equal
+ranges become one entry, until no shard's share of one anchor exceeds ``HOT``. Joins treat keys with a large share of the rows
+apart, so neither a frequent anchor nor a frequent context is a group of one task.
 
-Defined cases: a null text is empty; texts shorter than ``min_bytes`` lose nothing; overlapping repeats in one text count;
-rows that repeat lose all covered bytes in each copy; an empty table gives no rows; extra columns are ignored or passed on.
+Defined cases: a null text is empty; texts shorter than ``min_bytes`` lose nothing, however long others are; overlapping
+repeats in one text count; rows that repeat lose all covered bytes in each copy; null ids are kept and count as rows of their
+own; an empty table gives no rows; extra columns, whatever their names, are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, slices, task_width, text_buffer, trim
+from .common import SLICE_BYTES, Scratch, frequent_join, slices, task_width, text_buffer, trim
 from .hashing import Rolling, mixed
 
-HOT = 20_000
+#: Entries of one anchor, or of one range of its strings, that a shard takes.
+HOT = 10_000
 #: Contexts of one batch of the index family, and of one shard on average.
 BATCH, SHARD = 1000, 4000
 #: Bytes of text that one step of the anchor scan handles.
@@ -65,8 +70,9 @@ def find_anchors(data: np.ndarray, ends: np.ndarray, length: int, core: int, fir
 
 
 def _anchor_rows(data: np.ndarray, offsets: np.ndarray, length: int, core: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, place, context start, context end, anchor hash, context hash), places within documents."""
+    """(row, place, context start, context end, anchor hash, context digests), places within documents."""
     side = length - core
+    digest = hashlib.blake2b
     for a, b in slices(offsets, STEP):
         size = int(offsets[b] - offsets[a])
         if size < length:
@@ -90,160 +96,269 @@ def _anchor_rows(data: np.ndarray, offsets: np.ndarray, length: int, core: int)
             row = np.searchsorted(bounds, place, "right") - 1
             start, end = np.maximum(begins[place], place - side), np.minimum(ends[place], place + length)
             h = rolling.at(place, place + core)
-            c = mixed(rolling.at(start, end) + ((place - start) * 100_003 + (end - start)).astype(np.uint64))
+            raw = memoryview(part)
+            c = np.frombuffer(b"".join([digest(raw[x:y], digest_size=16).digest() for x, y in zip(start.tolist(), end.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+            c = mixed(((place - start) * 100_003 + (end - start)).astype(np.uint64))[:, None] ^ c
             base = bounds[row] + (0 if len(parts) == 1 else -lo)
-            yield row + a, place - base, start - base, end - base, h.view(np.int64), c.view(np.int64)
+            yield row + a, place - base, start - base, end - base, h.view(np.int64), c[:, 0].view(np.int64), c[:, 1].view(np.int64)
 
 
 def anchors(docs: DataFrame, length: int, core: int) -> DataFrame:
-    """k1, k2, place, start, end, h, c of every anchor of docs (k1, k2, text)."""
+    """k1, k2, place, start, end, h, c1, c2 of every anchor of docs (k1, k2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
-            for row, place, start, end, h, c in _anchor_rows(data, offsets, length, core):
+            for row, place, start, end, *hashes in _anchor_rows(data, offsets, length, core):
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(h), pa.array(c)], names=["k1", "k2", "place", "start", "end", "h", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (place, start, end)), *(pa.array(np.ascontiguousarray(x)) for x in hashes)], names=["k1", "k2", "place", "start", "end", "h", "c1", "c2"])
         trim()
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place int, start int, end int, h long, c long")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place int, start int, end int, h long, c1 long, c2 long")
+
+
+def common_lengths(rows: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many bytes each string of ``order`` shares with the next one, from padded rows and the strings' sizes."""
+    x, y = order[:-1], order[1:]
+    differ = rows[x] != rows[y]
+    first = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return np.minimum(first, np.minimum(sizes[x], sizes[y]))
 
 
 class Family:
-    """Suffix arrays of geometric sizes over window starts; ``add`` returns nothing, ``low``/``high`` hold each owner's covered starts."""
+    """Pairs of suffix arrays, of geometric sizes, over contexts of anchors.
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    An entry is what lies right of its anchor's start and, read backwards, what lies left of it. A string of ``length`` bytes
+    that starts k bytes before the anchor occurs in two entries if they share k bytes to the left and ``length - k`` to the
+    right. ``low`` and ``high`` hold, per entry, the least and the greatest such k found (``high`` -1: none).
+    """
+
+    def __init__(self, length: int, side: int):
+        self.length, self.side = length, side
+        self.levels: list[tuple[list[int], list[int]]] = []
+        self.right: list[bytes] = []
+        self.left: list[bytes] = []
+        self.rows = (np.zeros((0, length), np.uint8), np.zeros((0, side), np.uint8))
         self.low, self.high = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def mark(self, owner: np.ndarray, start: np.ndarray) -> None:
-        np.minimum.at(self.low, owner, start)
-        np.maximum.at(self.high, owner, start)
-
-    def add(self, owners: int, key: np.ndarray, owner: np.ndarray, start: np.ndarray) -> None:
-        """A new batch: its suffix array, the scan against all levels, and the merges that equal sizes call for."""
-        have = len(self.low)
-        self.low = np.concatenate([self.low, np.full(owners, np.iinfo(np.int32).max, np.int32)])
-        self.high = np.concatenate([self.high, np.full(owners, -1, np.int32)])
-        order = np.argsort(key, kind="stable")
-        new = (key[order], (owner[order] + have).astype(np.int32), start[order])
-        same = new[0][1:] == new[0][:-1]
-        twin = np.zeros(len(key), bool)
-        twin[1:] |= same
-        twin[:-1] |= same
-        self.mark(new[1][twin], new[2][twin])
+    def add(self, right: list[bytes], left: list[bytes]) -> None:
+        """A new batch: its suffix arrays, the scan against all levels, and the merges that equal sizes call for."""
+        first, n = len(self.right), len(right)
+        self.right += right
+        self.left += left
+        if first + n > len(self.rows[0]):
+            self.rows = tuple(np.concatenate([r, np.zeros((max(n, len(r)), r.shape[1]), np.uint8)]) for r in self.rows)
+        for rows, strings in zip(self.rows, (right, left), strict=True):
+            size = np.array([len(x) for x in strings])
+            flat = np.frombuffer(b"".join(strings), np.uint8)
+            at = np.repeat((np.arange(n) + first) * rows.shape[1] - (np.cumsum(size) - size), size) + np.arange(len(flat))
+            rows.reshape(-1)[at] = flat
+        self.sizes = tuple(np.concatenate([old, np.array([len(x) for x in strings], np.int64)]) for old, strings in zip(getattr(self, "sizes", (np.zeros(0, np.int64),) * 2), (right, left), strict=True))
+        self.low = np.concatenate([self.low, np.full(n, self.length, np.int32)])
+        self.high = np.concatenate([self.high, np.full(n, -1, np.int32)])
+        own = range(first, first + n)
+        new = (sorted(own, key=self.right.__getitem__), sorted(own, key=self.left.__getitem__))
+        self._scan(new)
         for level in self.levels:
-            self._scan(new, level)
+            self._scan(self._merged(level, new))
         self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-1][0]) >= len(self.levels[-2][0]) / 2:
             a, b = self.levels.pop(), self.levels.pop()
-            order = np.argsort(np.concatenate([b[0], a[0]]), kind="stable")
-            self.levels.append(tuple(np.concatenate([y, x])[order] for x, y in zip(a, b, strict=True)))
-
-    def _scan(self, new: tuple, level: tuple) -> None:
-        left, right = np.searchsorted(level[0], new[0], "left"), np.searchsorted(level[0], new[0], "right")
-        hit = right > left
-        self.mark(new[1][hit], new[2][hit])
-        edge = np.zeros(len(level[0]) + 1, np.int32)
-        np.add.at(edge, left[hit], 1)
-        np.subtract.at(edge, right[hit], 1)
-        old = np.cumsum(edge)[:-1] > 0
-        self.mark(level[1][old], level[2][old])
-
-
-def _cut_contexts(needed: DataFrame, docs: DataFrame, length: int, core: int) -> DataFrame:
-    """shard, k1, k2, start, single, context: the bytes of needed contexts, frequent anchors in narrower ranges."""
+            self.levels.append(self._merged(b, a))
+
+    def _merged(self, a: tuple, b: tuple) -> tuple[list[int], list[int]]:
+        """Two runs in byte order are one in a single pass: the sort finds and merges them."""
+        return sorted(a[0] + b[0], key=self.right.__getitem__), sorted(a[1] + b[1], key=self.left.__getitem__)
+
+    def _scan(self, arrays: tuple[list[int], list[int]]) -> None:
+        """Marks all strings that two entries of merged arrays share."""
+        by_right, by_left = (np.array(x) for x in arrays)
+        n = len(by_right)
+        if n < 2:
+            return
+        place = np.empty(len(self.right), np.int32)
+        place[by_right] = np.arange(n)
+        right, left = (common_lengths(r, s, o) for r, s, o in zip(self.rows, self.sizes, (by_right, by_left), strict=True))
+        # the most that an entry shares with any other, either way; entries are numbered by their place in by_right from here
+        best_right = np.maximum(np.append(right, 0), np.append(0, right))
+        best_left = np.empty(n, np.int64)
+        best_left[place[by_left]] = np.maximum(np.append(left, 0), np.append(0, left))
+        able = best_right + best_left >= self.length
+        if able.sum() < 2:
+            return
+        number = np.cumsum(able) - 1
+        at_right, at_left = np.flatnonzero(able), np.flatnonzero(able[place[by_left]])
+        right, left = (np.minimum.reduceat(x[: at[-1]], at[:-1]) for x, at in ((right, at_right), (left, at_left)))
+        left_order = number[place[by_left[at_left]]]
+        entry, best_right, best_left = by_right[at_right], best_right[at_right], best_left[at_right]
+        m = len(entry)
+        left_group = np.empty(m, np.int64)
+        for k in range(max(0, self.length - int(best_right.max())), min(self.side, int(best_left.max())) + 1):
+            live = np.flatnonzero((best_right >= self.length - k) & (best_left >= k))
+            if len(live) < 2:
+                continue
+            right_group = np.append(0, np.cumsum(right < self.length - k))
+            left_group[left_order] = np.append(0, np.cumsum(left < k))
+            key = right_group[live] * m + left_group[live]
+            order = np.argsort(key)
+            key = key[order]
+            twin = np.append(key[1:] == key[:-1], False)
+            twin[1:] |= twin[:-1].copy()
+            hit = entry[live[order[twin]]]
+            self.low[hit] = np.minimum(self.low[hit], k)
+            self.high[hit] = np.maximum(self.high[hit], k)
+
+
+_ENTRY = "shard long, d1 long, d2 long, k1 long, k2 long, place int, start int, single boolean, near int, far int, context binary"
+
+
+def _entries(columns: list[pa.Array], rows: list[int], shard: list[int], digests: list[bytes], start: list[int], near: list[int], far: list[int], contexts: list[bytes]) -> pa.RecordBatch:
+    """Rows of ``_ENTRY``; k1, k2, place and single (``columns``) are those of ``rows``."""
+    at = pa.array(rows, pa.int64())
+    k1, k2, place, single = (c.take(at) for c in columns)
+    d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    arrays = [pa.array(shard, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), k1, k2, place.cast(pa.int32()), pa.array(start, pa.int32()), single, pa.array(near, pa.int32()), pa.array(far, pa.int32()), pa.array(contexts, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _ENTRY.split(", ")])
+
+
+def _halves(context: bytes, start: int, place: int, near: int, far: int, length: int) -> Iterator[tuple[int, bytes, int, int, int, bytes]]:
+    """(shard, digest, start, near, far, bytes) of the two halves of a context's strings, those that start near to far bytes before its anchor."""
+    middle = (near + far + 1) // 2
+    for a, b in ((near, middle - 1), (middle, far)):
+        lo, hi = max(start, place - b), min(start + len(context), place - a + length)
+        if b >= a and hi - lo >= length:
+            shared = context[place - a - start : place - b + length - start]
+            shard = hashlib.blake2b(shared, digest_size=8, key=a.to_bytes(4, "little") + b.to_bytes(4, "little")).digest()
+            part = context[lo - start : hi - start]
+            yield int.from_bytes(shard, "little", signed=True), hashlib.blake2b(part, digest_size=16, key=(place - lo).to_bytes(4, "little")).digest(), lo, a, b, part
+
+
+def _cut_contexts(needed: DataFrame, docs: DataFrame, length: int, core: int, hot: int) -> DataFrame:
+    """The bytes of needed contexts as rows of ``_ENTRY``: whole ones dealt by anchor, halves of those of frequent anchors."""
     side = length - core
     wanted = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "start", "end", "h", "single", "contexts")).alias("wanted"))
     joined = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = bytes(16)
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             listed = batch.column(3)
             flat = listed.flatten()
             counts = listed.value_lengths().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(counts)), counts)
-            place, start, end, h, contexts = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("place", "start", "end", "h", "contexts"))
-            single = flat.field("single").to_numpy(zero_copy_only=False)
-            raw = memoryview(data)
+            place, start, end, h, contexts = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64).tolist() for n in ("place", "start", "end", "h", "contexts"))
+            which = pa.array(row)
+            columns = [batch.column(0).take(which), batch.column(1).take(which), flat.field("place"), flat.field("single")]
+            raw, base = memoryview(data), offsets[row].tolist()
+            for at in range(0, len(row), 4096):
+                out: list[tuple] = []
+                for i in range(at, min(at + 4096, len(row))):
+                    context = bytes(raw[base[i] + start[i] : base[i] + end[i]])
+                    if contexts[i] <= hot:
+                        out.append((i, h[i], none, start[i], 0, -1, context))
+                    else:
+                        out.extend((i, *x) for x in _halves(context, start[i], place[i], 0, side, length))
+                if out:
+                    yield _entries(columns, *(list(x) for x in zip(*out, strict=True)))
+        trim()
+
+    return joined.mapInArrow(run, _ENTRY)
+
+
+def _cut_halves(entries: DataFrame, length: int) -> DataFrame:
+    """Rows of ``_ENTRY`` cut to halves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2, place, start, single, near, far, context = (batch.column(j) for j in range(8))
             out: list[tuple] = []
-            for i in range(len(row)):
-                base, s, e, p = offsets[row[i]], int(start[i]), int(end[i]), int(place[i])
-                if contexts[i] <= HOT:
-                    out.append((int(h[i]), i, s, bytes(raw[base + s : base + e])))
-                    continue
-                width = max(1, (side + 1) * HOT // int(contexts[i]))
-                for k in range(0, side + 1, width):  # starts p - k - width + 1 ... p - k, on a grid fixed to the anchor
-                    far = min(side, k + width - 1)
-                    lo, hi = max(s, p - far), min(e, p - k + length)
-                    if hi - lo >= length:
-                        shared = bytes(raw[base + max(s, p - k) : base + min(e, p - far + length)])
-                        shard = hashlib.blake2b(shared, digest_size=8, key=k.to_bytes(4, "little")).digest()
-                        out.append((int.from_bytes(shard, "little", signed=True), i, lo, bytes(raw[base + lo : base + hi])))
-            for at in range(0, len(out), 4096):
-                part = out[at : at + 4096]
-                which = np.array([x[1] for x in part])
-                rows = pa.array(row[which])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in part], pa.int64()), pa.array(h[which]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[which].astype(np.int32)), pa.array([x[2] for x in part], pa.int32()), pa.array(single[which]), pa.array([x[3] for x in part], pa.binary())],
-                    names=["shard", "h", "k1", "k2", "place", "start", "single", "context"],
-                )
-
-    return joined.mapInArrow(run, "shard long, h long, k1 long, k2 long, place int, start int, single boolean, context binary")
-
-
-def _family_matches(contexts: DataFrame, length: int, shards: int) -> DataFrame:
-    """k1, k2, start, end of the covered ranges of single contexts, found by one index family per shard.
-
-    A window's key holds its fingerprint, the anchor's and its distance from the anchor, so that one place of a document,
-    which the contexts of two anchors may both hold, never meets itself.
+            for i, (c, s, p, a, b) in enumerate(zip(context.to_pylist(), start.to_pylist(), place.to_pylist(), near.to_pylist(), far.to_pylist(), strict=True)):
+                out.extend((i, *x) for x in _halves(c, s, p, a, b, length))
+            if out:
+                yield _entries([k1, k2, place, single], *(list(x) for x in zip(*out, strict=True)))
+
+    return entries.select("k1", "k2", "place", "start", "single", "near", "far", "context").mapInArrow(run, _ENTRY)
+
+
+def _narrowed(parts: DataFrame, length: int, hot: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(entries for the families, covered ranges) of the halves of contexts of frequent anchors.
+
+    Equal ranges are one entry, their copies are covered whole. Entries whose shared bytes more than ``hot`` others share are
+    halved again; strings of one start that share all their bytes are equal, so this ends.
     """
+    ready, ranges = [], []
+    one = F.struct("k1", "k2", "place", "start", "single", "near", "far", "context")
+    while True:
+        kinds = scratch.keep(parts.groupBy("shard", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min_by(one, F.struct("k1", "k2", "place")).alias("one")))
+        copies = kinds.where("n > 1").select("shard", "d1", "d2", "n")
+        ranges.append(frequent_join(parts.where("single"), copies, ["shard", "d1", "d2"], "n").select("k1", "k2", "start", (F.col("start") + F.length("context")).alias("end")))
+        entries = kinds.select("shard", "d1", "d2", "one.*", "n").withColumn("single", F.col("single") & (F.col("n") == 1)).drop("n")
+        sizes = scratch.keep(entries.groupBy("shard").agg(F.count(F.lit(1)).alias("size")))
+        if sizes.where(F.col("size") > hot).isEmpty():
+            return [*ready, entries], ranges
+        sized = frequent_join(entries, sizes, ["shard"], "size")
+        ready.append(sized.where(F.col("size") <= hot).drop("size"))
+        parts = scratch.keep(_cut_halves(sized.where(F.col("size") > hot), length))
+
+
+def _family_matches(entries: DataFrame, length: int, core: int, shards: int) -> DataFrame:
+    """k1, k2, start, end of the covered ranges of single contexts, found by one index family per shard."""
+    per_batch = BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, kept = Family(), []
+        family, kept = Family(length, length - core), []
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                h, k1, k2, place, start, single = (part.column(j) for j in range(6))
-                place, start = place.to_numpy().astype(np.int64), start.to_numpy().astype(np.int64)
-                data, offsets = text_buffer(part.column(6))
-                rolling = Rolling(data)
-                n = np.maximum(np.diff(offsets) - length + 1, 0)
-                owner = np.repeat(np.arange(len(n)), n)
-                inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                where = offsets[owner] + inner
-                seat = mixed(h.to_numpy().view(np.uint64))[owner] + (place[owner] - start[owner] - inner).astype(np.uint64)
-                family.add(len(n), mixed(rolling.at(where, where + length) ^ mixed(seat)), owner.astype(np.int32), inner.astype(np.int32))
-                kept.append((k1, k2, start, single.to_numpy(zero_copy_only=False).astype(bool)))
-        family.levels.clear()
+            for at in range(0, batch.num_rows, per_batch):
+                part = batch.slice(at, per_batch)
+                k1, k2, place, start, single = (part.column(j) for j in range(5))
+                place = place.to_numpy().astype(np.int64)
+                data, offsets = text_buffer(part.column(5))
+                raw = data.tobytes()
+                seat = (offsets[:-1] + place - start.to_numpy()).tolist()
+                bounds = offsets.tolist()
+                family.add([raw[s:e] for s, e in zip(seat, bounds[1:], strict=True)], [raw[a:s][::-1] for a, s in zip(bounds, seat, strict=False)])
+                kept.append((k1, k2, place, single.to_numpy(zero_copy_only=False).astype(bool)))
         at = 0
-        for k1, k2, start, single in kept:
-            low, high = family.low[at : at + len(start)], family.high[at : at + len(start)]
-            at += len(start)
+        for k1, k2, place, single in kept:
+            low, high = family.low[at : at + len(place)], family.high[at : at + len(place)]
+            at += len(place)
             good = np.flatnonzero(single & (high >= 0))
             rows = pa.array(good)
-            yield pa.RecordBatch.from_arrays([k1.take(rows), k2.take(rows), pa.array((start[good] + low[good]).astype(np.int32)), pa.array((start[good] + high[good] + length).astype(np.int32))], names=["k1", "k2", "start", "end"])
+            yield pa.RecordBatch.from_arrays([k1.take(rows), k2.take(rows), pa.array((place[good] - high[good]).astype(np.int32)), pa.array((place[good] - low[good] + length).astype(np.int32))], names=["k1", "k2", "start", "end"])
         trim()
 
-    return contexts.repartition(shards, "shard").select("h", "k1", "k2", "place", "start", "single", "context").mapInArrow(run, "k1 long, k2 long, start int, end int")
+    return entries.repartition(shards, "shard").select("k1", "k2", "place", "start", "single", "context").mapInArrow(run, "k1 long, k2 long, start int, end int")
 
 
 def covered(docs: DataFrame, length: int, core: int, scratch: Scratch) -> DataFrame:
     """k1, k2, start, end: ranges of docs (k1, k2, text) that repeated strings cover."""
+    hot = HOT
+    one = F.count(F.lit(1))
     rows = scratch.keep(anchors(docs, length, core))
-    seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("varied"))
-    again = scratch.keep(rows.join(seen, "h"))
+    seen = rows.groupBy("h").agg(one.alias("n"), *(f("c" + j).alias(a + j) for j in "12" for f, a in ((F.min, "a"), (F.max, "z")))).where("n > 1")
+    seen = scratch.keep(seen.select("h", "n", F.expr("a1 <> z1 OR a2 <> z2").alias("varied")))
+    again = scratch.keep(frequent_join(rows, seen, ["h"], "n").drop("n"))
     scratch.drop(rows)
     whole = again.where(~F.col("varied")).select("k1", "k2", "start", "end")
     varied = again.where("varied")
-    kinds = scratch.keep(varied.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place", "start", "end")).alias("one")))
-    twice = varied.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("k1", "k2", "start", "end")
-    per_anchor = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"))
-    needed = kinds.join(per_anchor, "h").select("one.*", "h", (F.col("n") == 1).alias("single"), "contexts")
+    kinds = scratch.keep(varied.groupBy("h", "c1", "c2").agg(one.alias("n"), F.min(F.struct("k1", "k2", "place", "start", "end")).alias("one")))
+    twice = frequent_join(varied, kinds.where("n > 1").select("h", "c1", "c2", "n"), ["h", "c1", "c2"], "n").select("k1", "k2", "start", "end")
+    per_anchor = scratch.keep(kinds.groupBy("h").agg(one.alias("contexts")))
+    needed = frequent_join(kinds, per_anchor, ["h"], "contexts").select("one.*", "h", (F.col("n") == 1).alias("single"), "contexts")
+    cut = _cut_contexts(needed, docs, length, core, hot)
+    entries, ranges = [cut], [whole, twice]
+    if not per_anchor.where(F.col("contexts") > hot).isEmpty():
+        cut = scratch.keep(cut)
+        narrow, more = _narrowed(cut.where("far >= 0"), length, hot, scratch)
+        entries, ranges = [cut.where("far < 0"), *narrow], ranges + more
     shards = max(task_width(docs.sparkSession), -(-kinds.count() // SHARD))
-    found = _family_matches(_cut_contexts(needed, docs, length, core), length, shards)
-    return whole.unionByName(twice).unionByName(found)
+    for e in entries[1:]:
+        entries[0] = entries[0].unionByName(e)
+    out = _family_matches(entries[0], length, core, shards)
+    for r in ranges:
+        out = out.unionByName(r)
+    return out
 
 
 def _joined(docs: DataFrame, min_bytes: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridloom.llm import components, near_dedup, suffix_dedup
+from gridloom.llm import common, components, near_dedup, suffix_dedup
 from gridloom.llm.common import Scratch
 
 
@@ -138,12 +138,68 @@ def test_strip(docs_of, mixed_docs):
 
 
 def test_family_merges_geometrically():
-    f = suffix_dedup.Family()
+    f = suffix_dedup.Family(8, 4)
     for k in range(64):
-        f.add(4, np.arange(4, dtype=np.uint64) + np.uint64(4 * k), np.arange(4, dtype=np.int32), np.zeros(4, np.int32))
+        f.add([b"%04dxxxx" % (4 * k + i) for i in range(4)], [b"abcd"] * 4)
     assert len(f.levels) <= 8 and sum(len(x[0]) for x in f.levels) == 256 and (f.high == -1).all()
-    f.add(1, np.array([9], np.uint64), np.array([0], np.int32), np.array([3], np.int32))
-    assert f.high[9] == 0 and f.high[256] == 3
+    for by_right, by_left in f.levels:
+        assert [f.right[i] for i in by_right] == sorted(f.right[i] for i in by_right) and sorted(by_right) == sorted(by_left)
+    f.add([b"0009xx"], [b"abZ"])
+    assert f.high[9] == f.high[256] == f.low[9] == 2 and (np.delete(f.high, [9, 256]) == -1).all()
+
+
+def brute_family(entries, length, side):
+    out = []
+    for i, (right, left) in enumerate(entries):
+        found = [
+            k
+            for k in range(max(0, length - len(right)), min(side, len(left)) + 1)
+            if any(j != i and x[: length - k] == right[: length - k] and y[:k] == left[:k] and len(x) >= length - k and len(y) >= k for j, (x, y) in enumerate(entries))
+        ]
+        out.append((min(found), max(found)) if found else None)
+    return out
+
+
+@pytest.mark.parametrize("per_batch", [1, 3, 100])
+def test_family_finds_what_brute_force_finds(per_batch):
+    r = np.random.default_rng(per_batch)
+    for length, core in ((12, 3), (20, 5), (8, 4)) * 8:
+        side, entries = length - core, []
+        base = r.choice(list(b"ab\0"), length + side).astype(np.uint8)
+        for _ in range(r.integers(2, 40)):
+            b = base.copy()
+            b[r.integers(0, len(b), r.integers(0, 4))] = r.choice(list(b"ab\0"))
+            s, e = r.choice([0, 0, r.integers(0, side)]), r.choice([len(b), len(b), r.integers(side + core, len(b))])
+            entries.append((b[side:e].tobytes(), b[s:side].tobytes()[::-1]))
+        f = suffix_dedup.Family(length, side)
+        for at in range(0, len(entries), per_batch):
+            f.add(*(list(x) for x in zip(*entries[at : at + per_batch], strict=True)))
+        assert [(int(a), int(z)) if z >= 0 else None for a, z in zip(f.low, f.high, strict=True)] == brute_family(entries, length, side)
+
+
+def thue_morse(bits):
+    """Two strings of equal length whose polynomial hashes modulo 2^64 agree for every multiplier."""
+    a, b = "ab", "ba"
+    while len(a) < bits:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_strings_with_equal_fingerprints_stay(docs_of, prose):
+    a, b = thue_morse(2048)
+    rows = [(1, prose(100, 1) + a, "s"), (2, prose(100, 2) + b, "s"), (3, prose(100, 3) + b[100:900], "s")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs_of(rows), 400).collect())
+    assert got == sorted((i, *x) for (i, _, _), x in zip(rows, brute_repeats(rows, 400), strict=True))
+
+
+def test_equal_passages_in_many_contexts(docs_of, prose, monkeypatch):
+    # one passage longer than a string in contexts that all differ: halves become equal entries, and joins set its keys apart
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(common, "FREQUENT_ROWS", 3)
+    passage, line = prose(40, 8), prose(12, 9)
+    rows = [(i, prose(15, 500 + i) + passage + prose(15, 600 + i) + line + prose(15, 700 + i), "s") for i in range(60)] + [(90 + i, passage, None) for i in range(20)]
+    got = sorted((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs_of(rows), 100).collect())
+    assert got == sorted((i, b[1], b[2]) for (i, _, _), b in zip(rows, brute_repeats(rows, 100), strict=True))
 
 
 def test_empty_tables(docs_of):

@@ -40,6 +40,8 @@ from .hashing import Rolling, mixed
 HOT = 10_000
 #: Contexts of one batch of the index family, and of one shard on average.
 BATCH, SHARD = 1000, 4000
+#: Entries of one anchor that a scan compares one with another; those of others meet by the intervals that they lie in.
+NEAR = 8
 #: Bytes of text that one step of the anchor scan handles.
 STEP = SLICE_BYTES // 4
 
@@ -117,9 +119,8 @@ def anchors(docs: DataFrame, length: int, core: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place int, start int, end int, h long, c1 long, c2 long")
 
 
-def common_lengths(rows: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """How many bytes each string of ``order`` shares with the next one, from padded rows and the strings' sizes."""
-    x, y = order[:-1], order[1:]
+def common_lengths(rows: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bytes strings ``x`` and ``y`` share from their starts, from padded rows and the strings' sizes."""
     differ = rows[x] != rows[y]
     first = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
     return np.minimum(first, np.minimum(sizes[x], sizes[y]))
@@ -158,7 +159,8 @@ class Family:
         self.high = np.concatenate([self.high, np.full(n, -1, np.int32)])
         own = range(first, first + n)
         new = (sorted(own, key=self.right.__getitem__), sorted(own, key=self.left.__getitem__))
-        self._scan(new)
+        if not self.levels:
+            self._scan(new)
         for level in self.levels:
             self._scan(self._merged(level, new))
         self.levels.append(new)
@@ -178,22 +180,29 @@ class Family:
             return
         place = np.empty(len(self.right), np.int32)
         place[by_right] = np.arange(n)
-        right, left = (common_lengths(r, s, o) for r, s, o in zip(self.rows, self.sizes, (by_right, by_left), strict=True))
-        # the most that an entry shares with any other, either way; entries are numbered by their place in by_right from here
-        best_right = np.maximum(np.append(right, 0), np.append(0, right))
-        best_left = np.empty(n, np.int64)
-        best_left[place[by_left]] = np.maximum(np.append(left, 0), np.append(0, left))
-        able = best_right + best_left >= self.length
-        if able.sum() < 2:
+        right, left = (common_lengths(r, s, o[:-1], o[1:]) for r, s, o in zip(self.rows, self.sizes, (by_right, by_left), strict=True))
+        left_order, entry = place[by_left], by_right  # entries are numbered by their place in by_right from here
+        while True:  # leaves out what shares too little with all others, either way, until nothing goes
+            best_right = np.maximum(np.append(right, 0), np.append(0, right))
+            best_left = np.empty(len(entry), np.int64)
+            best_left[left_order] = np.maximum(np.append(left, 0), np.append(0, left))
+            able = best_right + best_left >= self.length
+            if able.all():
+                break
+            if able.sum() < 2:
+                return
+            at_right, at_left = np.flatnonzero(able), np.flatnonzero(able[left_order])
+            right, left = (np.minimum.reduceat(x[: at[-1]], at[:-1]) for x, at in ((right, at_right), (left, at_left)))
+            left_order, entry = (np.cumsum(able) - 1)[left_order[at_left]], entry[at_right]
+        anchor = np.append(0, np.cumsum(right < self.length - self.side))
+        few = np.bincount(anchor)[anchor] <= NEAR
+        self._neighbours(entry, anchor, few, right)
+        if few.all():
             return
-        number = np.cumsum(able) - 1
-        at_right, at_left = np.flatnonzero(able), np.flatnonzero(able[place[by_left]])
-        right, left = (np.minimum.reduceat(x[: at[-1]], at[:-1]) for x, at in ((right, at_right), (left, at_left)))
-        left_order = number[place[by_left[at_left]]]
-        entry, best_right, best_left = by_right[at_right], best_right[at_right], best_left[at_right]
-        m = len(entry)
+        # entries of an anchor with more: at each k, those of one interval of either array share a string
+        m, best_left = len(entry), np.where(few, -1, best_left)
         left_group = np.empty(m, np.int64)
-        for k in range(max(0, self.length - int(best_right.max())), min(self.side, int(best_left.max())) + 1):
+        for k in range(max(0, self.length - int(best_right[~few].max())), min(self.side, int(best_left.max())) + 1):
             live = np.flatnonzero((best_right >= self.length - k) & (best_left >= k))
             if len(live) < 2:
                 continue
@@ -204,9 +213,28 @@ class Family:
             key = key[order]
             twin = np.append(key[1:] == key[:-1], False)
             twin[1:] |= twin[:-1].copy()
-            hit = entry[live[order[twin]]]
-            self.low[hit] = np.minimum(self.low[hit], k)
-            self.high[hit] = np.maximum(self.high[hit], k)
+            self._mark(entry[live[order[twin]]], k, k)
+
+    def _neighbours(self, entry: np.ndarray, anchor: np.ndarray, few: np.ndarray, right: np.ndarray) -> None:
+        """Compares entries of anchors with at most ``NEAR`` of them with each other, a distance in the array at a time."""
+        rows, sizes = self.rows[1], self.sizes[1]
+        i = np.flatnonzero(few)
+        shared = np.full(len(entry), self.length)
+        for d in range(1, NEAR):
+            i = i[i + d < len(entry)]
+            i = i[anchor[i] == anchor[i + d]]
+            if not len(i):
+                return
+            shared[i] = np.minimum(shared[i], right[i + d - 1])
+            x, y = entry[i], entry[i + d]
+            left = common_lengths(rows, sizes, x, y)
+            hit = left + shared[i] >= self.length
+            for e in (x[hit], y[hit]):
+                self._mark(e, (self.length - shared[i])[hit], left[hit])
+
+    def _mark(self, entry: np.ndarray, low: np.ndarray | int, high: np.ndarray | int) -> None:
+        self.low[entry] = np.minimum(self.low[entry], low)
+        self.high[entry] = np.maximum(self.high[entry], high)
 
 
 _ENTRY = "shard long, d1 long, d2 long, k1 long, k2 long, place int, start int, single boolean, near int, far int, context binary"

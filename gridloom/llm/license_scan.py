@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import SLICE_BYTES, slices, text_buffer, trim
-from .hashing import Rolling, mixed
+from .hashing import mixed, word_hashes
 from .tokens import _LOWER
 
 WORDS = 5
@@ -73,7 +73,7 @@ def text_shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) ->
         first[1:] &= ~solid[:-1] | begin[1:n]
         last[:-1] &= ~solid[1:] | begin[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    h = Rolling(_LOWER[data]).at(start, end) if len(start) else np.zeros(0, np.uint64)
+    h = word_hashes(_LOWER[data], start, end) if len(start) else np.zeros(0, np.uint64)
     bounds = np.searchsorted(start, offsets)
     count = np.diff(bounds)
     left = np.repeat(bounds[1:], count) - np.arange(len(h))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Scratch, slices, text_buffer, trim
 from .components import components
-from .hashing import Rolling, mixed
+from .hashing import mixed, word_hashes
 from .tokens import _KIND, _LOWER, SPACE
 
 WORDS = 5
@@ -55,7 +55,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = Rolling(_LOWER[data]).at(start, end)
+    h = word_hashes(_LOWER[data], start, end)
     bounds = np.searchsorted(start, offsets)
     count = np.diff(bounds)
     row = np.repeat(np.arange(len(count)), count)

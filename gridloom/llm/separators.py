@@ -5,7 +5,10 @@ what a document has in front of a block comes from a prefix scan over per-block
 separator), taken in two levels so that no task holds all blocks of a long file.
 
 Defined cases: an empty or null text is a document of 0 ids; ids behind a file's last separator form one document marked
-``ended = false``; an empty file has no documents; a block may hold no separator, or one document many blocks.
+``ended = false``; an empty file has no documents; a block may hold no separator, or one document many blocks; very long texts
+are whole, and very long runs of white space in them are given to the tokenizer as the pieces that it would cut them to, since
+its pattern can't hold them; repeated rows and null ids are documents of their own; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, dtype: str =
             raw = memoryview(data)
             for a, b in slices(offsets):
                 for i in range(a, b):
-                    rest += np.array(encoder.encode_ordinary(str(raw[offsets[i] : offsets[i + 1]], "utf-8")), dtype).tobytes() + end
+                    rest += np.array(tokens.whole_ids(encoder, str(raw[offsets[i] : offsets[i + 1]], "utf-8")), dtype).tobytes() + end
                 yield from cut(block_bytes)
             for at in range(0, batch.num_rows, 1000):
                 ids = batch.column(0).slice(at, 1000)

@@ -6,13 +6,13 @@ import base64
 import functools
 import itertools
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
 
-from .hashing import Rolling
-
-#: Atoms that a worker remembers; a full memory starts anew.
-MEMORY_ATOMS = 2_000_000
+#: Atoms that a worker remembers, and their bytes; a full memory starts anew.
+MEMORY_ATOMS, MEMORY_BYTES = 500_000, 32 << 20
 SPACE, LETTER, SIGN = 0, 1, 2
 _KIND = np.full(256, SIGN, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = SPACE
@@ -35,7 +35,7 @@ class WordEncoder:
 
     Such a tokenizer's pieces never reach across white space, so a text's ids are those of its words in turn. Pieces don't
     reach from Latin letters into ASCII signs either, so words of only these are cut there too; words with an apostrophe, a
-    special id's opening or other characters stay whole. Atoms are found, hashed and looked up a slice of texts at a time.
+    special id's opening or other characters stay whole. Atoms are found and looked up, by their bytes, a slice of texts at a time.
     """
 
     def __init__(self, path: str):
@@ -46,12 +46,14 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.known: dict[bytes, int] = {}
+        self.bytes, self.used = 0, 0
+        self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.pool = np.zeros(1 << 16, np.uint32)
 
     @staticmethod
-    def atoms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes with plain words in lower case, atom starts, atom ends)."""
+    def atoms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with plain words in lower case, atom starts, atom ends, which bytes are in atoms)."""
         n = len(data)
         kind = _KIND[data]
         before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
@@ -78,12 +80,12 @@ class WordEncoder:
         if n:
             end[:-1] = solid[:-1] & (start[1:] | ~solid[1:])
             end[-1] = solid[-1]
-        return low, np.flatnonzero(start), np.flatnonzero(end) + 1
+        return low, np.flatnonzero(start), np.flatnonzero(end) + 1, solid
 
-    def _learn(self, new: np.ndarray, atoms: list[str]) -> None:
+    def _learn(self, atoms: list[bytes]) -> None:
         counts, flat = [], []
         for i in range(0, len(atoms), 5_000):
-            for e in self.tokenizer.encode_batch_fast(atoms[i : i + 5_000], add_special_tokens=False):
+            for e in self.tokenizer.encode_batch_fast([a.decode() for a in atoms[i : i + 5_000]], add_special_tokens=False):
                 ids = e.ids
                 counts.append(len(ids))
                 flat.append(ids)
@@ -91,27 +93,32 @@ class WordEncoder:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
-        counts = np.array(counts, np.int32)
-        starts = self.used + np.cumsum(counts) - counts
+        counts = np.array(counts, np.int64)
+        first, n = len(self.known), len(atoms)
+        while first + n > len(self.counts):
+            self.starts, self.counts = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.counts))
+        self.starts[first : first + n], self.counts[first : first + n] = self.used + np.cumsum(counts) - counts, counts
         self.used += len(ids)
-        at = np.searchsorted(self.keys, new)
-        self.keys, self.starts, self.counts = np.insert(self.keys, at, new), np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
+        self.bytes += sum(map(len, atoms))
+        self.known.update(zip(atoms, range(first, first + n), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets into them) of the texts data[offsets[i]:offsets[i+1]]."""
-        low, start, end = self.atoms(data, offsets)
+        low, start, end, solid = self.atoms(data, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        keys, first, inverse = np.unique(Rolling(low).at(start, end), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > MEMORY_ATOMS:
+        bounds = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=bounds[1:])
+        column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(low[solid].tobytes())]).dictionary_encode()
+        atoms, inverse = column.dictionary.to_pylist(), column.indices.to_numpy()
+        if len(self.known) > MEMORY_ATOMS or self.bytes > MEMORY_BYTES:
             self.forget()
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            raw = low.tobytes()
-            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        count = self.counts[at][inverse].astype(np.int64)
+        new = [a for a in atoms if a not in self.known]
+        if new:
+            self._learn(new)
+        known = self.known
+        at = np.fromiter((known[a] for a in atoms), np.int64, len(atoms))
+        count = self.counts[at][inverse]
         ahead = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=ahead[1:])
         where = np.repeat(self.starts[at][inverse] - ahead[:-1], count)
@@ -133,3 +140,26 @@ def byte_encoder(path: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+#: Characters that a byte-level tokenizer's pattern takes for white space.
+_BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A run of white space of this length is taken out of the pattern's way.
+LONG_RUN = 1000
+_RUN = re.compile(f"[{_BLANK}]{{{LONG_RUN},}}")
+
+
+def whole_ids(encoding, text: str) -> list[int]:
+    """Ids of a whole text by a tiktoken encoding with the public pattern, whatever runs of white space it holds.
+
+    In front of other characters the pattern makes a run without its last character one piece, at a text's end the whole run;
+    what follows is cut as if the text began at the run's last character. So a long run is encoded as that piece, which the
+    pattern itself can't match beyond about a million characters.
+    """
+    at, out = 0, []
+    for run in _RUN.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._core_bpe.encode_single_piece(text[run.start() : stop].encode())
+        at = stop
+    return out + encoding.encode_ordinary(text[at:]) if out else encoding.encode_ordinary(text[at:])

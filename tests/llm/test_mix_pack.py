@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gridloom.llm import mixing, packing, separators, tokens
+from gridloom.llm import hashing, license_scan, mixing, near_dedup, packing, separators, tokens
 from gridloom.llm.common import text_buffer
 
 
@@ -158,6 +158,53 @@ def test_encoder_equals_the_tokenizer(tokenizer, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
 
 
+def test_words_with_equal_polynomial_hashes_keep_their_ids(tokenizer, docs_of, prose):
+    import pyarrow as pa
+
+    a, b = "ab", "ba"
+    while len(a) < 2048:  # these agree modulo 2^64 in every polynomial hash
+        a, b = a + b, b + a
+    encoder = tokens.WordEncoder(tokens.tokenizer_path("word_bpe_49k.json"))
+    for part in ([a, b], [b + " x", a]):
+        ids, bounds = encoder.encode(*text_buffer(pa.array(part)))
+        assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    for n in (1, 7, 8, 9, 63, 64, 65, 2048):
+        x, y = hashing.word_hashes(raw, np.array([0, 2048]), np.array([n, 2048 + n]))
+        assert x != y
+    rows = [(1, " ".join([a] * 4 + ["end"]), "s"), (2, " ".join([b] * 4 + ["end"]), "s")]
+    assert len({r.class_id for r in near_dedup.classes(docs_of(rows)).collect()}) == 2
+    assert not license_scan.scan(docs_of(rows[:1]), {"x": rows[1][1]}).collect()
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    r = np.random.default_rng(2)
+    words = [bytes(r.integers(97, 99, n).astype(np.uint8)) for n in r.integers(1, 90, 3000)]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    size = np.array([len(w) for w in words])
+    start = np.cumsum(size + 1) - size - 1
+    h = hashing.word_hashes(raw, start, start + size)
+    assert len(set(h.tolist())) == len(set(words)) == len({(w, int(x)) for w, x in zip(words, h, strict=True)})
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\u00a0 ", " \t\r\n\u3000", "a", "-", "1", "\x1c"])
+def test_ids_of_long_runs(unit):
+    encoder = tokens.byte_encoder(tokens.tokenizer_path("byte_bpe_50k.tiktoken"))
+    run = unit * 3000
+    for text in (run, "word" + run, run + "word", "a." + run + "\nb" + run + " c " + run, run + "'s", "x" + run + " é" + run + "1"):
+        assert tokens.whole_ids(encoder, text) == encoder.encode_ordinary(text)
+    vast = unit * (10_000_000 // len(unit)) + "b"  # the tokenizer itself can't take the white ones
+    ids = tokens.whole_ids(encoder, vast)
+    assert encoder.decode_bytes(ids) == vast.encode()
+
+
+def test_token_counts_of_vast_runs(docs_of, mixed_docs):
+    rows = [(1, " " * 2_000_000 + "x", "s"), (2, "\n" * 1_500_000, "s"), (2, None, "s"), (None, "a" * 100_000, None)]
+    got = sorted((str(r.doc_id), r.n_tokens) for r in separators.count_documents(docs_of(rows)).collect())
+    encoder = tokens.byte_encoder(tokens.tokenizer_path("byte_bpe_50k.tiktoken"))
+    assert got == sorted((str(i), len(tokens.whole_ids(encoder, t or ""))) for i, t, _ in rows)
+
+
 def test_token_counts(docs_of, mixed_docs):
     encoder = tokens.byte_encoder(tokens.tokenizer_path("byte_bpe_50k.tiktoken"))
     got = separators.count_documents(docs_of(mixed_docs)).collect()

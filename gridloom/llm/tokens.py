@@ -11,8 +11,10 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from .common import text_buffer
+
 #: Atoms that a worker remembers, and their bytes; a full memory starts anew.
-MEMORY_ATOMS, MEMORY_BYTES = 500_000, 32 << 20
+MEMORY_ATOMS, MEMORY_BYTES = 1_000_000, 64 << 20
 SPACE, LETTER, SIGN = 0, 1, 2
 _KIND = np.full(256, SIGN, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = SPACE
@@ -110,14 +112,17 @@ class WordEncoder:
         bounds = np.zeros(len(start) + 1, np.int64)
         np.cumsum(end - start, out=bounds[1:])
         column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(low[solid].tobytes())]).dictionary_encode()
-        atoms, inverse = column.dictionary.to_pylist(), column.indices.to_numpy()
+        inverse = column.indices.to_numpy()
+        flat, cut = text_buffer(column.dictionary)
+        flat, cut = flat.tobytes(), cut.tolist()
+        atoms = [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
         if len(self.known) > MEMORY_ATOMS or self.bytes > MEMORY_BYTES:
             self.forget()
         new = [a for a in atoms if a not in self.known]
         if new:
             self._learn(new)
         known = self.known
-        at = np.fromiter((known[a] for a in atoms), np.int64, len(atoms))
+        at = np.fromiter(map(known.__getitem__, atoms), np.int64, len(atoms))
         count = self.counts[at][inverse]
         ahead = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=ahead[1:])

@@ -79,8 +79,8 @@ def task_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def frequent_join(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
-    """left joined with right, which has one row a key and in ``count`` how many rows of left the key has.
+def frequent_join(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """left joined (``how``: inner or left) with right, which has one row a key and in ``count`` how many rows of left the key has.
 
     Keys with more rows than a quarter of a task's fair share are at most ``4 * task_width``; they are broadcast, and left's
     rows of them stay where they are. All other keys meet by shuffle.
@@ -89,9 +89,9 @@ def frequent_join(left: DataFrame, right: DataFrame, on: list[str], count: str)
     limit = max(FREQUENT_ROWS, (right.agg(F.sum(count)).first()[0] or 0) // (4 * width))
     frequent = right.where(F.col(count) > limit)
     if frequent.isEmpty():
-        return left.join(right, on)
+        return left.join(right, on, how)
     keys = F.broadcast(frequent.select(*on))
-    return left.join(F.broadcast(frequent), on).unionByName(left.join(keys, on, "left_anti").join(right.where(F.col(count) <= limit), on))
+    return left.join(F.broadcast(frequent), on).unionByName(left.join(keys, on, "left_anti").join(right.where(F.col(count) <= limit), on, how))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,13 +4,18 @@ Each page's containers are scored by the running text of their blocks; the best
 vote of its host. Votes are summed in Spark, and every page is extracted again at its host's winning paths. A page on which
 no winning path occurs, or whose host is unknown, is extracted at its own best container.
 
+A page is read in one pass whose cost grows with its length alone, however deep, long or broken it is.
+
 Defined cases: null or empty html gives an empty text; a null or odd url has no host and takes no part in votes; a page whose
-containers hold no running text gives what text its body has outside boilerplate; repeated rows are pages of their own;
-broken markup (unclosed or stray tags) is repaired as browsers do for the common cases; extra columns are ignored.
+containers hold no running text gives what text its body has outside boilerplate; repeated rows and null ids are pages of
+their own; very long and very deep pages are read whole; broken markup (unclosed or stray tags) is repaired as browsers do for
+the common cases; a tag whose quotation never ends, ends at its first ``>``, and so do all later tags of that page; an empty
+table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import trim
+from .common import Scratch, frequent_join, trim
 
 #: Elements of HTML by their role in a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,12 +42,19 @@ SEALED = frozenset("article main body html".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MARK = re.compile(r"<(?=([!?/a-zA-Z]))(?!/[^a-zA-Z]|/\Z)")
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+TURN = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+LONG_NUMBER = re.compile(r"&#(?=[0-9]{8})0*([0-9]+);?")
 #: Votes of a host that a path needs, as a share of the host's best.
 SHARE = 0.1
 PATHS = 3
+#: Steps of a path that its text shows; all of them count.
+SHOWN = 32
+#: Hosts up to which their paths are broadcast (a few hundred bytes each), else only frequent hosts' are.
+BROADCAST_HOSTS = 100_000
 
 
 class Page:
@@ -68,65 +80,101 @@ class Page:
         return len(self.tags) - 1
 
     def _read(self, source: str) -> None:
-        stack, at, end = [0], 0, len(source)
+        at, end = 0, len(source)
         texts, tags = self.texts, self.tags
+        stack = [0]
+        where: dict[str, list[int]] = {}  # places in the stack of each open tag
+        blocks: list[int] = []  # places in the stack of open blocks
+        unclosed: set[str] = set()
+        quoted = True  # do quotations hide the end of a tag?
+
+        def cut(k: int) -> None:
+            for i in stack[k:]:
+                where[tags[i]].pop()
+            del stack[k:]
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
+
+        def last(names) -> int:
+            return max((where[n][-1] for n in names if where.get(n)), default=0)
+
         while at < end:
-            m = TOKEN.search(source, at)
-            stop = m.start() if m else end
-            if stop > at:
-                texts.append((stack[-1], source[at:stop]))
-            if not m:
+            mark = MARK.search(source, at)
+            if not mark:
+                texts.append((stack[-1], source[at:]))
                 break
-            at, tag = m.end(), m[2]
-            if not tag:
+            begin, after = mark.start(), mark[1]
+            closing = after == "/"
+            name = NAME.match(source, begin + 1 + closing)
+            if not name:
+                final = "-->" if source.startswith("<!--", begin) else ">"
+                stop = source.find(final, begin + 2)
+                following = end if stop < 0 else stop + len(final)
+            else:
+                stop = name.end()
+                while quoted:
+                    turn = TURN.search(source, stop)
+                    if not turn:
+                        quoted = False
+                    elif turn[0] == ">":
+                        stop = turn.start()
+                        break
+                    else:
+                        stop = source.find(turn[0], turn.end()) + 1
+                        quoted = stop > 0
+                if not quoted:
+                    stop = source.find(">", name.end())
+                    if stop < 0:
+                        texts.append((stack[-1], source[at:]))
+                        break
+                following = stop + 1
+            if begin > at:
+                texts.append((stack[-1], source[at:begin]))
+            at = following
+            if not name:
                 continue
-            tag = tag.lower()
-            if m[1]:
-                if tag == "p" and not any(tags[i] == "p" for i in stack):
+            tag, attributes = name[0].lower(), source[name.end() : stop]
+            block = tag in BLOCK
+            if closing:
+                if tag == "p" and not where.get("p"):
                     texts.append((stack[-1], None))
-                elif tag not in VOID and tag not in ("html", "body"):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tags[stack[k]] == tag:
-                            if any(tags[i] in BLOCK for i in stack[k:]):
-                                texts.append((stack[k], None))
-                            del stack[k:]
-                            break
-                        if tag not in BLOCK and tags[stack[k]] in BLOCK:  # an inline end tag doesn't close blocks
-                            break
+                elif tag not in VOID and tag not in ("html", "body") and where.get(tag):
+                    k, top = where[tag][-1], blocks[-1] if blocks else 0
+                    if block or k > top:  # an inline end tag doesn't close blocks
+                        if top >= k:
+                            texts.append((stack[k], None))
+                        cut(k)
                 continue
-            if tag in BLOCK:
+            if block:
                 texts.append((stack[-1], None))
-                for k in range(len(stack) - 1, 0, -1):
-                    t = tags[stack[k]]
-                    if t == "p":
-                        del stack[k:]
-                        break
-                    if t in BLOCK:
-                        break
-                for k in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
-                    t = tags[stack[k]]
-                    if t in WALLS[tag]:
-                        break
-                    if t in CLOSES[tag]:
-                        del stack[k:]
-                        for j in range(len(stack) - 1, 0, -1):
-                            if tags[stack[j]] not in CLOSES[tag]:
-                                break
-                            del stack[j:]
-                        break
+                if blocks and tags[stack[blocks[-1]]] == "p":
+                    cut(blocks[-1])
+                if tag in CLOSES:
+                    k = last(CLOSES[tag])
+                    if k > last(WALLS[tag]):
+                        cut(k)
+                        while len(stack) > 1 and tags[stack[-1]] in CLOSES[tag]:
+                            cut(len(stack) - 1)
             if tag in RAW:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+                close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                if close:
+                    at = close.end()
+                else:
+                    unclosed.add(tag)
+                    at = end if tag in ("script", "style", "textarea", "title") else at
                 continue
             if tag == "br":
                 texts.append((stack[-1], " "))
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            if tag in VOID or attributes.endswith("/") and not block:
                 if tag == "hr":
                     texts.append((stack[-1], None))
                 continue
-            if tag in ("html", "body") and any(tags[i] == tag for i in stack):
+            if tag in ("html", "body") and where.get(tag):
                 continue
-            stack.append(self._open(tag, m[3], stack[-1]))
+            where.setdefault(tag, []).append(len(stack))
+            if block:
+                blocks.append(len(stack))
+            stack.append(self._open(tag, attributes, stack[-1]))
 
     def hidden(self) -> list[bool]:
         """Per element: is it, or is it in, boilerplate?"""
@@ -135,14 +183,26 @@ class Page:
             out.append(bool(bad) or (parent >= 0 and out[parent]))
         return out
 
+    def step(self, node: int) -> str:
+        """A tag with its classes, digits and long hashes taken out."""
+        names = sorted({re.sub(r"\d+|[0-9a-f]{8,}", "#", n) for n in self.names[node].split()}) if self.names[node] else ()
+        return ".".join([self.tags[node], *names])
+
+    def keys(self) -> list[str]:
+        """Per element: a digest of the generalised path from the root."""
+        out, steps = [""], [bytes(16)]
+        for node in range(1, len(self.tags)):
+            steps.append(hashlib.blake2b(steps[self.parents[node]] + self.step(node).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            out.append(steps[node].hex())
+        return out
+
     def path(self, node: int) -> str:
-        """The generalised path from the root: tags with their classes, digits and long hashes taken out."""
+        """The last steps of the generalised path, for people to read."""
         steps = []
-        while node > 0:
-            names = sorted({re.sub(r"\d+|[0-9a-f]{8,}", "#", n) for n in self.names[node].split()})
-            steps.append(".".join([self.tags[node], *names]))
+        while node > 0 and len(steps) < SHOWN:
+            steps.append(self.step(node))
             node = self.parents[node]
-        return ">".join(reversed(steps))
+        return ">".join(reversed(steps + ["..."] if node > 0 else steps))
 
     def best(self) -> tuple[int, float]:
         """The container with the most running text, raised to the article or main element around it, and its score.
@@ -152,28 +212,25 @@ class Page:
         hidden = self.hidden()
         score: dict[int, float] = {}
         running = [0] * len(self.tags)
-        links = [False] * len(self.tags)
+        links, box = [False] * len(self.tags), [0] * len(self.tags)  # is it in a link? the block that it is, or is in
         for i, p in enumerate(self.parents):
             links[i] = self.tags[i] == "a" or (p >= 0 and links[p])
+            box[i] = i if p < 0 or self.tags[i] in BLOCK else box[p]
         length = linked = commas = 0
         holder = -1
 
         def done() -> None:
             nonlocal length, linked, commas, holder
             if holder >= 0 and 2 * linked < length and (length - linked >= 25 or self.tags[holder] == "h1"):
-                node = holder
-                while node >= 0:
-                    running[node] += length - linked
-                    node = self.parents[node]
+                running[holder] += length - linked
             if length - linked >= 25 and holder >= 0:
                 points = (1 + commas + (length - linked) / 100) * (1 - linked / length)
                 node, part = holder, 1.0
                 for _ in range(2):
                     node = self.parents[node]
-                    while node > 0 and self.tags[node] not in BLOCK:
-                        node = self.parents[node]
                     if node < 0:
                         break
+                    node = box[node]
                     score[node] = score.get(node, 0) + points * part
                     part /= 2
             length = linked = commas = 0
@@ -186,10 +243,10 @@ class Page:
                 n = len(text)
                 length, linked, commas = length + n, linked + n * links[node], commas + text.count(",")
                 if holder < 0:
-                    holder = node
-                    while holder > 0 and self.tags[holder] not in BLOCK:
-                        holder = self.parents[holder]
+                    holder = box[node]
         done()
+        for i in range(len(self.tags) - 1, 0, -1):
+            running[self.parents[i]] += running[i]
         for node in score:
             words = {w.lower() for w in WORDS.findall(self.names[node])}
             if self.tags[node] in ("article", "main") or words & GOOD_WORDS:
@@ -222,7 +279,7 @@ class Page:
 
         def done() -> None:
             if now:
-                text = " ".join(html.unescape("".join(now)).split())
+                text = " ".join(decoded("".join(now)).split())
                 if text:
                     blocks.append(text)
                 now.clear()
@@ -237,59 +294,68 @@ class Page:
 
     def _headed(self) -> set[int]:
         """Header elements in an article that hold its first heading: part of the article, not of the page's frame."""
+        inside = [False] * len(self.tags)  # is an article around it?
+        for i, p in enumerate(self.parents):
+            inside[i] = p >= 0 and (inside[p] or self.tags[p] == "article")
         out: set[int] = set()
+        seen: set[int] = set()
         for i, tag in enumerate(self.tags):
-            if tag == "h1":
-                over, k = set(), self.parents[i]
-                while k > 0 and self.tags[k] != "article":
-                    if self.tags[k] == "header":
-                        over.add(k)
-                    k = self.parents[k]
-                if k > 0:
-                    out |= over
+            k = self.parents[i]
+            while tag == "h1" and inside[i] and k not in seen and self.tags[k] != "article":
+                seen.add(k)
+                if self.tags[k] == "header":
+                    out.add(k)
+                k = self.parents[k]
         return out
 
     def main_text(self, paths: list[str]) -> str:
-        """Text at the first of ``paths`` that occurs, or at the page's own best container."""
+        """Text at the first of ``paths`` (keys of them) that occurs, or at the page's own best container."""
         if paths:
-            hidden = self.hidden()
-            last = {p.rpartition(">")[2].partition(".")[0] for p in paths}
-            there = {i: self.path(i) for i, t in enumerate(self.tags) if t in last and not hidden[i]}
+            hidden, roots = self.hidden(), {p: set() for p in paths}
+            for i, key in enumerate(self.keys()):
+                if key in roots and not hidden[i]:
+                    roots[key].add(i)
             for p in paths:
-                roots = {i for i, x in there.items() if x == p}
-                if roots and (text := self.extract(roots)):
+                if roots[p] and (text := self.extract(roots[p])):
                     return text
         return self.extract({self.best()[0]})
 
 
+def decoded(text: str) -> str:
+    """Text with its character references decoded; numbers beyond any character are the replacement character."""
+    return html.unescape(LONG_NUMBER.sub(lambda m: f"&#{m[1]};" if len(m[1]) < 8 else "\ufffd", text) if "&#" in text else text)
+
+
 def host_of(url):
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, votes: pages and scores summed per host and generalised path of the best container."""
+    """host, key, path, pages, score: pages and scores summed per host and generalised path of the best container."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, scores = [], [], []
+            hosts, keys, paths, scores = [], [], [], []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = Page(source.as_py())
                 node, score = page.best()
                 if score > 0:
-                    hosts.append(host), paths.append(page.path(node)), scores.append(score)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
+                    hosts.append(host), keys.append(page.keys()[node]), paths.append(page.path(node)), scores.append(score)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "key", "path", "score"])
 
     known = pages.select(host_of(F.col("url")).alias("host"), "html").where((F.col("host") != "") & F.col("html").isNotNull())
-    each = known.mapInArrow(run, "host string, path string, score double")
-    return each.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("score").alias("score"))
+    each = known.mapInArrow(run, "host string, key string, path string, score double")
+    return each.groupBy("host", "key").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("pages"), F.sum("score").alias("score"))
 
 
 def winners(found: DataFrame) -> DataFrame:
-    """host, paths: a host's few paths with the most pages, then score."""
-    order = Window.partitionBy("host").orderBy(F.col("pages").desc(), F.col("score").desc(), "path")
-    top = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PATHS).withColumn("most", F.max("pages").over(Window.partitionBy("host")))
-    kept = top.where(F.col("pages") >= SHARE * F.col("most"))
-    return kept.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("n", "path"))).alias("paths")).select(F.col("host").alias("voted"), F.col("paths.path").alias("paths"))
+    """host, keys, pages: the keys of a host's few paths with the most pages, then score, and the pages of all its paths."""
+    host = Window.partitionBy("host")
+    order = host.orderBy(F.col("pages").desc(), F.col("score").desc(), "key")
+    most, every = F.max("pages").over(host).alias("most"), F.sum("pages").over(host).alias("every")
+    top = found.select("host", "key", "pages", F.row_number().over(order).alias("n"), most, every)
+    kept = top.where((F.col("n") <= PATHS) & (F.col("pages") >= SHARE * F.col("most")))
+    return kept.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"), F.max("every").alias("pages")).select("host", F.col("k.key").alias("keys"), "pages")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -299,12 +365,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for source, keys in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 source = source.as_py()
-                texts.append(Page(source).main_text(paths or []) if source else "")
+                texts.append(Page(source).main_text(keys or []) if source else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
         trim()
 
     own = pages.select("page_id", "url", "html")
-    joined = own.join(winners(votes(own)), host_of(F.col("url")) == F.col("voted"), "left").select("page_id", "url", "html", "paths")
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    won = Scratch(pages.sparkSession, "hosts").keep(winners(votes(own)))
+    hosted = own.withColumn("host", host_of(F.col("url")))
+    if won.count() <= BROADCAST_HOSTS:
+        joined = hosted.join(F.broadcast(won), "host", "left")
+    else:  # pages of frequent hosts stay where they are
+        joined = frequent_join(hosted, won, ["host"], "pages", "left")
+    return joined.select("page_id", "url", "html", "keys").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -40,9 +40,78 @@ def test_host_consensus_beats_a_page_of_its_own(spark):
 def test_broken_markup():
     for source in ("<p><b>x<p>y</div></p>", "<div", "<script>never closed <p>a", "<!-- never closed <p>a", "<a href='>'>x</a>", "<table><tr><td>1<tr><td>2", "&am &amp &bogus; &#x41;", "<p>a</p></article></p>b"):
         html_text.Page(source).main_text([])
+    assert html_text.Page("<p>a < b, 3</4 <> c</p>").main_text([]) == "a < b, 3</4 <> c"
+    assert html_text.Page("<p>one <a title='it>two</p><p>three</p>").main_text([]) == "one two\n\nthree"
     assert html_text.Page("&am &amp &#x41;").main_text([]) == "&am & A"
 
 
+LAYOUTS = {  # what a site may put around a story; the story's blocks go where the braces are
+    "article": "<html><body><header class='top'><a href='/'>Site</a></header><nav><ul><li><a href='/a'>All of the news</a></li></ul></nav><article class='post'><h1>{h}</h1>{p}</article><aside>Related stories, and many more of them</aside><footer>All rights reserved, by law</footer></body></html>",
+    "story": "<body><div id='page'><div class='menu'>Home, news, sports, weather, and more of it</div><div class='story-body'><h2>{h}</h2>{p}</div><div class='comments'><p>I liked this very much, thank you all.</p></div></div></body>",
+    "main": "<body><div class='cookie-banner'>We use cookies, as everybody does</div><main role='main'><div class='col'><h1>{h}</h1>{p}</div></main><form action='/s'><label>Search for it</label><input></form></body>",
+    "bare": "<h1>{h}</h1>{p}",
+}
+
+
+def test_gold_pages(spark, prose):
+    # most pages of a host share a layout; rare layouts and pages without a host come out as well
+    rows, gold = [], {}
+    for i in range(60):
+        layout = "article" if i % 10 else ("story", "main", "bare")[i // 10 % 3]
+        blocks = [f"Headline {i} of the day", *(prose(12 + (7 * i + k) % 30, 100 * i + k) + "." for k in range(1 + i % 4))]
+        page = LAYOUTS[layout].format(h=blocks[0], p="".join(f"<p>{b.replace(' ', chr(10) + '  ', 1)}</p>" for b in blocks[1:]))
+        rows.append((i, None if i % 15 == 14 else f"https://news{i % 2}.example/{i}", page))
+        gold[i] = "\n\n".join(blocks)
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == gold
+
+
+def test_frequent_hosts_meet_their_paths_alike(spark, prose, monkeypatch):
+    from gridloom.llm import common
+
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(common, "FREQUENT_ROWS", 2)
+    test_main_text(spark)
+    test_gold_pages(spark, prose)
+
+
+N = 200_000
+HOSTILE = {
+    "quotes": "<a '" * (N // 4),
+    "odd quotes": "<a '" * (N // 4) + "<b>'>x",
+    "double quotes": '<a b="' * (N // 6),
+    "signs": "<" * N,
+    "open tags": "<a " * (N // 3),
+    "deep": "<div class='a b1'>" * (N // 18) + "<p>some words here, and more of them</p>" * 1000,
+    "inline": "<b>" * (N // 6) + "</i>" * (N // 8) + "<hr>" * (N // 12),
+    "inline over blocks": "<b><div>" + "<i>" * (N // 6) + "</b>" * (N // 8),
+    "unclosed raw": "<svg>" * (N // 5),
+    "comments": "<!--" * (N // 4),
+    "declarations": "<!" * (N // 2),
+    "items": "<div>" * (N // 20) + "<li></li>" * (N // 18),
+    "paragraph ends": "<i>" * (N // 8) + "</p>" * (N // 8),
+    "headings": "<article>" + "<div>" * (N // 10) + "<h1>x" * (N // 10),
+    "attributes": "<a " + "a=\"b' " * (N // 7) + ">",
+    "numbers": "&#" + "9" * N + ";&#0000000065;",
+    "cells": "<table>" + "<tr><td>" * (N // 8),
+    "blocks": "<div>" * (N // 40) + "<p>running text of more than twenty five letters</p>" * (N // 80),
+    "one long text": "<p>" + "words, many of them, " * (N // 2) + "</p>",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_grows_with_length_alone(name):
+    import time
+
+    page, start = HOSTILE[name], time.process_time()
+    text = html_text.Page(page).main_text(["none"])
+    assert time.process_time() - start < 4  # quadratic readers take minutes
+    if name == "numbers":
+        assert text == "\ufffdA"
+    if name == "one long text":
+        assert len(text) > 2 * N
+
+
 def test_quality(spark, docs_of, prose):
     rows = [(i, prose(80, i) if i % 2 else prose(80, i).replace(" ", " ### "), "s") for i in range(240)] + [(900, "", "s"), (901, None, "s"), (None, prose(10, 1), "s"), (902, prose(30000, 4), "s")]
     docs = docs_of(rows)

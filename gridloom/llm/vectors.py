@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,17 @@ def dense(df: DataFrame, id_col: str, vec_col: str, change: Callable[[np.ndarray
     return out, width
 
 
+def nodes_of(vectors: DataFrame) -> DataFrame:
+    """v, node: each distinct vector of vectors (uid, id, v) with its least uid."""
+    return vectors.groupBy("v").agg(F.min("uid").alias("node"))
+
+
+def members_of(vectors: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node, uid, id: of each distinct vector's rows the ``n`` with the least ids; no others can be among n results."""
+    by_id = Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last(), "uid")
+    return vectors.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= n).join(nodes, "v").select("node", "uid", "id")
+
+
 def exact_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products of integer-valued matrices, exactly, held to the range of a long."""
     top = (np.abs(a).max(initial=0) * np.abs(b).max(initial=0)) * a.shape[1]

@@ -205,14 +205,23 @@ def test_exact_top_k(spark, monkeypatch):
     expected = sorted(brute(rows, 50, 5, change, True), key=str)
     ask = F.col("id") % 50 == 0
     assert sorted((tuple(r) for r in va_file.top_k(table, "vec_id", "embedding", ask, 5, change).collect()), key=str) == [(a, b, c, int(d)) for a, b, c, d in expected]
-    monkeypatch.setattr(va_file, "BROADCAST_BYTES", 0)  # the way by shuffle
-    monkeypatch.setattr(va_file, "CHUNK", 64)
+    monkeypatch.setattr(va_file, "GROUP_BYTES", 500)  # several groups of queries, rounds of reads
+    monkeypatch.setattr(va_file, "FIRST_READ", 1)
     assert sorted((tuple(r) for r in va_file.top_k(table, "vec_id", "embedding", ask, 5, change, bits=3).collect()), key=str) == [(a, b, c, int(d)) for a, b, c, d in expected]
     few = table.where("vec_id in (0, 3)")
     assert va_file.top_k(few, "vec_id", "embedding", ask, 5, change).count() == 1
     assert va_file.top_k(table.limit(0), "vec_id", "embedding", ask, 5, change).count() == 0
 
 
+def test_one_vector_in_most_rows(spark):
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(40, 4)), 2)
+    rows = [(i, v[0 if i % 3 else i % 40].tolist()) for i in range(400)] + [(None, v[0].tolist()), (50, v[0].tolist()), (50, None), (100, [])]
+    rows = [(i, x if x != [] else [0.0] * 4) for i, x in rows]
+    got = sorted((tuple(x) for x in va_file.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") % 50 == 0, 5, np.floor).collect()), key=str)
+    assert got == sorted(((a, b, c, int(d)) for a, b, c, d in brute(rows, 50, 5, np.floor, True)), key=str)
+
+
 def test_scores_beyond_a_long(spark):
     table = spark.createDataFrame([(0, [1e15, 1.0]), (1, [2e15, 3.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in va_file.top_k(table, "vec_id", "embedding", F.col("id") == 0, 5, np.floor).collect()] == [(0, 1, 1, 2**63 - 1)]

@@ -68,8 +68,19 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def keep_by(self, df: DataFrame, column: str) -> DataFrame:
+        """As ``keep``, in as many buckets of ``column`` as a shuffle has partitions: joins on it don't shuffle the table again."""
+        self.n += 1
+        path, name = f"{self.root}/{self.n}", f"gridloom_{uuid.uuid4().hex}"
+        df.repartition(task_width(self.spark), column).write.bucketBy(task_width(self.spark), column).sortBy(column).option("path", path).option("compression", "zstd").saveAsTable(name)
+        out = self.spark.table(name)
+        out._scratch_path, out._scratch_table = path, name
+        return out
+
     def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_scratch_path", None)
+        path, name = getattr(df, "_scratch_path", None), getattr(df, "_scratch_table", None)
+        if name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,9 +9,11 @@ recall of a bounded sample of the queries is then measured against brute force;
 double and the search goes on from where it ended. The beam is scored again with the original vectors in double precision.
 
 Every row is indexed. Bounds (neighbours per node, reverse neighbours, block size) are parameters of the index and don't
-depend on the number of rows; the beam is what the measured recall asks for. Recall is stated in the README and tested.
+depend on the number of rows; the beam is what the measured recall asks for. Descent and search go on until they change nothing
+more, or too little. Recall is stated in the README and tested.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components take no part; shorter vectors are padded with
+Defined cases: extra columns, whatever their names, are ignored; vectors that are null, zero or hold null or non-finite
+components take no part; shorter vectors are padded with
 zeros; rows that repeat an id or a vector are candidates of their own; ties go to the smaller id, null ids last; fewer than k
 candidates give all of them; an empty table or no query gives no rows.
 """
@@ -27,16 +29,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_buffer
-from .vectors import dense, matrix
+from .vectors import dense, matrix, members_of, nodes_of
 
 NEIGHBOURS = 32
 TREES = 8
 BLOCK = 1024
 #: Rows of the sample that trees are fitted on.
 SAMPLE = 16_384
-ROUNDS = 4
+#: Blocks of a leaf that one task splits further by itself.
+SPLIT = 64
 #: A round that changes fewer of the neighbours than this ends the descent.
-SETTLED = 0.01
+SETTLED = 0.05
 BEST = 8
 #: The first beam holds so many nodes for each doubling of the number of nodes, as a search's depth grows with it.
 BEAM = 16
@@ -44,8 +47,7 @@ BEAM = 16
 RECALL = 0.95
 PROBES = 256
 #: Nodes of a beam that one round expands, and the least share of the beam.
-EXPANDED, EXPANDED_SHARE = 48, 6
-SEARCH_ROUNDS = 40
+EXPANDED, EXPANDED_SHARE = 96, 3
 ENTRIES = 16
 
 
@@ -61,15 +63,16 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _small(vectors: DataFrame, width: int, length: float) -> DataFrame:
-    """node, x: vectors of unit length with one more component, in half precision."""
+    """node, x, x8: vectors of unit length with one more component, in half precision and in 8 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column(1), width) / length
             more = np.sqrt(np.maximum(0, 1 - (v * v).sum(1, keepdims=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(np.hstack([v, more]).astype(np.float16))], names=["node", "x"])
+            x = np.hstack([v, more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(x.astype(np.float16)), _binary(np.rint(x * 127).astype(np.int8))], names=["node", "x", "x8"])
 
-    return vectors.select("node", "v").mapInArrow(run, "node long, x binary")
+    return vectors.select("node", "v").mapInArrow(run, "node long, x binary, x8 binary")
 
 
 def grow_tree(sample: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +93,7 @@ def grow_tree(sample: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np
 
 
 def _blocks(small: DataFrame, width: int, trees: list, scratch: Scratch) -> DataFrame:
-    """key, part, node, x of every node in every tree; a leaf larger than a block is dealt to several by hash."""
+    """key, part, node, x of every node in every tree; a leaf larger than a task splits is dealt to several by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,10 +105,23 @@ def _blocks(small: DataFrame, width: int, trees: list, scratch: Scratch) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(at * len(trees) + t), batch.column(0), batch.column(1)], names=["key", "node", "x"])
 
     leaves = scratch.keep(small.select("node", "x").mapInArrow(run, "key long, node long, x binary"))
-    parts = leaves.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    parts = leaves.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (SPLIT * BLOCK)).alias("parts"))
     return leaves.join(parts, "key").select("key", F.pmod(F.xxhash64("node", "key"), "parts").alias("part"), "node", "x")
 
 
+def halves(x: np.ndarray, seed: int) -> Iterator[np.ndarray]:
+    """Rows of x in groups of at most a block, by medians along lines between two of a group's points."""
+    r, todo = np.random.default_rng(seed), [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= BLOCK:
+            yield own
+            continue
+        a, b = r.choice(len(own), 2, replace=False)
+        order = np.argsort(x[own] @ (x[own[a]] - x[own[b]]), kind="stable")
+        todo += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+
+
 def _in_blocks(blocks: DataFrame, width: int, k: int) -> DataFrame:
     """node, other, score: each node's nearest in its block."""
 
@@ -114,8 +130,8 @@ def _in_blocks(blocks: DataFrame, width: int, k: int) -> DataFrame:
         nodes = block.column("node").to_numpy()
         x = text_buffer(block.column("x"))[0].view("f2").reshape(-1, width).astype(np.float32)
         out = []
-        for a in range(0, len(nodes), 2 * BLOCK):  # a part is a little more or less than a block
-            own, y = nodes[a : a + 2 * BLOCK], x[a : a + 2 * BLOCK]
+        for rows in halves(x, len(nodes)):
+            own, y = nodes[rows], x[rows]
             s = y @ y.T
             np.fill_diagonal(s, -np.inf)
             n = min(k, len(own) - 1)
@@ -142,8 +158,8 @@ def _join_round(graph: DataFrame, small: DataFrame, width: int, k: int, round_:
     both = graph.select("node", "other", "fresh").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh"))
     order = Window.partitionBy("node").orderBy(F.col("fresh").desc(), F.xxhash64("other", F.lit(round_)))
     lists = both.groupBy("node", "other").agg(F.min("fresh").alias("fresh")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + k // 2).drop("n")
-    known = small.join(last, small["node"] == last["other"]).select("other", "x", "least")
-    full = lists.join(known, "other").groupBy("node").agg(F.collect_list(F.struct("other", "fresh", "least", "x")).alias("l"))
+    known = small.join(last, small["node"] == last["other"]).select("other", "x8", "least")
+    full = lists.join(known, "other").groupBy("node").agg(F.collect_list(F.struct("other", "fresh", "least", "x8")).alias("l"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +168,7 @@ def _join_round(graph: DataFrame, small: DataFrame, width: int, k: int, round_:
                 counts = part.value_lengths().to_numpy()
                 flat = part.flatten()
                 other, fresh, least = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("other", "fresh", "least"))
-                x = text_buffer(flat.field("x"))[0].view("f2").reshape(-1, width).astype(np.float32)
+                x = text_buffer(flat.field("x8"))[0].view(np.int8).reshape(-1, width).astype(np.float32) / 127
                 m = int(counts.max())
                 row = np.repeat(np.arange(len(counts)), counts)
                 col = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -176,15 +192,14 @@ def build_graph(small: DataFrame, width: int, n: int, scratch: Scratch, k: int =
     sample = np.array([np.frombuffer(r.x, "f2") for r in small.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()], np.float32).reshape(-1, width)
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / (BLOCK * 0.7))))), int(np.log2(max(1, len(sample) / 8)))))
     trees = [grow_tree(sample, depth, seed) for seed in range(TREES)]
-    first = _in_blocks(_blocks(small, width, trees, scratch), width, k)
+    first = _in_blocks(_blocks(small, width, trees, scratch), width, k // 2)
     graph = scratch.keep(_nearest(first.withColumn("fresh", F.lit(True)), k))
-    for round_ in range(ROUNDS):
+    changed, round_ = n * k, 0
+    while changed >= SETTLED * n * k:
         found = _join_round(graph, small, width, k, round_).withColumn("fresh", F.lit(True))
         new = scratch.keep(_nearest(graph.withColumn("fresh", F.lit(False)).unionByName(found), k))
         scratch.drop(graph)
-        graph = new
-        if new.where("fresh").count() < SETTLED * n * k:
-            break
+        graph, changed, round_ = new, new.where("fresh").count(), round_ + 1
     return graph
 
 
@@ -211,18 +226,12 @@ def _expand(steps: DataFrame, lists: DataFrame, width: int) -> DataFrame:
     return steps.join(lists, "node").select("q", "qx", "least", "others", "xs").mapInArrow(run, "q long, node long, score float")
 
 
-def _neighbour_lists(graph: DataFrame, small: DataFrame, width: int, k: int) -> DataFrame:
+def _neighbour_lists(graph: DataFrame, small: DataFrame, k: int) -> DataFrame:
     """node, others, xs: neighbours and up to k reverse neighbours, with their vectors in 8 bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(np.rint(_rows(batch, 1, "f2", width).astype(np.float32) * 127).astype(np.int8))], names=["other", "x8"])
-
-    bytes_ = small.select("node", "x").mapInArrow(run, "other long, x8 binary")
     order = Window.partitionBy("node").orderBy(F.col("score").desc(), "other")
     back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
     both = graph.select("node", "other", "score").unionByName(back).groupBy("node", "other").agg(F.max("score").alias("score"))
-    full = both.join(bytes_, "other").groupBy("node").agg(F.collect_list(F.struct("other", "x8")).alias("l"))
+    full = both.join(small.select(F.col("node").alias("other"), "x8"), "other").groupBy("node").agg(F.collect_list(F.struct("other", "x8")).alias("l"))
     return full.select("node", F.col("l.other").alias("others"), F.col("l.x8").alias("xs"))
 
 
@@ -236,7 +245,7 @@ def search(queries: DataFrame, lists: DataFrame, small: DataFrame, width: int, s
     expanded = max(EXPANDED, beam // EXPANDED_SHARE)
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
     next_ = Window.partitionBy("q").orderBy(F.col("open").desc(), F.col("score").desc(), "node")
-    for _ in range(SEARCH_ROUNDS):
+    while True:
         last = state.groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select("q", F.when(F.col("n") >= beam, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
         chosen = state.withColumn("n", F.row_number().over(next_)).withColumn("now", F.col("open") & (F.col("n") <= expanded)).drop("n")
         steps = chosen.where("now").select("q", "node").join(queries.select("q", "qx"), "q").join(last, "q")
@@ -247,8 +256,7 @@ def search(queries: DataFrame, lists: DataFrame, small: DataFrame, width: int, s
         scratch.drop(state)
         state = new
         if state.where("open").isEmpty():
-            break
-    return state
+            return state
 
 
 def _probes(asked: DataFrame, nodes: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -295,7 +303,7 @@ def _recall(beams: DataFrame, queries: DataFrame, nodes: DataFrame, width: int,
 
 def search_to_recall(queries: DataFrame, asked: DataFrame, nodes: DataFrame, graph: DataFrame, small: DataFrame, width: int, n: int, k: int, scratch: Scratch) -> DataFrame:
     """q, node, score: beams as wide as the recall at k of a sample of the queries asks for; a beam of all nodes is the last."""
-    lists = scratch.keep(_neighbour_lists(graph, small, width + 1, NEIGHBOURS))
+    lists = scratch.keep_by(_neighbour_lists(graph, small, NEIGHBOURS), "node")
     probes = _probes(asked, nodes, width, k)
     beam, entries, beams = max(4 * k, BEAM * int(np.ceil(np.log2(n + 1)))), ENTRIES, None
     while True:
@@ -306,6 +314,7 @@ def search_to_recall(queries: DataFrame, asked: DataFrame, nodes: DataFrame, gra
         if recall >= RECALL or beam >= n:
             break
         beam, entries = 2 * beam, 2 * entries
+    scratch.drop(lists)
     if recall < RECALL:
         warnings.warn(f"recall at {k} of the sampled queries is {recall:.3f}", stacklevel=2)
     return beams.select("q", "node", "score")
@@ -316,7 +325,7 @@ def nearest(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: in
     scratch = Scratch(table.sparkSession, "nn")
     made, width = dense(table, id_col, vec_col, drop_zero=True)
     vectors = scratch.keep(made)
-    nodes = scratch.keep(vectors.groupBy("v").agg(F.min("uid").alias("node")))
+    nodes = scratch.keep(nodes_of(vectors))
     n = nodes.count()
     if n == 0:
         return vectors.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
@@ -326,9 +335,7 @@ def nearest(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: in
     asked = vectors.where(is_query).join(nodes, "v").select(F.col("uid").alias("q"), "node", "v")
     queries = scratch.keep(_asked(asked, width))
     beams = search_to_recall(queries, asked, nodes, graph, small, width, n, k, scratch)
-    # members of a node that can be among k results: its k + 1 least ids
-    by_id = Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last(), "uid")
-    members = vectors.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).join(nodes, "v").select("node", F.col("uid").alias("c"), F.col("id").alias("cid"), F.col("v").alias("b"))
+    members = members_of(vectors, nodes, k + 1).join(nodes, "node").select("node", F.col("uid").alias("c"), F.col("id").alias("cid"), F.col("v").alias("b"))
     own = queries.select("q", "node").withColumn("score", F.lit(2.0).cast("float"))
     pairs = beams.unionByName(own).select("q", "node").distinct().join(members, "node").where("q <> c")
     ids = vectors.select(F.col("uid").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("a"))

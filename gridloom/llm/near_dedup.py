@@ -11,8 +11,8 @@ other. Where a bucket's nodes are then still in different components, those outs
 others, block by block, so no link between nodes that share a bucket is lost and no list of all pairs is made.
 
 Defined cases: null, empty and blank texts have no shingles and are classes of their own; texts of fewer than five words are
-one shingle; rows that repeat are members of one class; a null doc_id is kept, and a class is named by its least non-null id;
-an empty table gives no rows; extra columns are ignored.
+one shingle, very long ones are signed whole; rows that repeat are members of one class; a null doc_id is kept, and a class is
+named by its least non-null id; an empty table gives no rows; extra columns, whatever their names, are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, slices, text_buffer, trim
+from .common import SLICE_BYTES, Scratch, frequent_join, slices, text_buffer, trim
 from .components import components
 from .hashing import mixed, word_hashes
 from .tokens import _KIND, _LOWER, SPACE
@@ -205,10 +205,10 @@ def _family_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, thresho
     nodes = held.select("node", "root").distinct().join(family.select("node", F.col("root").alias("family")), "node", "left").withColumn("family", F.coalesce("family", "node"))
     full = scratch.keep(nodes.join(sets, "node"))
     sizes = full.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("elements")).alias("bytes"))
-    whole = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("big"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", -F.col("root"))).alias("big_bytes"))
+    whole = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("big"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", -F.col("root"))).alias("big_bytes"), F.sum("n").alias("members"))
     part = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_BYTES)).cast("int")
-    whole = whole.select("family", "big", part(F.col("bytes") - F.col("big_bytes")).alias("zs"), part(F.col("bytes")).alias("xs"))
-    dealt = full.join(whole, "family").withColumn("h", F.xxhash64("node"))
+    whole = scratch.keep(whole.select("family", "big", part(F.col("bytes") - F.col("big_bytes")).alias("zs"), part(F.col("bytes")).alias("xs"), "members"))
+    dealt = frequent_join(full, whole, ["family"], "members").withColumn("h", F.xxhash64("node"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
     z = dealt.where("root <> big").withColumn("z", F.pmod("h", "zs").cast("int")).withColumn("x", F.explode(every(F.col("xs")))).withColumn("asks", F.lit(True))
     x = dealt.withColumn("x", F.pmod("h", "xs").cast("int")).withColumn("z", F.explode(every(F.col("zs")))).withColumn("asks", F.lit(False))
@@ -248,7 +248,8 @@ def _family_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, thresho
                             out.append((int(node[i]), int(node[k])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return z.select(columns).unionByName(x.select(columns)).groupBy("family", "z", "x").applyInArrow(run, "a long, b long")
+    blocks = z.select(columns).unionByName(x.select(columns)).repartition("family", "z", "x")  # a family's blocks go to different tasks
+    return blocks.groupBy("family", "z", "x").applyInArrow(run, "a long, b long")
 
 
 def _pair(x, y):

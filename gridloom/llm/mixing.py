@@ -6,7 +6,9 @@ the fraction left is drawn in a seeded order: documents in front take one more r
 one on the border takes the part of a repetition that is missing.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a source of size 0 takes nothing;
-repeated rows and null ids are documents of their own; an empty table gives an empty mix.
+repeated rows and null ids are documents of their own; very long texts count whole; an empty table gives an empty mix; extra
+columns are passed on, but columns of the names that ``mix`` adds (size, source_size, target, taken) are replaced by its own,
+and ``repeat_documents`` keeps them.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ def draw_key(seed: int) -> Column:
     return F.conv(F.substring(F.md5(content), 1, 15), 16, 10).cast("long")
 
 
-def source_order(sizes: DataFrame) -> DataFrame:
+def source_order(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``place``: 0, 1, 2 ... by the source's code points, null last, from a range partitioning and bucket offsets."""
-    dealt = sizes.repartitionByRange(task_width(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("__p", F.spark_partition_id())
+    dealt = scratch.keep(sizes.repartitionByRange(task_width(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("__p", F.spark_partition_id()))
     counts = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__from"))  # a row per partition
@@ -70,7 +72,7 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, budget_share: float = 1.0, wei
     sized = docs.select(*[F.col(f"`{c}`") for c in names if c not in ("size", "source_size", "target", "taken")])
     sized = sized.withColumn("size", word_count(F.col("text"))).withColumn("__h", draw_key(seed))
     thin = scratch.keep(sized.select("source", "size", "__h"))
-    per_source = scratch.keep(source_order(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__n"))))
+    per_source = scratch.keep(source_order(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__n")), scratch))
     totals = per_source.agg(F.sum("source_size").alias("s"), F.sum("__n").alias("n")).first()
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     filled = water_fill(per_source.withColumn("weight", weight), float(totals.s or 0) * budget_share, max_epochs)

@@ -40,7 +40,7 @@ def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-1
 b AS (SELECT d.*, f.source_size, f.target, f.whole, round(f.target - f.whole * f.source_size) AS extra,
       coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target, CAST(whole * size + greatest(0, least(size, extra - before)) AS BIGINT) AS taken FROM b
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(whole * size + greatest(0, least(size, extra - before)) AS BIGINT) AS taken FROM b
 """
 
 #: Exact probability Jaccard similarities of all pairs that share a shingle, then the links' closure.

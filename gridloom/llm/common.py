@@ -39,12 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` if set, else one of our own (tests, one machine)."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` if set; on one machine, else, a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridloom-"))
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")

@@ -6,11 +6,12 @@ and a logistic unit gives one probability for the document. Filters are tables o
 response is a sum of table rows.
 
 The network is fitted in the driver on a bounded sample of labelled rows (``sample_rows`` documents, ``sample_chunks`` chunks
-of each, chosen by a seeded hash over the whole text), so fitting costs the same at any corpus size; scoring reads all bytes.
+of each, from anywhere in the text, chosen by a generator seeded with its length), so fitting costs the same at any corpus size; scoring reads all bytes.
 
 Defined cases: a null text is empty, and an empty text is scored as a chunk of zero bytes; labels without a document, null
 labels and null ids are not learned from; a null doc_id is not held out; without any label, or labels of one kind, the score
-is the share of label 1 (one half without labels); repeated rows get equal scores; extra columns are ignored.
+is the share of label 1 (one half without labels); very long texts are scored whole; repeated rows get equal scores; an empty
+table gives no rows; extra columns are passed on, but one of the score's name is replaced.
 """
 
 from __future__ import annotations

@@ -144,6 +144,35 @@ def test_scores_read_every_byte_alike(prose):
         assert net.scores(np.frombuffer(bytes(changed), np.uint8), np.array([0, len(changed)]))[0] != before
 
 
+def test_scores_equal_a_plain_convolution(prose):
+    net = quality.Network(seed=5)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+
+    def plain(text):
+        half, n = quality.HALF, max(2, -(-len(text) // quality.HALF))
+        padded = text + bytes(n * half - len(text))
+        hidden = []
+        for c in range(n - 1):
+            best = []
+            for at in range(c * half, (c + 2) * half, quality.STRIDE):
+                own = padded[at : min(at + quality.WIDTH, n * half)]
+                own += bytes(quality.WIDTH - len(own))
+                best.append(sum(p["table"][o][byte] for o, byte in enumerate(own)))
+            hidden.append(np.maximum(np.max(best, axis=0) @ p["w2"] + p["b2"], 0))
+        return 1 / (1 + np.exp(-(np.mean(hidden, axis=0) @ p["w3"] + p["b3"][0])))
+
+    texts = [b"", b"x", *(prose(n, n).encode() for n in (5, 50, 90, 300))]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    np.testing.assert_allclose(net.scores(data, offsets), [plain(t) for t in texts], rtol=1e-5)
+
+
+def test_every_template_is_found(docs_of, prose):
+    names = list(license_scan.TEMPLATES)
+    rows = [(i, prose(30, i) + ".\n" + license_scan.TEMPLATES[n] + "\n" + prose(30, 50 + i), "s") for i, n in enumerate(names)] + [(900 + i, prose(400, 900 + i), "s") for i in range(20)] + [(None, license_scan.TEMPLATES["ISC"], None)]
+    got = {(r.doc_id, r.license) for r in license_scan.scan(docs_of(rows)).collect()}
+    assert {(i, n) for i, n in enumerate(names)} | {(None, "ISC")} <= got and not any(i and i >= 900 for i, _ in got)
+
+
 def test_licenses(docs_of, prose):
     long = license_scan.TEMPLATES["MIT"]
     edited = long.replace("free of charge", "without charge").replace("THE SOFTWARE", "it")

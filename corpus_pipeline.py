@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences; every stage is one operator of gridloom.llm."""
+"""From raw documents to packed training sequences; every stage is one operator of gridloom.llm.
+
+Defined cases, for every stage: a null text counts as empty and null ids, sources and languages are kept as they are; empty and
+very long texts are rows like others; repeated rows are documents of their own until the near-copy stage keeps one of them; ties
+go to the smaller id; an empty table gives an empty table; extra columns, whatever their names, are passed on by all but the
+last stage, which ignores them.
+"""
 
 from __future__ import annotations
 
@@ -14,26 +20,28 @@ PASSAGE_BYTES = 240
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject: an empty text is scored as a chunk of zero bytes, repeated rows alike."""
     net = quality.learned(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, net, "__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that of the least id; texts without a word are classes of their own."""
     return near_dedup.representatives(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occur elsewhere too."""
+    """Documents without passages that occur elsewhere too; one of which nothing is left goes, one that was empty stays."""
     return suffix_dedup.strip_repeats(docs, PASSAGE_BYTES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a text without a word adds nothing to a mix and is taken no time."""
     return mixing.repeat_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4,096 tokens; each copy of a repeated document is packed."""
     return packing.pack_documents(docs)
 
 

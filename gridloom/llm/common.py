@@ -95,16 +95,17 @@ def task_width(spark: SparkSession) -> int:
 def frequent_join(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
     """left joined (``how``: inner or left) with right, which has one row a key and in ``count`` how many rows of left the key has.
 
-    Keys with more rows than a quarter of a task's fair share are at most ``4 * task_width``; they are broadcast, and left's
-    rows of them stay where they are. All other keys meet by shuffle.
+    Keys with more rows than a quarter of a task's fair share are at most ``4 * task_width``, so their hashes fit a filter and
+    their rows of right a broadcast; left's rows of them stay where they are. All other keys meet by shuffle.
     """
     width = task_width(left.sparkSession)
     limit = max(FREQUENT_ROWS, (right.agg(F.sum(count)).first()[0] or 0) // (4 * width))
-    frequent = right.where(F.col(count) > limit)
-    if frequent.isEmpty():
+    hashed = F.xxhash64(*on)
+    frequent = [r[0] for r in right.where(F.col(count) > limit).select(hashed).collect()]
+    if not frequent:
         return left.join(right, on, how)
-    keys = F.broadcast(frequent.select(*on))
-    return left.join(F.broadcast(frequent), on).unionByName(left.join(keys, on, "left_anti").join(right.where(F.col(count) <= limit), on, how))
+    chosen = hashed.isin(frequent)
+    return left.where(chosen).join(F.broadcast(right.where(chosen)), on, how).unionByName(left.where(~chosen).join(right.where(~chosen), on, how))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

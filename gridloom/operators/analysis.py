@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..functions.quantiles import percentiles
 from ..raster import Raster, raster_op
 from .algebra import together
 from .stats import valid
@@ -85,7 +86,7 @@ def hypsometric(ds: Raster, points: int = 101, band: Any = 1) -> DataFrame:
     """share, value: the value that each share of pixels lies at or below."""
     v = valid(ds.column(band), ds.meta.dtype).cast("double")
     at = [k / (points - 1) for k in range(points)]
-    row = ds._base.select(v.alias("v")).agg(F.percentile("v", F.array(*[F.lit(p) for p in at])).alias("p"))
+    row = percentiles(ds._base.select(F.lit(1).alias("g"), v.alias("v")), at)
     return row.select(F.posexplode("p").alias("k", "value")).select((F.col("k") / (points - 1)).alias("share"), "value")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import contract
 from ..errors import ValidationError
+from ..functions.quantiles import percentiles
 from ..raster import Raster, raster_op
 from .stats import valid
 
@@ -49,8 +50,8 @@ def normalize_percentile(ds: Raster, *, lower_percentile: float = 2, upper_perce
     """The range between two percentiles onto [0, 1], values beyond held at the ends."""
     if not (0 <= lower_percentile <= 100 and 0 <= upper_percentile <= 100):
         raise ValidationError("percentiles lie in [0, 100]")
-    p = F.percentile("v", F.array(F.lit(lower_percentile / 100), F.lit(upper_percentile / 100)))
-    row = _pooled(ds).agg(p.alias("p")).select(F.col("p")[0].alias("__low"), F.col("p")[1].alias("__high"))
+    pooled = _pooled(ds).select(F.lit(1).alias("g"), F.col("v").cast("double").alias("v"))
+    row = percentiles(pooled, [lower_percentile / 100, upper_percentile / 100]).select(F.col("p")[0].alias("__low"), F.col("p")[1].alias("__high"))
 
     def formula(e: Column) -> Column:
         x = _over(e - F.col("__low"), F.col("__high") - F.col("__low"))

@@ -162,12 +162,12 @@ def resample(
         height, width = int(m.height * scale_factor), int(m.width * scale_factor)
     else:
         x0, y0, x1, y1 = m.bounds
-        width, height = int((x1 - x0) / resolution[0]), int((y1 - y0) / resolution[1])
+        width, height = int((x1 - x0) / abs(resolution[0])), int((y1 - y0) / abs(resolution[1]))
     return to_shape(ds, height, width, method)
 
 
 def decimate(ds: Raster, height: int, width: int) -> Raster:
-    """A coarse read: the nearest source pixel of each target pixel, chosen by a filter on row and column."""
+    """A coarse read: the nearest source pixel of each target pixel; pixels are dealt to targets where they lie, without a shuffle."""
     m = ds.meta
     height, width = min(height, m.height), min(width, m.width)
     return to_shape(ds, height, width, "nearest")

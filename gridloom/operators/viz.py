@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..functions.quantiles import percentiles
 from ..raster import Raster, raster_viz
 from .resample import decimate
 from .stats import valid
@@ -34,8 +35,8 @@ def auto_grid(n: int, nrows: int | None = None, ncols: int | None = None) -> tup
         return nrows, math.ceil(n / nrows)
     if ncols:
         return math.ceil(n / ncols), ncols
-    cols = math.ceil(math.sqrt(n))
-    return math.ceil(n / cols), cols
+    rows = max(1, math.isqrt(n))
+    return rows, math.ceil(n / rows)
 
 
 def stretch_limits(ds: Raster, bands: list[Any] | None = None, pmin: float = 2, pmax: float = 98) -> DataFrame:
@@ -43,8 +44,8 @@ def stretch_limits(ds: Raster, bands: list[Any] | None = None, pmin: float = 2,
     if not 0 <= pmin < pmax <= 100:
         raise ValidationError("percentiles ascend within [0, 100]")
     which = [ds.meta.band_index(b) for b in bands] if bands else list(range(1, ds.meta.count + 1))
-    each = [F.struct(F.lit(i).alias("band"), F.percentile(valid(ds.column(i), ds.meta.dtype).cast("double"), F.array(F.lit(pmin / 100), F.lit(pmax / 100))).alias("p")) for i in which]
-    rows = ds._base.agg(F.array(*each).alias("a")).select(F.explode("a").alias("z")).select("z.*")
+    each = F.array(*[F.struct(F.lit(i).alias("g"), valid(ds.column(i), ds.meta.dtype).cast("double").alias("v")) for i in which])
+    rows = percentiles(ds._base.select(F.explode(each).alias("z")).select("z.*"), [pmin / 100, pmax / 100]).withColumnRenamed("g", "band")
     fit = F.col("p")[1] > F.col("p")[0]
     return rows.select("band", F.when(fit, F.col("p")[0]).alias("low"), F.when(fit, F.col("p")[1]).alias("high"))
 

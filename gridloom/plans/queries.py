@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators, sources, streaming
 from ..operators import analysis, resample, stats, viz
 from ..raster import Raster
-from ..sources.catalogue import stac_search
+from ..sources.catalogue import items_table, stac_search
 from . import grids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +52,15 @@ def pixels(r: Raster, *bands: int) -> DataFrame:
     return r.df.select("row", "col", *[(F.col(b).cast("long") if whole else rounded(b)).alias(b) for b in names])
 
 
+def shared_path(spark: SparkSession, suffix: str = "") -> str:
+    """A new path in the folder that driver and executors share; on one machine, without such a folder, in its temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = re.sub("^file:/+", "/", (named or tempfile.gettempdir()).rstrip("/"))
+    return f"{folder if '://' in folder else 'file://' + folder}/gridloom-rasters/{uuid.uuid4().hex}{suffix}"
+
+
 def r6(x: str, digits: int = 6) -> str:
     return f"CAST(round(CAST({x} AS DOUBLE), {digits}) AS DOUBLE)"
 
@@ -616,12 +629,9 @@ def nodata_export(spark, d):
 @query(f"WITH {EVT} SELECT CAST(row - 2 AS INTEGER) AS row, CAST(col - 10 AS INTEGER) AS col, {r6('b1')} AS b1, {r6('b2')} AS b2, {r6('b3')} AS b3 FROM evt WHERE row BETWEEN 2 AND 7 AND col BETWEEN 10 AND 39")
 def stored_tiles_clip(spark, d):
     """Saved as tiles in the shared folder, opened again, clipped: only the tiles of the box are read."""
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gridloom").rstrip("/")
-    path = f"{folder}/rasters/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     grids.events(spark, d).save_raster(path, driver="parquet")
-    return pixels(sources.load_raster(path if "://" in path else f"file://{path}", spark=spark).clip_raster_with_bbox((500100.0, 4199920.0, 500400.0, 4199980.0)))
+    return pixels(sources.load_raster(path, spark=spark).clip_raster_with_bbox((500100.0, 4199920.0, 500400.0, 4199980.0)))
 
 
 @query(f"WITH {CUST} SELECT row, col, {r6('b1')} AS b1 FROM cust")
@@ -664,8 +674,8 @@ def decimated_read(spark, d):
 
 @query(f"WITH {ITEMS}, r AS (SELECT k, ts, row_number() OVER (ORDER BY ts NULLS LAST, CAST(k AS VARCHAR)) AS n FROM items WHERE collection = '1-URGENT') SELECT CAST(k AS VARCHAR) AS id, CAST(n AS INTEGER) AS place FROM r WHERE n BETWEEN 11 AND 40")
 def items_slice(spark, d):
-    found = stac_search("1-URGENT", items=grids.scene_items(spark, d)).df.limit(40)
-    return found.withColumn("place", F.row_number().over(Window.orderBy(F.col("ts").asc_nulls_last(), "id"))).where("place > 10").select("id", "place")
+    part = stac_search("1-URGENT", items=grids.scene_items(spark, d))[10:40]
+    return spark.createDataFrame([(item.id, k) for k, item in enumerate(part, 11)], "id string, place int")
 
 
 @query(f"WITH {EVT} SELECT row, col, b1 > 20 AND b2 < 50 AS both, b1 > 20 OR b2 < 50 AS either, NOT (b1 > 20) AS neither FROM evt WHERE b1 IS NOT NULL")
@@ -688,3 +698,102 @@ def latest_observation(spark, d):
     seen = grids.table(spark, d, "lineitem").select(F.expr("cast(l_orderkey div 100 as int)").alias("row"), (F.col("l_orderkey") % 100).cast("int").alias("col"), F.col("l_shipdate").alias("ts"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.col("l_quantity").alias("most"))
     latest = analysis.composite_observations(seen, "latest", ["day"])
     return latest.join(analysis.composite_observations(seen, "max", ["most"]), ["row", "col"]).select("row", "col", "day", rounded("most").alias("most"))
+
+
+# -- arrays, metadata and scenes' assets --
+
+
+@query(over(EVT, f"{r6('b1')} AS b1", f"{r6('b2')} AS b2", f"{r6('b3')} AS b3"))
+def array_round_trip(spark, d):
+    """All pixels to an array on the driver, and a raster of that array."""
+    e = grids.events(spark, d)
+    return pixels(sources.load_array(e.to_array(), transform=e.get_transform(), crs=e.get_crs(), nodata=-9999.0, spark=spark))
+
+
+@query(f"WITH {EVT} SELECT CAST(row - 2 AS INTEGER) AS row, CAST(col - 10 AS INTEGER) AS col, {r6('b2')} AS b1, {r6('b1')} AS b2 FROM evt WHERE row BETWEEN 2 AND 7 AND col BETWEEN 10 AND 39")
+def read_window(spark, d):
+    got = grids.events(spark, d).read([2, 1], window=((2, 8), (10, 40)))
+    return pixels(sources.load_array(got, nodata=-9999.0, spark=spark))
+
+
+@query(over(EVT, f"{r6('b2')} AS b1"))
+def band_by_name(spark, d):
+    return pixels(sources.load_array(grids.events(spark, d).get_band("red"), nodata=-9999.0, spark=spark))
+
+
+@query(
+    """WITH e AS (SELECT CAST(ceil(count(*) / 100.0) AS BIGINT) AS h FROM events)
+SELECT key, value FROM e, LATERAL (SELECT unnest(['bands', 'bottom', 'column of a place', 'count', 'crs', 'height', 'left', 'right', 'row of a place', 'top', 'width']) AS key,
+unnest(['nir, red, blue', CAST(4200000 - 10 * h AS VARCHAR), '33', '3', 'EPSG:32633', CAST(h AS VARCHAR), '500000', '501000', '2', '4200000', '100']) AS value)"""
+)
+def raster_metadata(spark, d):
+    e = grids.events(spark, d)
+    left, bottom, right, top = e.get_bounds()
+    row, col = e.get_index()(500335.0, 4199975.0)
+    known = {"bands": ", ".join(e.band_names), "bottom": int(bottom), "column of a place": col, "count": e.get_count(), "crs": e.get_crs(), "height": e.get_height(), "left": int(left), "right": int(right), "row of a place": row, "top": int(top), "width": e.get_width()}
+    return spark.createDataFrame([(k, str(v)) for k, v in known.items()], "key string, value string")
+
+
+@query(f"WITH {MOSAIC}, m AS (SELECT row, col, min(b1) AS b1 FROM united GROUP BY 1, 2) SELECT g.row, g.col, {r6('b1', 2)} AS b1 FROM g LEFT JOIN m USING (row, col)")
+def mosaic_min(spark, d):
+    return _mosaic(spark, d, method="min")
+
+
+@query(f"WITH {MOSAIC}, m AS (SELECT row, col, sum(CAST(b1 AS DOUBLE)) AS b1 FROM united GROUP BY 1, 2) SELECT g.row, g.col, {r6(f32('b1'), 2)} AS b1 FROM g LEFT JOIN m USING (row, col)")
+def mosaic_sum(spark, d):
+    return _mosaic(spark, d, method="sum")
+
+
+def _scene(spark: SparkSession, d: str):
+    """A catalogue of one scene: events as a GeoTIFF of one band, and the same halved to 20 m as tiles."""
+    e = operators.clip.window_of(grids.events(spark, d).band(1), 0, 0, 10, 100)
+    fine, coarse = shared_path(spark, ".tif").removeprefix("file://"), shared_path(spark)
+    os.makedirs(os.path.dirname(fine), exist_ok=True)
+    e.save_raster(fine)
+    e.resample(size=(5, 50), resampling_method="max").save_raster(coarse, driver="parquet")
+    row = {"id": "scene", "collection": "events", "bbox": [14.0, 37.0, 16.0, 39.0], "datetime": "2024-06-02T10:00:00Z", "assets": {"nir": fine, "most": coarse}}
+    row["geometry"] = {"type": "Polygon", "coordinates": [[[14.0, 37.0], [16.0, 37.0], [16.0, 39.0], [14.0, 39.0], [14.0, 37.0]]]}
+    return items_table([row], spark)
+
+
+#: A place of 6 x 20 pixels inside the scene: rows 2 to 7 and columns 10 to 29 with their edges' neighbours.
+def _place():
+    from ..functions import projection
+
+    (x0, y0), (x1, y1) = (projection.convert("EPSG:32633", "EPSG:4326", x, y) for x, y in ((500104.0, 4199924.0), (500296.0, 4199976.0)))
+    return x0, y0, x1, y1
+
+
+@query(f"WITH {EVT} SELECT CAST(row - 2 AS INTEGER) AS row, CAST(col - 10 AS INTEGER) AS col, {r6('b1')} AS b1 FROM evt WHERE row BETWEEN 2 AND 7 AND col BETWEEN 10 AND 29")
+def item_load_crop(spark, d):
+    """An asset's window around a box in longitude and latitude: only the blocks that hold it are read."""
+    item = stac_search("events", items=_scene(spark, d))[0]
+    return pixels(item.load("nir", bbox=_place(), spark=spark))
+
+
+HALF_MAX = "h AS (SELECT row // 2 AS r, col // 2 AS c, max(b1) AS m FROM evt WHERE row < 10 GROUP BY 1, 2)"
+
+
+@query(f"WITH {EVT}, {HALF_MAX} SELECT row, col, {r6('b1')} AS b1, {r6('m')} AS b2 FROM evt JOIN h ON row // 2 = r AND col // 2 = c WHERE row < 10")
+def item_load_grid(spark, d):
+    """Assets of two resolutions on the first one's grid."""
+    item = stac_search("events", items=_scene(spark, d))[0]
+    return pixels(item.load(["nir", "most"], spark=spark))
+
+
+@query(f"WITH {EVT} SELECT CAST(row - 2 AS INTEGER) AS row, CAST(col - 10 AS INTEGER) AS col, {r6('b1')} AS b1 FROM evt WHERE row BETWEEN 2 AND 7 AND col BETWEEN 10 AND 29")
+def item_load_search_area(spark, d):
+    """Without a box of its own, an item's load is cut to the search's."""
+    item = stac_search("events", items=_scene(spark, d), bbox=_place())[0]
+    r = item.load(["nir"], spark=spark)
+    assert r.band_names == ["nir"] and r.attrs["stac_item"] == "scene" and item.asset_names == ["most", "nir"]
+    return pixels(r)
+
+
+@query(f"WITH {EVT} SELECT CAST(row - 2 AS INTEGER) AS row, CAST(col - 10 AS INTEGER) AS col, CASE WHEN row BETWEEN 2 AND 7 AND col BETWEEN 10 AND 29 THEN {r6('b1')} END AS b1 FROM evt WHERE row BETWEEN 2 AND 7 AND col BETWEEN 10 AND 29")
+def item_load_mask(spark, d):
+    """Pixels outside the search's outline are nodata."""
+    x0, y0, x1, y1 = _place()
+    outline = {"type": "Polygon", "coordinates": [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]]}
+    item = stac_search("events", items=_scene(spark, d), intersects=outline)[0]
+    return pixels(item.load("nir", mask=True, spark=spark))

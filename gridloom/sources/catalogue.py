@@ -164,17 +164,26 @@ class SearchResult(Sequence):
         return len(self._rows) if self._rows is not None else self.df.count()
 
     def __getitem__(self, k: Any) -> Any:
+        if isinstance(k, slice) and self._rows is None and (k.stop or -1) >= 0 and (k.start or 0) >= 0:
+            rows = self.df.limit(k.stop).collect()[slice(k.start, None, k.step)]  # no more than the slice's end
+            return SearchResult(self.df, bbox=self.bbox, intersects=self.intersects, rows=rows)
         if isinstance(k, slice):
             return SearchResult(self.df, bbox=self.bbox, intersects=self.intersects, rows=self._got()[k])
         return Item(self._got()[k], self.bbox, self.intersects)
 
     @property
     def timestamps(self) -> list[datetime | None]:
-        return [r.ts for r in self._got()]
+        if self._rows is None:  # the times alone, without footprints and assets
+            return [r.ts for r in self.df.select("ts", "id").collect()]
+        return [r.ts for r in self._rows]
 
     def __repr__(self) -> str:
-        times = [t for t in self.timestamps if t]
-        return f"SearchResult({len(self)} items" + (f", {min(times):%Y-%m-%d} to {max(times):%Y-%m-%d})" if times else ")")
+        if self._rows is None:
+            n, first, last = self.df.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
+        else:
+            times = [r.ts for r in self._rows if r.ts]
+            n, first, last = len(self._rows), min(times, default=None), max(times, default=None)
+        return f"SearchResult({n} items" + (f", {first:%Y-%m-%d} to {last:%Y-%m-%d})" if first else ")")
 
 
 class Item:

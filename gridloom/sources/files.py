@@ -62,6 +62,7 @@ def load_raster(path: str | os.PathLike, *, timestamp: datetime | None = None, a
     if path.lower().endswith((".tif", ".tiff")) or (local and os.path.isfile(path)):
         meta = geotiff.read_header(path).meta
         spark.dataSource.register(geotiff.GeoTiffSource)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # windows choose the blocks that are read
         df = spark.read.format("geotiff").load(path)
     else:
         if local:

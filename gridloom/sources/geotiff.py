@@ -9,13 +9,13 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import BackendError
 from ..meta import STORAGE, Affine, RasterMeta
@@ -146,9 +146,9 @@ def decode_block(h: Header, raw: bytes) -> np.ndarray:
     return values.astype(h.meta.dtype)
 
 
-class BlockRange(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+class Blocks(InputPartition):
+    def __init__(self, numbers: list[int]):
+        self.numbers = numbers
 
 
 class GeoTiffReader(DataSourceReader):
@@ -158,17 +158,44 @@ class GeoTiffReader(DataSourceReader):
 
     def __init__(self, path: str):
         self.path, self.header = path, read_header(path)
+        self.window = {"row": (0, self.header.meta.height - 1), "col": (0, self.header.meta.width - 1)}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Ranges of row and col narrow the window whose blocks are read; Spark still applies every filter to their pixels."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name in self.window and getattr(f, "value", None) is not None:
+                low, high = self.window[name]
+                v = f.value
+                if isinstance(f, EqualTo):
+                    low, high = max(low, v), min(high, v)
+                elif isinstance(f, In):
+                    low, high = max(low, min(v, default=low)), min(high, max(v, default=high))
+                elif isinstance(f, GreaterThanOrEqual):
+                    low = max(low, v)
+                elif isinstance(f, GreaterThan):
+                    low = max(low, v + 1)
+                elif isinstance(f, LessThanOrEqual):
+                    high = min(high, v)
+                elif isinstance(f, LessThan):
+                    high = min(high, v - 1)
+                self.window[name] = (low, high)
+            yield f
 
     def per_plane(self) -> tuple[int, int]:
         h = self.header
         return -(-h.meta.height // h.block[0]), -(-h.meta.width // h.block[1])
 
     def partitions(self) -> list[InputPartition]:
-        down, across = self.per_plane()
-        n = down * across
-        return [BlockRange(a, min(n, a + self.BLOCKS)) for a in range(0, n, self.BLOCKS)]
-
-    def read(self, partition: BlockRange) -> Iterator[pa.RecordBatch]:
+        (top, bottom), (left, right) = self.window["row"], self.window["col"]
+        if top > bottom or left > right:
+            return [Blocks([])]
+        _, across = self.per_plane()
+        high, wide = self.header.block
+        numbers = [r * across + c for r in range(top // high, bottom // high + 1) for c in range(left // wide, right // wide + 1)]
+        return [Blocks(numbers[a : a + self.BLOCKS]) for a in range(0, len(numbers), self.BLOCKS)]
+
+    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
         h = self.header
         down, across = self.per_plane()
         kinds = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
@@ -179,7 +206,7 @@ class GeoTiffReader(DataSourceReader):
                 f.seek(h.offsets[k])
                 return decode_block(h, f.read(h.counts[k]))
 
-            for k in range(partition.first, partition.last):
+            for k in partition.numbers:
                 planes = [load(k + p * down * across)[:, :, 0] for p in range(h.meta.count)] if h.planar else np.moveaxis(load(k), 2, 0)
                 r0, c0 = k // across * h.block[0], k % across * h.block[1]
                 rows, cols = min(len(planes[0]), h.meta.height - r0), min(h.block[1], h.meta.width - c0)

@@ -272,6 +272,19 @@ def test_analysis(raster):
     assert analysis.time_composite([raster(A), raster(B), raster(A)]).to_array().squeeze().tolist() == A.tolist()
 
 
+def test_percentiles_equal_numpy(spark):
+    from gridloom.functions.quantiles import percentiles
+
+    r = np.random.default_rng(1)
+    groups = {1: np.round(r.normal(size=50_000), 2), 2: np.concatenate([np.zeros(41_000), 10.0 ** r.uniform(-3, 9, 4000)]), 3: np.array([5.0]), 4: np.array([1.0, 2.0]), 5: np.array([])}
+    at = [0.0, 0.02, 0.5, 0.9, 0.98, 1.0]
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [(5, None), (1, None)]
+    got = {x.g: x.p for x in percentiles(spark.createDataFrame(rows, "g int, v double"), at).collect()}
+    assert got[5] is None
+    for g in (1, 2, 3, 4):
+        np.testing.assert_allclose(got[g], np.quantile(groups[g], at), rtol=1e-12)
+
+
 def test_display(raster):
     r = raster(np.stack([A, B, A]))
     assert [x.n for x in r.plot_histogram(1, bins=3).orderBy("bin").collect()] == [1, 1, 2]
@@ -279,6 +292,7 @@ def test_display(raster):
     assert len(c) == 4 and all(x.alpha == 1 for x in c)
     with pytest.raises(ValidationError):
         r.plot_composite([1, 2])
+    assert [viz.auto_grid(n) for n in (1, 2, 3, 4, 5, 8, 9)] == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (2, 4), (3, 3)]
     assert viz.auto_grid(5) == (2, 3) and viz.stretch_limits(raster(np.ones((2, 2), np.float32))).first().low is None
     assert set(r.plot_raster().columns) >= {"x", "y", "d1"}
 

@@ -146,6 +146,29 @@ def test_load_assets(spark, raster, tmp_path):
         item.load("B04", mask=True)
 
 
+def test_windows_choose_the_blocks_that_are_read(spark, raster, tmp_path):
+    from gridloom import load_raster
+    from gridloom.sources import geotiff
+
+    a = np.arange(640 * 30, dtype=np.float32).reshape(640, 30)
+    path = str(tmp_path / "long.tif")
+    raster(a).save_raster(path)  # ten strips of 64 rows
+    r = load_raster(path, spark=spark)
+    part = r.clip_raster_with_bbox((500000.0, 4200000.0 - 700, 500100.0, 4200000.0 - 650))
+    np.testing.assert_array_equal(part.to_array()[0], a[65:70, :10])
+    reader = geotiff.GeoTiffReader(path)
+    filters = [geotiff.GreaterThanOrEqual(("row",), 65), geotiff.LessThan(("row",), 130), geotiff.EqualTo(("b1",), 3.0)]
+    assert list(reader.pushFilters(filters)) == filters and [b.numbers for b in reader.partitions()] == [[1, 2]]
+    assert list(reader.pushFilters([geotiff.In(("row",), (70, 80))])) and [b.numbers for b in reader.partitions()] == [[1]]
+    # blocks outside the window may be unreadable
+    h = geotiff.read_header(path)
+    with open(path, "r+b") as f:
+        for k in (0, 5, 9):
+            f.seek(h.offsets[k])
+            f.write(b"\xff" * h.counts[k])
+    np.testing.assert_array_equal(load_raster(path, spark=spark).clip_raster_with_bbox((500000.0, 4200000.0 - 700, 500100.0, 4200000.0 - 650)).to_array()[0], a[65:70, :10])
+
+
 def test_samples(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("GRIDLOOM_DATA_DIR", str(tmp_path / "cache"))
     source = tmp_path / "x.bin"

@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 import pytest
 
 from gridloom.llm import near_dedup, quality
-from gridloom.llm.common import table
+from gridloom.llm.common import Scratch, table
 from gridloom.llm.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -48,6 +48,28 @@ def test_stages(spark, tmp_path):
             assert abs(words(docs) - words(before)) <= 0.01 * words(before) + 20
 
 
+def test_stages_take_any_table(spark, docs_of, mixed_docs):
+    # nulls, empty and very long texts, repeated rows, clashing column names; then no rows at all
+    for docs in (docs_of(mixed_docs), docs_of([])):
+        empty, columns, scratch = docs.isEmpty(), docs.columns, Scratch(spark, "any")
+        for name, stage in cp.STAGES[:-1]:
+            before, docs = docs, scratch.keep(stage(spark, docs, DATA))
+            assert docs.columns == columns and docs.isEmpty() == empty
+            if name == "quality_classifier":
+                assert docs.exceptAll(before).isEmpty()
+                docs = before  # the other stages are to see every case
+            elif name == "near_dedup":
+                assert docs.exceptAll(before).isEmpty() and docs.where("doc_id = 20 or doc_id = 21").count() == (0 if empty else 1)
+            elif name == "suffix_dedup":
+                texts = [r.text or "" for r in docs.collect()]
+                cut = cp.PASSAGE_BYTES
+                raw = [t.encode() for t in texts if len(t) < 20_000]
+                seen = [{b[i : i + cut] for i in range(len(b) - cut + 1)} for b in raw]
+                assert sum(map(len, seen)) == len(set().union(*seen))  # no passage is left twice
+        packed = cp.STAGES[-1][1](spark, docs, DATA)
+        assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").isEmpty() and packed.isEmpty() == empty
+
+
 def test_run(spark):
     assert cp.run(spark, DATA).count() > 0
 

@@ -1,6 +1,7 @@
 """Map projections in closed form: geographic (EPSG:4326), Web Mercator (3857) and UTM (326xx, 327xx).
 
-Each direction is written once over a set of functions, so the same formulas run on floats and on Spark columns.
+Each direction is written once over a set of functions, so the same formulas run on floats and on Spark columns. ``keep`` marks
+what a formula uses more than once: on Spark it becomes a column of its own, so plans and generated code stay small.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ import math
 from types import SimpleNamespace
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
@@ -17,7 +18,7 @@ from ..errors import ValidationError
 #: WGS 84 and UTM.
 AXIS, FLATTENING, SCALE, EASTING, SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
 
-_FLOATS = SimpleNamespace(sin=math.sin, cos=math.cos, tan=math.tan, sinh=math.sinh, cosh=math.cosh, atan2=math.atan2, asinh=math.asinh, atanh=math.atanh, exp=math.exp, log=math.log, sqrt=math.sqrt, atan=math.atan)
+_FLOATS = SimpleNamespace(sin=math.sin, cos=math.cos, tan=math.tan, sinh=math.sinh, cosh=math.cosh, atan2=math.atan2, asinh=math.asinh, atanh=math.atanh, exp=math.exp, log=math.log, sqrt=math.sqrt, atan=math.atan, keep=lambda e: e)
 _COLUMNS = SimpleNamespace(sin=F.sin, cos=F.cos, tan=F.tan, sinh=F.sinh, cosh=F.cosh, atan2=F.atan2, asinh=F.asinh, atanh=F.atanh, exp=F.exp, log=F.ln, sqrt=F.sqrt, atan=F.atan)
 
 _N = FLATTENING / (2 - FLATTENING)
@@ -63,9 +64,10 @@ def _from_lonlat(number: int, lon: Any, lat: Any, m: Any) -> tuple[Any, Any]:
     if number == 3857:
         return lam * AXIS, m.log(m.tan(phi / 2 + math.pi / 4)) * AXIS
     meridian, north = _utm(number)
+    lam, phi = m.keep(lam), m.keep(phi)
     e = 2 * math.sqrt(_N) / (1 + _N)
-    t = m.sinh(m.atanh(m.sin(phi)) - m.atanh(m.sin(phi) * e) * e)
-    xi0, eta0 = m.atan2(t, m.cos(lam - meridian)), m.atanh(m.sin(lam - meridian) / m.sqrt(t * t + 1))
+    t = m.keep(m.sinh(m.atanh(m.sin(phi)) - m.atanh(m.sin(phi) * e) * e))
+    xi0, eta0 = m.keep(m.atan2(t, m.cos(lam - meridian))), m.keep(m.atanh(m.sin(lam - meridian) / m.sqrt(t * t + 1)))
     xi, eta = xi0, eta0
     for j, a in enumerate(_ALPHA, 1):
         xi = xi + m.sin(xi0 * (2 * j)) * m.cosh(eta0 * (2 * j)) * a
@@ -80,12 +82,13 @@ def _to_lonlat(number: int, x: Any, y: Any, m: Any) -> tuple[Any, Any]:
     if number == 3857:
         return x / AXIS * deg, (m.atan(m.exp(y / AXIS)) * 2 - math.pi / 2) * deg
     meridian, north = _utm(number)
-    xi0, eta0 = (y - north) / (SCALE * _A), (x - EASTING) / (SCALE * _A)
+    xi0, eta0 = m.keep((y - north) / (SCALE * _A)), m.keep((x - EASTING) / (SCALE * _A))
     xi, eta = xi0, eta0
     for j, b in enumerate(_BETA, 1):
         xi = xi - m.sin(xi0 * (2 * j)) * m.cosh(eta0 * (2 * j)) * b
         eta = eta - m.cos(xi0 * (2 * j)) * m.sinh(eta0 * (2 * j)) * b
-    chi = m.atan2(m.sin(xi), m.sqrt(m.sinh(eta) * m.sinh(eta) + m.cos(xi) * m.cos(xi)))
+    xi, eta = m.keep(xi), m.keep(eta)
+    chi = m.keep(m.atan2(m.sin(xi), m.sqrt(m.sinh(eta) * m.sinh(eta) + m.cos(xi) * m.cos(xi))))
     phi = chi
     for j, d in enumerate(_DELTA, 1):
         phi = phi + m.sin(chi * (2 * j)) * d
@@ -98,9 +101,20 @@ def convert(source: str | None, target: str | None, x: float, y: float) -> tuple
     return (x, y) if a == b else _from_lonlat(b, *_to_lonlat(a, x, y, _FLOATS), _FLOATS)
 
 
-def convert_columns(source: str | None, target: str | None, x: Column, y: Column) -> tuple[Column, Column]:
+def convert_columns(df: DataFrame, source: str | None, target: str | None, x: Column, y: Column) -> tuple[DataFrame, Column, Column]:
+    """The table with columns for intermediate values, and the converted coordinates over it."""
     a, b = code(source), code(target)
-    return (x, y) if a == b else _from_lonlat(b, *_to_lonlat(a, x, y, _COLUMNS), _COLUMNS)
+    if a == b:
+        return df, x, y
+    frames = [df]
+
+    def keep(e: Column) -> Column:
+        frames.append(frames[-1].withColumn(f"__p{len(frames)}", e))
+        return F.col(f"__p{len(frames) - 1}")
+
+    m = SimpleNamespace(**vars(_COLUMNS), keep=keep)
+    x, y = _from_lonlat(b, *_to_lonlat(a, x, y, m), m)
+    return frames[-1], x, y
 
 
 def convert_bounds(source: str | None, target: str | None, box: tuple[float, float, float, float], points: int = 21) -> tuple[float, float, float, float]:

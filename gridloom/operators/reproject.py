@@ -29,7 +29,7 @@ def source_places(ds: Raster, height: int, width: int, transform: Affine, crs: s
     grid = whole(ds.spark, height, width)
     c, r = F.col("col") + 0.5, F.col("row") + 0.5
     t = transform
-    x, y = projection.convert_columns(crs, ds.meta.crs, c * t.a + r * t.b + t.c, c * t.d + r * t.e + t.f)
+    grid, x, y = projection.convert_columns(grid, crs, ds.meta.crs, c * t.a + r * t.b + t.c, c * t.d + r * t.e + t.f)
     i = ds.meta.transform.inverse()
     return grid.select("row", "col", x.alias("x"), y.alias("y")).select("row", "col", (F.col("x") * i.a + F.col("y") * i.b + i.c).alias("u"), (F.col("x") * i.d + F.col("y") * i.e + i.f).alias("v"))
 
@@ -39,9 +39,11 @@ def warp(ds: Raster, height: int, width: int, transform: Affine, crs: str, metho
     if method in AREA:  # source centres that fall into a target pixel
         t = ds.meta.transform
         c, r = F.col("col") + 0.5, F.col("row") + 0.5
-        x, y = projection.convert_columns(ds.meta.crs, crs, c * t.a + r * t.b + t.c, c * t.d + r * t.e + t.f)
+        df, x, y = projection.convert_columns(ds.df, ds.meta.crs, crs, c * t.a + r * t.b + t.c, c * t.d + r * t.e + t.f)
         i = transform.inverse()
-        at = ds.df.select(F.floor(x * i.d + y * i.e + i.f).cast("int").alias("row"), F.floor(x * i.a + y * i.b + i.c).cast("int").alias("col"), F.lit(1.0).alias("w"), *names)
+        at = df.select("*", x.alias("__x"), y.alias("__y"))
+        x, y = F.col("__x"), F.col("__y")
+        at = at.select(F.floor(x * i.d + y * i.e + i.f).cast("int").alias("row"), F.floor(x * i.a + y * i.b + i.c).cast("int").alias("col"), F.lit(1.0).alias("w"), *names)
         return whole(ds.spark, height, width).join(combined(at, method, ds.meta.dtype, ds.meta.count), ["row", "col"], "left")
     places = source_places(ds, height, width, transform, crs)
     source = ds.df.select(F.col("row").alias("__r"), F.col("col").alias("__c"), *names)
@@ -51,7 +53,8 @@ def warp(ds: Raster, height: int, width: int, transform: Affine, crs: str, metho
     n = SUPPORT[method]
     tap: Any = lambda e: F.transform(F.sequence(F.lit(1 - n), F.lit(n)), lambda k: F.struct((F.floor(e - 0.5) + k).cast("int").alias("i"), kernel(method, F.floor(e - 0.5) + k + 0.5 - e).alias("w")))
     inside: Column = (F.col("u") >= 0) & (F.col("u") < ds.meta.width) & (F.col("v") >= 0) & (F.col("v") < ds.meta.height)
-    taps = places.where(inside).select("row", "col", F.explode(tap(F.col("v"))).alias("y"), "u").select("row", "col", "y", F.explode(tap(F.col("u"))).alias("x"))
+    # no filter: it would be pushed below the places and compute them once more
+    taps = places.select("row", "col", F.explode(F.when(inside, tap(F.col("v")))).alias("y"), "u").select("row", "col", "y", F.explode(tap(F.col("u"))).alias("x"))
     taps = taps.select("row", "col", F.col("y.i").alias("r"), F.col("x.i").alias("c"), (F.col("y.w") * F.col("x.w")).alias("w"))
     parts = taps.join(source, (F.col("r") == F.col("__r")) & (F.col("c") == F.col("__c")))
     return whole(ds.spark, height, width).join(combined(parts, method, ds.meta.dtype, ds.meta.count), ["row", "col"], "left")

@@ -40,10 +40,10 @@ def warp(ds: Raster, height: int, width: int, transform: Affine, crs: str, metho
         t = ds.meta.transform
         c, r = F.col("col") + 0.5, F.col("row") + 0.5
         df, x, y = projection.convert_columns(ds.df, ds.meta.crs, crs, c * t.a + r * t.b + t.c, c * t.d + r * t.e + t.f)
-        i = transform.inverse()
-        at = df.select("*", x.alias("__x"), y.alias("__y"))
-        x, y = F.col("__x"), F.col("__y")
-        at = at.select(F.floor(x * i.d + y * i.e + i.f).cast("int").alias("row"), F.floor(x * i.a + y * i.b + i.c).cast("int").alias("col"), F.lit(1.0).alias("w"), *names)
+        df, i = df.withColumns({"__x": x, "__y": y}), transform.inverse()
+        # never null, so that the join infers no filter that would be pushed down and compute the places once more
+        place = lambda a, b, c: F.coalesce(F.floor(F.col("__x") * a + F.col("__y") * b + c).cast("int"), F.lit(-1))
+        at = df.select(place(i.d, i.e, i.f).alias("row"), place(i.a, i.b, i.c).alias("col"), F.lit(1.0).alias("w"), *names)
         return whole(ds.spark, height, width).join(combined(at, method, ds.meta.dtype, ds.meta.count), ["row", "col"], "left")
     places = source_places(ds, height, width, transform, crs)
     source = ds.df.select(F.col("row").alias("__r"), F.col("col").alias("__c"), *names)

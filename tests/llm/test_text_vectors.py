@@ -289,6 +289,38 @@ def test_the_beam_widens_until_neighbours_are_found(spark, monkeypatch):
     assert hit / 500 >= 0.95
 
 
+def _shuffled(spark):
+    """Records written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_neighbour_lists_are_not_shuffled(spark):
+    v = np.random.default_rng(4).normal(size=(3000, 32))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    before = _shuffled(spark)
+    assert nn_descent.nearest(table, "vec_id", "embedding", F.col("id") % 30 == 0, 5).count() == 500
+    assert _shuffled(spark) - before < 40 * len(v)  # descent by joins shuffled hundreds of rows for each vector
+
+
+def test_neighbours_across_shards_and_groups_of_near_copies(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("SPLIT", 4), ("SHARD_ROWS", 200)):  # many cells, the large group's in several shards
+        monkeypatch.setattr(nn_descent, name, value)
+    r = np.random.default_rng(5)
+    v = np.vstack([r.normal(size=(1500, 32)), r.normal(size=32) + 0.01 * r.normal(size=(900, 32)), np.repeat(r.normal(size=(1, 32)), 30, axis=0)])
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in nn_descent.nearest(table, "vec_id", "embedding", F.col("id") % 20 == 0, 10).collect():
+        got.setdefault(row.query_id, []).append(row.score)
+    s = v[::20] @ v.T
+    s[np.arange(len(s)), np.arange(0, len(v), 20)] = -np.inf
+    last = np.sort(s, axis=1)[:, -10]
+    assert len(got) == len(s) and all(len(x) == 10 for x in got.values())
+    assert sum(sum(score >= last[i] - 1e-9 for score in got[20 * i]) for i in range(len(s))) / (10 * len(s)) >= 0.9
+
+
 def test_interrupted_licenses(docs_of, prose):
     words = license_scan.TEMPLATES["MIT"].split()
     split = lambda n: " ".join(words[:40]) + " " + prose(n, 6) + " " + " ".join(words[40:])

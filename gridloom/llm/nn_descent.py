@@ -42,7 +42,7 @@ BLOCK = 1024
 #: Rows of the sample that centres are fitted on, and least rows of it for a centre.
 SAMPLE, SAMPLE_ROWS = 16_384, 8
 #: Blocks of the largest shard.
-SPLIT = 256
+SPLIT = 128
 #: Nodes of a shard that is worth a task of its own.
 SHARD_ROWS = 4096
 #: A round that changes fewer of the neighbours than this ends the descent.

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, license_scan, mixing, near_dedup, nn_descent, packing, quality, separators, suffix_dedup, va_file
+from . import bpe, codes, errata, html_text, license_scan, mixing, near_dedup, nn_descent, packing, quality, separators, suffix_dedup, va_file
 from .common import table
 
 
@@ -55,12 +55,24 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").withColumnRenamed("id", "vec_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errata.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_nearest_neighbours, op5_exact_top_k, op6_quality_score, op7_mix_sources, op8_license_scan, op9_suffix_dedup, op10_pack_sequences)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_nearest_neighbours, op5_exact_top_k, op6_quality_score, op7_mix_sources, op8_license_scan, op9_suffix_dedup, op10_pack_sequences, op11_vector_codes, op12_spelling_variants, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_suffix_dedup": OP9_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_spelling_variants": OP12_SQL}
 
 
 OP5_SQL = """
@@ -125,3 +137,46 @@ t AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_span
 SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM n LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+_GAPS = "list_sum(list_transform(list_zip(x.s, c.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+#: Rounds are the same three steps: distances to every entry, the nearest one (the lower of equals), floors of the means.
+OP11_SQL = (
+    """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+     WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r FROM e),
+w AS (SELECT CAST(max(len(v)) / 16 AS INTEGER) AS size FROM e),
+x AS (SELECT r, p, v[p * size + 1:p * size + size] AS s FROM k, w, range(16) t(p)),
+c0 AS (SELECT p, r AS i, s FROM x WHERE r < 64)"""
+    + "".join(
+        f""",
+d{n} AS MATERIALIZED (SELECT r, x.p, x.s, arg_min(c.i, struct_pack(d := {_GAPS}, i := c.i)) AS i, min({_GAPS}) AS d FROM x JOIN c{n} c ON x.p = c.p GROUP BY r, x.p, x.s),
+m{n} AS (SELECT p, i, j, CAST(floor(sum(s[j]) / count(*)) AS BIGINT) AS y FROM d{n}, range(1, (SELECT size FROM w) + 1) t(j) GROUP BY p, i, j),
+c{n + 1} AS MATERIALIZED (SELECT c.p, c.i, coalesce(u.s, c.s) AS s FROM c{n} c LEFT JOIN (SELECT p, i, list(y ORDER BY j) AS s FROM m{n} GROUP BY p, i) u ON u.p = c.p AND u.i = c.i)"""
+        for n in range(codes.ROUNDS + 1)
+    )
+    + f""",
+h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM c{codes.ROUNDS}),
+g AS (SELECT r, string_agg(printf('%02x', CAST(i AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM d{codes.ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN g USING (r), h
+"""
+)
+
+#: CRC-32 byte by byte from its table; words that meet with one character skipped; forms followed to the last.
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, x)) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS (SELECT doc_id, w, count(*) AS k FROM r WHERE length(w) >= 5 GROUP BY 1, 2),
+b AS (SELECT w, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS z FROM g),
+h AS (SELECT w, k, xor(4294967295, list_reduce(list_transform(range(1, length(z), 2), lambda i: CAST('0x' || z[i:i + 1] AS BIGINT)), lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS h FROM b, tab),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS w, k FROM h),
+v AS (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM s WHERE length(w) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+p AS (SELECT w, n, i, left(w, i - 1) || substr(w, i + 1) AS q FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v)),
+y AS (SELECT a.w, a.n, b.w AS o, b.n AS m FROM p a JOIN p b ON a.q = b.q AND a.i = b.i AND a.w <> b.w
+      UNION SELECT a.w, a.n, b.w, b.n FROM p a JOIN v b ON a.q = b.w UNION SELECT b.w, b.n, a.w, a.n FROM p a JOIN v b ON a.q = b.w),
+f AS (SELECT w, count(*) AS n_near, arg_min(o, struct_pack(m := -m, o := encode(o))) AS o, max(m) AS m FROM y GROUP BY 1),
+t AS (SELECT v.w AS word, CASE WHEN m >= 2 * n THEN o END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN f USING (w)),
+l AS (SELECT word, coalesce(form, word) AS at, form IS NULL AS done FROM t UNION ALL SELECT l.word, coalesce(t.form, t.word), t.form IS NULL FROM l JOIN t ON t.word = l.at WHERE NOT l.done)
+SELECT word, form, l.at AS root, n, n_near, form_n FROM t JOIN l USING (word) WHERE l.done
+"""

@@ -120,8 +120,9 @@ g AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1)
 SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM g
 """
 
-#: Every 400-byte string by its start; starts whose string occurs again, merged to spans; what lies between them.
-OP9_SQL = """
+#: Every 400-byte string by its start; starts whose string occurs again, merged to spans; what lies between them, as bytes and,
+#: without the rest of a character at either end, as text.
+OP9_SQL = r"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
 s AS (SELECT doc_id, unnest(range(0, n - 399)) AS p FROM n WHERE n >= 400),
@@ -132,9 +133,10 @@ k AS (SELECT doc_id, p, sum(f) OVER (PARTITION BY doc_id ORDER BY p) AS span FRO
 x AS (SELECT doc_id, span, min(p) AS a, max(p) + 400 AS z FROM k GROUP BY 1, 2),
 y AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, z FROM x),
 parts AS (SELECT doc_id, before AS u, a AS v FROM y UNION ALL SELECT n.doc_id, coalesce(max(z), 0), n FROM n LEFT JOIN x USING (doc_id) GROUP BY n.doc_id, n),
-kept AS (SELECT doc_id, string_agg(hex(b[u + 1:v]), '' ORDER BY u) AS kept FROM parts JOIN n USING (doc_id) WHERE v > u GROUP BY 1),
+bits AS (SELECT doc_id, u, hex(b[u + 1:v]) AS h FROM parts JOIN n USING (doc_id) WHERE v > u),
+kept AS (SELECT doc_id, string_agg(h, '' ORDER BY u) AS kept, string_agg(regexp_replace(regexp_replace(h, '^([89AB].){1,3}', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', ''), '' ORDER BY u) AS text FROM bits GROUP BY 1),
 t AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM x GROUP BY 1)
-SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, decode(unhex(coalesce(kept.text, ''))) AS text
 FROM n LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 

@@ -419,22 +419,34 @@ def _kept(data: np.ndarray, offsets: np.ndarray, listed: pa.Array) -> Iterator[t
         yield gone, text
 
 
+def _readable(gone: np.ndarray, text: memoryview) -> str:
+    """The characters of a text of which no byte is covered."""
+    data = np.frombuffer(text, np.uint8)
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    hurt = np.repeat(np.logical_or.reduceat(gone, start), np.diff(start, append=len(data)))
+    return data[~hurt].tobytes().decode()
+
+
 def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of docs (doc_id, text).
+
+    ``kept_sha256`` is that of the remaining bytes; ``text`` is what remains to be read: a character that loses a byte goes whole.
+    """
     joined = _joined(docs.select("doc_id", "text"), min_bytes).select("doc_id", "text", "__ranges")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            removed, spans, digest = [], [], []
+            removed, spans, digest, texts = [], [], [], []
             for gone, text in _kept(data, offsets, batch.column(2)):
+                texts.append(bytes(text).decode() if gone is None else _readable(gone, text))
                 kept = text if gone is None else np.frombuffer(text, np.uint8)[~gone].tobytes()
                 spans.append(0 if gone is None else int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
                 removed.append(len(text) - len(kept)), digest.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def strip_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:

@@ -129,6 +129,21 @@ def test_repeats_of_frequent_passages(docs_of, prose, monkeypatch):
     assert got == sorted((i, b[1], b[2]) for (i, _, _), b in zip(rows, brute_repeats(rows, 120), strict=True))
 
 
+def test_remaining_text(docs_of, prose):
+    passage = "é" * 60 + prose(20, 77) + "中\U0001f600" * 20
+    raw = passage.encode()
+    inner = raw[1:-1]  # a repeat that begins and ends inside characters
+    rows = [(1, "a ü" + passage + "ö z", "s"), (2, "b" + passage + "y", "s"), (3, None, "s"), (4, "", "s"), (5, "alone é", "s"), (6, passage[1:-1], "s")]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs_of(rows), 100).collect()}
+    assert got[1].text == "a üö z" and got[2].text == "by" and got[3].text == got[4].text == got[6].text == "" and got[5].text == "alone é" and len(inner) == len(raw) - 2
+    # U+00E9 and U+00E8 share their first byte: what is covered starts at their second
+    split = [(1, "xé" + "q" * 200, "s"), (2, "yè" + "q" * 200, "s"), (3, "é" + "r" * 200 + "\u00ff", "s"), (4, "z" + "r" * 200 + "\u00fe", "s")]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs_of(split), 100).collect()}
+    assert got[1].text == "xé" and got[2].text == "yè" and got[3].text == "é" and got[4].text == "z"
+    assert got[3].n_removed == 201  # the first byte of the last character is covered too, so the character goes
+    assert all(r.n_bytes - r.n_removed >= len(r.text.encode()) for r in got.values())
+
+
 def test_strip(docs_of, mixed_docs):
     docs = docs_of(mixed_docs)
     got = {r.doc_id: r for r in suffix_dedup.strip_repeats(docs, 400).collect()}

@@ -7,12 +7,13 @@ import math
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.quantiles import percentiles
 from ..raster import Raster, raster_op
+from . import tiles
 from .algebra import together
 from .stats import valid
 
@@ -93,19 +94,12 @@ def hypsometric(ds: Raster, points: int = 101, band: Any = 1) -> DataFrame:
 def gradients(ds: Raster, band: Any = 1) -> DataFrame:
     """row, col, v, dy, dx: central differences by pixel size, one-sided at the edges; NULL beside nodata.
 
-    Windows run along grid rows and grid columns, so a task holds a line of pixels at a time.
+    Computed on tiles; only the strips along their edges are shuffled, where tiles are stored.
     """
-    t = ds.meta.transform
-    base = ds._base.select("row", "col", valid(ds.column(band), ds.meta.dtype).cast("double").alias("v"))
-
-    def along(line: str, order: str, size: int, step: float) -> Column:
-        w = Window.partitionBy(line).orderBy(order)
-        before, after = F.lag("v").over(w), F.lead("v").over(w)
-        inner = (after - before) / 2
-        first, last = after - F.col("v"), F.col("v") - before
-        return F.when(F.lit(size) == 1, F.lit(None)).when(F.col(order) == 0, first).when(F.col(order) == size - 1, last).otherwise(inner) / F.lit(abs(step))
-
-    return base.withColumn("dx", along("row", "col", ds.meta.width, t.a)).withColumn("dy", along("col", "row", ds.meta.height, t.e))
+    t, m = ds.meta.transform, ds.meta
+    own = ds.derived([valid(ds.column(band), m.dtype).cast("double")], dtype="float64")
+    blocks = tiles.surrounding(own.tiles(), m.height, m.width, 1, 1, tiles.differences(t.e, t.a), ["double"] * 3)
+    return tiles.pixels_of(blocks, 3).toDF("row", "col", "v", "dy", "dx")
 
 
 @raster_op(propagate_band_names=False)
@@ -137,14 +131,12 @@ def hillshade(ds: Raster, band: Any = 1, *, azimuth: float = 315, altitude: floa
 
 @raster_op
 def focal_mean(ds: Raster, radius: int = 1) -> Raster:
-    """The mean of valid pixels in a square around each pixel, as two running sums: along rows, then along columns."""
-    names = [f"b{i}" for i in range(1, ds.meta.count + 1)]
-    df = ds.df
-    across = Window.partitionBy("row").orderBy("col").rowsBetween(-radius, radius)
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(-radius, radius)
-    part = df.select("row", "col", *[F.sum(F.col(b).cast("double")).over(across).alias(f"{b}_s") for b in names], *[F.count(b).over(across).alias(f"{b}_n") for b in names])
-    out = part.select("row", "col", *[(F.sum(f"{b}_s").over(down) / F.nullif(F.sum(f"{b}_n").over(down), F.lit(0))).cast("float").alias(b) for b in names])
-    return ds.replaced(out, dtype="float32", nodata=None if ds.meta.nodata is None else float("nan"))
+    """The mean of valid pixels in a square around each pixel, computed on tiles with halos."""
+    m = ds.meta
+    if not 0 < radius <= tiles.TILE // 2:
+        raise ValidationError(f"a radius lies between 1 and {tiles.TILE // 2}")
+    blocks = tiles.surrounding(ds.tiles(["double"] * m.count), m.height, m.width, m.count, radius, tiles.box_means(radius), ["float"] * m.count)
+    return ds.replaced(tiles.pixels_of(blocks, m.count), dtype="float32", nodata=None if m.nodata is None else float("nan"))
 
 
 def time_composite(scenes: Sequence[Raster], method: str = "median") -> Raster:

@@ -11,10 +11,7 @@ from .. import contract
 from ..errors import ValidationError
 from ..functions import geometry, projection
 from ..raster import Raster, raster_op
-
-#: Side of the square tiles that stored rasters are partitioned by.
-TILE = 256
-
+from .tiles import TILE
 
 def window_of(ds: Raster, row: int, col: int, height: int, width: int) -> Raster:
     """The pixels of a window inside the raster, as a raster of their own. Stored tiles outside it aren't read."""

@@ -29,8 +29,9 @@ DEPTH = 24
 class Raster:
     """A georeferenced grid of bands. Every operation returns a new raster and runs no job until pixels are asked for."""
 
-    def __init__(self, meta: RasterMeta, base: DataFrame, exprs: list[Column] | None = None, depth: int = 0, path: str | None = None):
-        self.meta, self.path = meta, path
+    def __init__(self, meta: RasterMeta, base: DataFrame, exprs: list[Column] | None = None, depth: int = 0, path: str | None = None, tiled: bool = False):
+        self.meta, self.path, self._tiled = meta, path, tiled  # tiled: the base has the pixels of each tile one after another
+        self._levels: tuple[int, tuple[int, ...]] = (0, ())  # overviews stored at ``path``, and which of its bands these are
         self._base = base
         self._exprs = list(exprs) if exprs is not None else [F.col(f"b{i}") for i in range(1, meta.count + 1)]
         self._depth = depth
@@ -67,12 +68,12 @@ class Raster:
 
     def rebased(self) -> Raster:
         """The same raster with its pixel table as its own base."""
-        return Raster(self.meta, self.df, path=self.path)
+        return Raster(self.meta, self.df, path=self.path, tiled=self._tiled)
 
     def derived(self, exprs: list[Column], *, depth: int | None = None, **changes: Any) -> Raster:
         """A raster over the same base; names, timestamp and attributes are passed on by methods, not here."""
         changes = {"count": len(exprs), "band_names": (), "timestamp": None, "attrs": {}} | changes
-        out = Raster(replace(self.meta, **changes), self._base, exprs, (self._depth if depth is None else depth) + 1)
+        out = Raster(replace(self.meta, **changes), self._base, exprs, (self._depth if depth is None else depth) + 1, tiled=self._tiled)
         return out.rebased() if out._depth > DEPTH else out
 
     def replaced(self, df: DataFrame, **changes: Any) -> Raster:
@@ -81,7 +82,29 @@ class Raster:
         return Raster(replace(self.meta, **changes), df)
 
     def with_meta(self, **changes: Any) -> Raster:
-        return Raster(replace(self.meta, **changes), self._base, self._exprs, self._depth, self.path)
+        out = Raster(replace(self.meta, **changes), self._base, self._exprs, self._depth, self.path, self._tiled)
+        out._levels = self._levels
+        return out
+
+    def tiles(self, kinds: list[str] | None = None) -> DataFrame:
+        """The pixels as blocks of a regular net (``operators.tiles``); those of a stored raster lie in place."""
+        from .operators.tiles import tiles_of
+
+        kinds = kinds or [contract.storage(self.meta.dtype)] * self.meta.count
+        return tiles_of(self.df, self.meta.height, self.meta.width, kinds, in_place=self._tiled)
+
+    @property
+    def overviews(self) -> int:
+        """How many coarser levels are stored beside the pixels, each of half the resolution of the one before."""
+        return self._levels[0]
+
+    def overview(self, level: int) -> Raster:
+        """A stored level: pixel i stands for pixels 2^level * i and on, by the one in their middle."""
+        from .sources.files import load_level
+
+        if not 1 <= level <= self.overviews:
+            raise ValidationError(f"level {level} of {self.overviews}")
+        return load_level(self, level, self._levels[1])
 
     def persist(self) -> Raster:
         self._base.persist()
@@ -165,7 +188,10 @@ class Raster:
     def band(self, spec: int | str) -> Raster:
         """One band as a raster over the same base."""
         i = self.meta.band_index(spec)
-        return self.derived([self._exprs[i - 1]], depth=self._depth - 1, band_names=(self.meta.band_names[i - 1],), timestamp=self.meta.timestamp, attrs=self.meta.attrs)
+        out = self.derived([self._exprs[i - 1]], depth=self._depth - 1, band_names=(self.meta.band_names[i - 1],), timestamp=self.meta.timestamp, attrs=self.meta.attrs)
+        if self.overviews:
+            out.path, out._levels = self.path, (self.overviews, (self._levels[1][i - 1],))
+        return out
 
     def column(self, spec: int | str = 1) -> Column:
         """A band's expression over the base."""

@@ -1,4 +1,8 @@
-"""Stored rasters: Parquet tiles with their metadata, and GeoTIFF files."""
+"""Stored rasters: Parquet tiles with their metadata and overviews, and GeoTIFF files.
+
+A tile is a row with an array per band, so a pixel costs its value and no place. Folders are rows of tiles, sorted by column in
+small row groups: a box read prunes both ways.
+"""
 
 from __future__ import annotations
 
@@ -14,11 +18,14 @@ from pyspark.sql import functions as F
 from .. import contract
 from ..errors import BackendError
 from ..meta import Affine, RasterMeta, clean_names
-from ..operators.clip import TILE
+from ..operators import tiles
 from ..raster import Raster, raster_op
 from . import geotiff
 from .arrays import session
 
+#: Tiles of one row that a file holds, and bytes of a row group.
+FOLDER_TILES, GROUP_BYTES = 64, 8 << 20
+
 
 def _to_json(m: RasterMeta) -> str:
     nodata = "nan" if isinstance(m.nodata, float) and m.nodata != m.nodata else m.nodata
@@ -38,8 +45,8 @@ def _from_json(text: str) -> RasterMeta:
 def save_raster(ds: Raster, path: str | os.PathLike, driver: str = "auto") -> None:
     """Writes ``path`` as a GeoTIFF ("GTiff", or a name that ends in .tif) or as Parquet tiles ("parquet").
 
-    Tiles are partitioned by square blocks and sorted within, so a box read prunes files and row groups. GeoTIFF files are
-    written by the driver, for grids that fit there.
+    Tiles come with overviews, each of half the resolution of the one before, down to a single tile. GeoTIFF files are written
+    by the driver, for grids that fit there.
     """
     path = os.fspath(path)
     tiff = driver.lower() in ("gtiff", "geotiff", "cog") or (driver == "auto" and path.lower().endswith((".tif", ".tiff")))
@@ -48,8 +55,13 @@ def save_raster(ds: Raster, path: str | os.PathLike, driver: str = "auto") -> No
         return
     if driver not in ("auto", "parquet"):
         raise BackendError(f"unknown driver {driver!r}")
-    tiled = ds.encoded().withColumn("tile_row", F.expr(f"cast(row div {TILE} as int)")).withColumn("tile_col", F.expr(f"cast(col div {TILE} as int)"))
-    tiled.repartition("tile_row", "tile_col").sortWithinPartitions("tile_row", "tile_col", "row", "col").write.mode("overwrite").partitionBy("tile_row", "tile_col").parquet(f"{path}/pixels")
+    m = ds.meta
+    kinds, levels, at = [contract.storage(m.dtype)] * m.count, tiles.level_count(m.height, m.width), ["tile_row", "tile_col"]
+    level0 = ds.tiles().withColumns({"tile_row": F.expr(f"row0 div {tiles.TILE}").cast("int"), "tile_col": F.expr(f"col0 div {tiles.TILE}").cast("int")})
+    level0.repartition("tile_row", F.expr(f"tile_col div {FOLDER_TILES}")).sortWithinPartitions(*at).write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("tile_row").parquet(f"{path}/tiles")
+    if levels:
+        stored = ds.spark.read.schema(tiles.block_type(kinds)).parquet(f"{path}/tiles")
+        tiles.overviews_of(stored, m.height, m.width, kinds, levels).write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("level").parquet(f"{path}/levels")
     ds.spark.createDataFrame([(_to_json(ds.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -70,8 +82,9 @@ def load_raster(path: str | os.PathLike, *, timestamp: datetime | None = None, a
                 meta = _from_json(f.read())
         else:
             meta = _from_json(spark.read.text(f"{path}/meta", wholetext=True).first()[0])
-        kind = contract.storage(meta.dtype)
-        df = spark.read.schema("row int, col int, " + ", ".join(f"b{i} {kind}" for i in range(1, meta.count + 1)) + ", tile_row int, tile_col int").parquet(f"{path}/pixels")
+        kinds = [contract.storage(meta.dtype)] * meta.count
+        stored = spark.read.schema(tiles.block_type(kinds, "tile_row int, tile_col int, ")).parquet(f"{path}/tiles")
+        df = tiles.pixels_of(stored, meta.count, "tile_row", "tile_col")
     changes: dict[str, Any] = {}
     if band_names is not None:
         changes["band_names"] = clean_names(band_names, meta.count)
@@ -80,5 +93,19 @@ def load_raster(path: str | os.PathLike, *, timestamp: datetime | None = None, a
     if attrs:
         changes["attrs"] = attrs
     meta = replace(meta, **changes)
-    exprs = [contract.decode(F.col(f"b{i}"), meta.nodata, meta.dtype) for i in range(1, meta.count + 1)]
-    return Raster(meta, df, exprs, path=path)
+    if "tile_row" not in df.columns:
+        return Raster(meta, df, [contract.decode(F.col(f"b{i}"), meta.nodata, meta.dtype) for i in range(1, meta.count + 1)], path=path)
+    out = Raster(meta, df, path=path, tiled=True)
+    out._levels = (tiles.level_count(meta.height, meta.width), tuple(range(1, meta.count + 1)))
+    return out
+
+
+def load_level(ds: Raster, level: int, bands: tuple[int, ...]) -> Raster:
+    """Bands of a stored raster's overview; its pixels are 2^level times as wide."""
+    m, kind = ds.meta, contract.storage(ds.meta.dtype)
+    height, width = tiles.level_shape(m.height, m.width, level)
+    names = ", ".join(f"b{i} array<{kind}>" for i in sorted(set(bands)))
+    stored = ds.spark.read.schema(f"level int, tile_row int, tile_col int, row0 int, col0 int, h int, w int, {names}").parquet(f"{ds.path}/levels").where(F.col("level") == level)
+    stored = stored.select("row0", "col0", "w", "tile_row", "tile_col", *[F.col(f"b{i}").alias(f"b{k}") for k, i in enumerate(bands, 1)])
+    meta = replace(m, height=height, width=width, transform=m.transform.scaled(2**level, 2**level))
+    return Raster(meta, tiles.pixels_of(stored, len(bands), "tile_row", "tile_col"), tiled=True)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, frequent_join, slices, take, text_buffer
 
 #: Words of a subtree that one task merges.
-GROUP_WORDS = 30_000
+GROUP_WORDS = 8_000
 #: Rows of partial counts that a task holds.
 HELD_ROWS = 500_000
 LEAST_LENGTH, LEAST_COUNT, EDIT_SHARE, FORM_RATIO = 5, 3, 97, 2

@@ -1,18 +1,20 @@
-"""Reprojection: the target grid is generated, its pixel centres are projected back by column formulas, and source pixels join."""
+"""Reprojection: nearest and kernel methods by an approximated transformer on tiles (``warp``), area methods by column formulas."""
 
 from __future__ import annotations
 
 import math
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions import projection
+from ..functions.crs import definition
 from ..meta import Affine, clean_crs
 from ..raster import Raster, raster_op
-from .resample import AREA, SUPPORT, combined, kernel, normalize_resampling_method, whole
+from .resample import AREA, combined, normalize_resampling_method, whole
+from .warp import TOLERANCE, warped
 
 
 def target_grid(ds: Raster, crs: str) -> tuple[int, int, Affine]:
@@ -24,51 +26,43 @@ def target_grid(ds: Raster, crs: str) -> tuple[int, int, Affine]:
     return height, width, Affine.from_origin(x0, y1, size, size)
 
 
-def source_places(ds: Raster, height: int, width: int, transform: Affine, crs: str) -> DataFrame:
-    """row, col, u, v: target pixels and where their centres lie in the source, in pixels (column u, row v)."""
-    grid = whole(ds.spark, height, width)
+def warp(ds: Raster, height: int, width: int, transform: Affine, crs: str | None, method: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """row, col, b1 ... of every pixel of a target grid. Area methods put together the source pixels whose centres fall into a pixel."""
+    if method not in AREA:
+        return warped(ds, height, width, transform, crs, method, tolerance)
+    names = [f"b{k}" for k in range(1, ds.meta.count + 1)]
+    t = ds.meta.transform
     c, r = F.col("col") + 0.5, F.col("row") + 0.5
-    t = transform
-    grid, x, y = projection.convert_columns(grid, crs, ds.meta.crs, c * t.a + r * t.b + t.c, c * t.d + r * t.e + t.f)
-    i = ds.meta.transform.inverse()
-    return grid.select("row", "col", x.alias("x"), y.alias("y")).select("row", "col", (F.col("x") * i.a + F.col("y") * i.b + i.c).alias("u"), (F.col("x") * i.d + F.col("y") * i.e + i.f).alias("v"))
+    x, y = c * t.a + r * t.b + t.c, c * t.d + r * t.e + t.f
+    df, x, y = projection.convert_columns(ds.df, ds.meta.crs, crs, x, y) if crs != ds.meta.crs else (ds.df, x, y)
+    df, i = df.withColumns({"__x": x, "__y": y}), transform.inverse()
+    # never null, so that the join infers no filter that would be pushed down and compute the places once more
+    place = lambda a, b, c: F.coalesce(F.floor(F.col("__x") * a + F.col("__y") * b + c).cast("int"), F.lit(-1))
+    at = df.select(place(i.d, i.e, i.f).alias("row"), place(i.a, i.b, i.c).alias("col"), F.lit(1.0).alias("w"), *names)
+    return whole(ds.spark, height, width).join(combined(at, method, ds.meta.dtype, ds.meta.count), ["row", "col"], "left")
 
 
-def warp(ds: Raster, height: int, width: int, transform: Affine, crs: str, method: str) -> DataFrame:
-    names = [f"b{k}" for k in range(1, ds.meta.count + 1)]
-    if method in AREA:  # source centres that fall into a target pixel
-        t = ds.meta.transform
-        c, r = F.col("col") + 0.5, F.col("row") + 0.5
-        df, x, y = projection.convert_columns(ds.df, ds.meta.crs, crs, c * t.a + r * t.b + t.c, c * t.d + r * t.e + t.f)
-        df, i = df.withColumns({"__x": x, "__y": y}), transform.inverse()
-        # never null, so that the join infers no filter that would be pushed down and compute the places once more
-        place = lambda a, b, c: F.coalesce(F.floor(F.col("__x") * a + F.col("__y") * b + c).cast("int"), F.lit(-1))
-        at = df.select(place(i.d, i.e, i.f).alias("row"), place(i.a, i.b, i.c).alias("col"), F.lit(1.0).alias("w"), *names)
-        return whole(ds.spark, height, width).join(combined(at, method, ds.meta.dtype, ds.meta.count), ["row", "col"], "left")
-    places = source_places(ds, height, width, transform, crs)
-    source = ds.df.select(F.col("row").alias("__r"), F.col("col").alias("__c"), *names)
-    if method == "nearest":
-        at = places.select("row", "col", F.floor("v").cast("int").alias("r"), F.floor("u").cast("int").alias("c"))
-        return at.join(source, (F.col("r") == F.col("__r")) & (F.col("c") == F.col("__c")), "left").select("row", "col", *names)
-    n = SUPPORT[method]
-    tap: Any = lambda e: F.transform(F.sequence(F.lit(1 - n), F.lit(n)), lambda k: F.struct((F.floor(e - 0.5) + k).cast("int").alias("i"), kernel(method, F.floor(e - 0.5) + k + 0.5 - e).alias("w")))
-    inside: Column = (F.col("u") >= 0) & (F.col("u") < ds.meta.width) & (F.col("v") >= 0) & (F.col("v") < ds.meta.height)
-    # no filter: it would be pushed below the places and compute them once more
-    taps = places.select("row", "col", F.explode(F.when(inside, tap(F.col("v")))).alias("y"), "u").select("row", "col", "y", F.explode(tap(F.col("u"))).alias("x"))
-    taps = taps.select("row", "col", F.col("y.i").alias("r"), F.col("x.i").alias("c"), (F.col("y.w") * F.col("x.w")).alias("w"))
-    parts = taps.join(source, (F.col("r") == F.col("__r")) & (F.col("c") == F.col("__c")))
-    return whole(ds.spark, height, width).join(combined(parts, method, ds.meta.dtype, ds.meta.count), ["row", "col"], "left")
+def warp_onto(ds: Raster, target: Raster, method: Any = "nearest", tolerance: float = TOLERANCE) -> Raster:
+    """ds on the grid of a raster of any CRS and direction; pixels that ds doesn't reach are NULL."""
+    m = target.meta
+    if (ds.meta.crs is None) != (m.crs is None):
+        raise ValidationError("both rasters have a CRS, or neither has")
+    df = warp(ds, m.height, m.width, m.transform, m.crs, normalize_resampling_method(method), tolerance)
+    return ds.replaced(df, height=m.height, width=m.width, transform=m.transform, crs=m.crs)
 
 
 @raster_op
-def reproject_raster(ds: Raster, *, target_crs: Any, resampling_method: Any = "nearest") -> Raster:
-    """The raster in another CRS. Pixels that the source doesn't reach are nodata, or 0 on export where none is declared."""
+def reproject_raster(ds: Raster, *, target_crs: Any, resampling_method: Any = "nearest", tolerance: float = TOLERANCE) -> Raster:
+    """The raster in another CRS. Pixels that the source doesn't reach are nodata, or 0 on export where none is declared.
+
+    ``tolerance``: by how many source pixels a place may err (nearest and kernel methods); 0 transforms every pixel exactly.
+    """
     if not isinstance(target_crs, (int, str)) and not hasattr(target_crs, "to_string") or isinstance(target_crs, bool):
         raise ValidationError("a CRS is a code or a string")
     crs = clean_crs(target_crs)
     if ds.meta.crs is None:
         raise ValidationError("the raster has no CRS")
-    projection.code(crs), projection.code(ds.meta.crs)
+    definition(crs), definition(ds.meta.crs)
     height, width, transform = target_grid(ds, crs)
-    df = warp(ds, height, width, transform, crs, normalize_resampling_method(resampling_method))
+    df = warp(ds, height, width, transform, crs, normalize_resampling_method(resampling_method), tolerance)
     return ds.replaced(df, height=height, width=width, transform=transform, crs=crs)

@@ -307,7 +307,9 @@ def align_to(ds: Raster, target: Raster, method: Any = "bilinear") -> Raster:
     if ds.meta.crs != target.meta.crs:
         raise CRSMismatchError(f"rasters lie in {ds.meta.crs} and {target.meta.crs}")
     if a.rotated or b.rotated:
-        raise AlignmentError("rotated grids can't be aligned")
+        from .reproject import warp_onto
+
+        return warp_onto(ds, target, method)
     # target centre (i + 0.5) lies at ((i + 0.5) * b.a + b.c - a.c) / a.a source pixels
     cols, rows = (a.a, b.a, (b.c - a.c) / a.a), (a.e, b.e, (b.f - a.f) / a.e)
     if cols[1] / cols[0] < 0 or rows[1] / rows[0] < 0:

@@ -138,7 +138,7 @@ def _span(band: int, side: int, radius: int, size: int) -> tuple[int, int]:
     """From and to of a band of an axis: even ones lie inside the tiles, odd ones around the lines between them."""
     tile, seam = divmod(band + 1, 2)
     if not seam:  # around the line before the tile
-        return max(0, tile * side - radius), min(size, tile * side + radius)
+        return (0, 0) if tile * side >= size else (max(0, tile * side - radius), min(size, tile * side + radius))
     return tile * side + (radius if tile else 0), (tile + 1) * side - radius if (tile + 1) * side < size else size
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..errors import ValidationError
 from ..functions import geometry, projection
 from ..operators.clip import box_window, window_of
+from ..operators.reproject import warp_onto
 from ..operators.resample import align_to
 from ..raster import Raster
 from .arrays import session
@@ -220,7 +221,11 @@ class Item:
             r = load_raster(self.assets[n].href, spark=spark)
             known = r.band_names
             r.band_names = [n] if r.get_count() == 1 else [k or f"{n}_{i}" for i, k in enumerate(known, 1)]
-            if area is not None and crop:
+            if first is not None and r.get_crs() != first.get_crs():  # another zone: only what the first grid covers is read
+                held = r.band_names
+                r = warp_onto(_near(r, first), first, resampling)
+                r.band_names = held
+            elif area is not None and crop:
                 box = projection.convert_bounds("EPSG:4326", r.get_crs(), area) if r.get_crs() != "EPSG:4326" else area
                 held = r.band_names
                 r = window_of(r, *box_window(r, box, outward=True))
@@ -244,6 +249,17 @@ class Item:
         return out.with_meta(timestamp=self.timestamp, attrs={"stac_item": self.id, "stac_collection": self.collection, "stac_assets": names})
 
 
+def _near(r: Raster, first: Raster) -> Raster:
+    """The window of a raster that another one's extent, in another CRS, may read."""
+    x0, y0, x1, y1 = projection.convert_bounds(first.get_crs(), r.get_crs(), first.get_bounds())
+    t = r.get_transform()
+    more = 8 * max(abs(t.a) + abs(t.b), abs(t.d) + abs(t.e)) + 0.02 * max(x1 - x0, y1 - y0)
+    try:
+        return window_of(r, *box_window(r, (x0 - more, y0 - more, x1 + more, y1 + more), outward=True))
+    except ValidationError:  # no pixel: nothing but nodata comes of it, whatever is read
+        return window_of(r, 0, 0, 1, 1)
+
+
 def items_table(rows: list[dict], spark: SparkSession | None = None) -> DataFrame:
     """Items from mappings on the driver (``geometry`` may be a mapping)."""
     spark = session(spark)

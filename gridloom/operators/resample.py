@@ -295,9 +295,9 @@ def decimate(ds: Raster, height: int, width: int) -> Raster:
     height, width = min(height, m.height), min(width, m.width)
     k = min(int(math.log2(m.height / height) + 1e-9), int(math.log2(m.width / width) + 1e-9), ds.overviews)
     if k < 1:
-        return to_shape(ds, height, width, "nearest")
+        return to_shape(ds, height, width, "nearest").with_meta(band_names=m.band_names)
     df = onto(ds.overview(k), height, width, (height, m.height / 2**k, 0.0), (width, m.width / 2**k, 0.0), "nearest")
-    return ds.replaced(df, height=height, width=width, transform=m.transform.scaled(m.width / width, m.height / height))
+    return ds.replaced(df, height=height, width=width, transform=m.transform.scaled(m.width / width, m.height / height), band_names=m.band_names)
 
 
 def align_to(ds: Raster, target: Raster, method: Any = "bilinear") -> Raster:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Side of the square tiles of stored rasters.
 TILE = 256
+#: The coarsest overview is at most this long and wide.
+LEAST_SIDE = 32
 #: Columns that say where a block lies.
 PLACES = ("row0", "col0", "h", "w")
 
@@ -214,9 +216,9 @@ def level_shape(height: int, width: int, level: int) -> tuple[int, int]:
 
 
 def level_count(height: int, width: int) -> int:
-    """Levels until the whole grid is at most one tile."""
+    """Levels until a side of the whole grid is at most ``LEAST_SIDE``."""
     k = 0
-    while max(level_shape(height, width, k)) > TILE:
+    while max(level_shape(height, width, k)) > LEAST_SIDE:
         k += 1
     return k
 

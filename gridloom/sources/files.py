@@ -45,7 +45,7 @@ def _from_json(text: str) -> RasterMeta:
 def save_raster(ds: Raster, path: str | os.PathLike, driver: str = "auto") -> None:
     """Writes ``path`` as a GeoTIFF ("GTiff", or a name that ends in .tif) or as Parquet tiles ("parquet").
 
-    Tiles come with overviews, each of half the resolution of the one before, down to a single tile. GeoTIFF files are written
+    Tiles come with overviews, each of half the resolution of the one before, down to a few pixels. GeoTIFF files are written
     by the driver, for grids that fit there.
     """
     path = os.fspath(path)

@@ -152,8 +152,8 @@ def test_stored_gradients_and_chains(stored):
 
 def test_overviews(spark, stored, capsys):
     r, a = stored
-    assert r.overviews == 3 == r.band(1).overviews and (r * 2).overviews == 0
-    for k in (1, 2, 3):
+    assert r.overviews == 6 == r.band(1).overviews and (r * 2).overviews == 0
+    for k in (1, 2, 3, 6):
         level = r.overview(k)
         h, w = -(-1100 // 2**k), -(-900 // 2**k)
         rows, cols = np.minimum(np.arange(h) * 2**k + 2**k // 2, 1099), np.minimum(np.arange(w) * 2**k + 2**k // 2, 899)
@@ -162,7 +162,7 @@ def test_overviews(spark, stored, capsys):
         np.testing.assert_array_equal(got, a[np.ix_(rows, cols)])
     files = lambda df: {f.split("/scene/")[1].split("/")[0] + "/" + f.split("/scene/")[1].split("/")[1] for f in df.inputFiles()}
     coarse = resample.decimate(r, 150, 120)
-    assert files(coarse.df) <= {f"levels/level={k}" for k in (1, 2, 3)} and "level=2" in coarse.df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("]")[0].replace(" = ", "=").replace("level#", "level=2 #", 1)
+    assert files(coarse.df) <= {f"levels/level={k}" for k in range(1, 7)} and "level=2" in coarse.df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("]")[0].replace(" = ", "=").replace("level#", "level=2 #", 1)
     assert all(f.startswith("tiles/") for f in files(r.df))
     assert coarse.to_array().shape == (1, 150, 120)
     exact, near = (stats.band_statistics(r, approx=x).first() for x in (False, True))

@@ -15,7 +15,7 @@ from .tiles import TILE
 
 def window_of(ds: Raster, row: int, col: int, height: int, width: int) -> Raster:
     """The pixels of a window inside the raster, as a raster of their own. Stored tiles outside it aren't read."""
-    base = ds._base
+    base = ds._reader(row, row + height - 1, col, col + width - 1) if ds._reader else ds._base
     keep = F.col("row").between(row, row + height - 1) & F.col("col").between(col, col + width - 1)
     if {"tile_row", "tile_col"} <= set(base.columns):  # the optimiser can't derive these from row and col
         keep = keep & F.col("tile_row").between(row // TILE, (row + height - 1) // TILE) & F.col("tile_col").between(col // TILE, (col + width - 1) // TILE)

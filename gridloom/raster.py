@@ -32,6 +32,7 @@ class Raster:
     def __init__(self, meta: RasterMeta, base: DataFrame, exprs: list[Column] | None = None, depth: int = 0, path: str | None = None, tiled: bool = False):
         self.meta, self.path, self._tiled = meta, path, tiled  # tiled: the base has the pixels of each tile one after another
         self._levels: tuple[int, tuple[int, ...]] = (0, ())  # overviews stored at ``path``, and which of its bands these are
+        self._reader: Callable[[int, int, int, int], DataFrame] | None = None  # the base of a window alone, where filters can't reach the file
         self._base = base
         self._exprs = list(exprs) if exprs is not None else [F.col(f"b{i}") for i in range(1, meta.count + 1)]
         self._depth = depth
@@ -74,6 +75,7 @@ class Raster:
         """A raster over the same base; names, timestamp and attributes are passed on by methods, not here."""
         changes = {"count": len(exprs), "band_names": (), "timestamp": None, "attrs": {}} | changes
         out = Raster(replace(self.meta, **changes), self._base, exprs, (self._depth if depth is None else depth) + 1, tiled=self._tiled)
+        out._reader = self._reader
         return out.rebased() if out._depth > DEPTH else out
 
     def replaced(self, df: DataFrame, **changes: Any) -> Raster:
@@ -83,7 +85,7 @@ class Raster:
 
     def with_meta(self, **changes: Any) -> Raster:
         out = Raster(replace(self.meta, **changes), self._base, self._exprs, self._depth, self.path, self._tiled)
-        out._levels = self._levels
+        out._levels, out._reader = self._levels, self._reader
         return out
 
     def tiles(self, kinds: list[str] | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from ..errors import BackendError
 from ..meta import Affine, RasterMeta, clean_names
 from ..operators import tiles
 from ..raster import Raster, raster_op
-from . import geotiff
+from . import geotiff, ranges
 from .arrays import session
 
 #: Tiles of one row that a file holds, and bytes of a row group.
@@ -45,13 +45,15 @@ def _from_json(text: str) -> RasterMeta:
 def save_raster(ds: Raster, path: str | os.PathLike, driver: str = "auto") -> None:
     """Writes ``path`` as a GeoTIFF ("GTiff", or a name that ends in .tif) or as Parquet tiles ("parquet").
 
-    Tiles come with overviews, each of half the resolution of the one before, down to a few pixels. GeoTIFF files are written
-    by the driver, for grids that fit there.
+    Tiles come with overviews, each of half the resolution of the one before, down to a few pixels. GeoTIFF blocks
+    are encoded by tasks and copied behind one another by the driver.
     """
     path = os.fspath(path)
     tiff = driver.lower() in ("gtiff", "geotiff", "cog") or (driver == "auto" and path.lower().endswith((".tif", ".tiff")))
     if tiff:
-        geotiff.write(path, ds.to_array(), ds.meta)
+        if ds.meta.dtype == "bool":
+            raise BackendError("a GeoTIFF holds numbers")
+        geotiff.write(ds.spark, path, ds.tiles(), ds.meta, tiles.TILE)
         return
     if driver not in ("auto", "parquet"):
         raise BackendError(f"unknown driver {driver!r}")
@@ -68,17 +70,25 @@ def save_raster(ds: Raster, path: str | os.PathLike, driver: str = "auto") -> No
 def load_raster(path: str | os.PathLike, *, timestamp: datetime | None = None, attrs: dict | None = None, band_names: Any = None, spark: SparkSession | None = None) -> Raster:
     """A stored raster; no pixel is read. Given names replace the file's descriptions."""
     path, spark = os.fspath(path), session(spark)
-    local = "://" not in path
-    if local and not os.path.exists(path):
+    local = ranges.scheme(path) in ("", "file")
+    reader = None
+    if not ranges.exists(spark, path):
         raise FileNotFoundError(path)
-    if path.lower().endswith((".tif", ".tiff")) or (local and os.path.isfile(path)):
-        meta = geotiff.read_header(path).meta
-        spark.dataSource.register(geotiff.GeoTiffSource)
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # windows choose the blocks that are read
-        df = spark.read.format("geotiff").load(path)
+    if path.lower().endswith((".tif", ".tiff")) or (local and os.path.isfile(ranges.local_path(path))):
+        with ranges.open_ranges(path, spark) as source:
+            header = geotiff.read_header(source)
+        meta = header.meta
+        if ranges.opens_in_tasks(path):
+            spark.dataSource.register(geotiff.GeoTiffSource)
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # windows choose the blocks that are read
+            df = spark.read.format("geotiff").option("header", geotiff.header_option(header)).load(path)
+        else:
+            df = geotiff.from_session(spark, path, header)
+            reader = lambda *window: geotiff.from_session(spark, path, header, window)
     else:
         if local:
-            with open(next(os.path.join(f"{path}/meta", n) for n in os.listdir(f"{path}/meta") if n.startswith("part-")), encoding="utf-8") as f:
+            folder = ranges.local_path(f"{path}/meta")
+            with open(next(os.path.join(folder, n) for n in os.listdir(folder) if n.startswith("part-")), encoding="utf-8") as f:
                 meta = _from_json(f.read())
         else:
             meta = _from_json(spark.read.text(f"{path}/meta", wholetext=True).first()[0])
@@ -94,7 +104,9 @@ def load_raster(path: str | os.PathLike, *, timestamp: datetime | None = None, a
         changes["attrs"] = attrs
     meta = replace(meta, **changes)
     if "tile_row" not in df.columns:
-        return Raster(meta, df, [contract.decode(F.col(f"b{i}"), meta.nodata, meta.dtype) for i in range(1, meta.count + 1)], path=path)
+        out = Raster(meta, df, [contract.decode(F.col(f"b{i}"), meta.nodata, meta.dtype) for i in range(1, meta.count + 1)], path=path)
+        out._reader = reader
+        return out
     out = Raster(meta, df, path=path, tiled=True)
     out._levels = (tiles.level_count(meta.height, meta.width), tuple(range(1, meta.count + 1)))
     return out

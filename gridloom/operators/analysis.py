@@ -87,7 +87,7 @@ def hypsometric(ds: Raster, points: int = 101, band: Any = 1) -> DataFrame:
     """share, value: the value that each share of pixels lies at or below."""
     v = valid(ds.column(band), ds.meta.dtype).cast("double")
     at = [k / (points - 1) for k in range(points)]
-    row = percentiles(ds._base.select(F.lit(1).alias("g"), v.alias("v")), at)
+    row = percentiles(ds._base.select(F.lit(1).alias("g"), v.alias("v")), at, ds.meta.height * ds.meta.width)
     return row.select(F.posexplode("p").alias("k", "value")).select((F.col("k") / (points - 1)).alias("share"), "value")
 
 

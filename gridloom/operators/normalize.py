@@ -51,7 +51,7 @@ def normalize_percentile(ds: Raster, *, lower_percentile: float = 2, upper_perce
     if not (0 <= lower_percentile <= 100 and 0 <= upper_percentile <= 100):
         raise ValidationError("percentiles lie in [0, 100]")
     pooled = _pooled(ds).select(F.lit(1).alias("g"), F.col("v").cast("double").alias("v"))
-    row = percentiles(pooled, [lower_percentile / 100, upper_percentile / 100]).select(F.col("p")[0].alias("__low"), F.col("p")[1].alias("__high"))
+    row = percentiles(pooled, [lower_percentile / 100, upper_percentile / 100], ds.meta.height * ds.meta.width * ds.meta.count).select(F.col("p")[0].alias("__low"), F.col("p")[1].alias("__high"))
 
     def formula(e: Column) -> Column:
         x = _over(e - F.col("__low"), F.col("__high") - F.col("__low"))

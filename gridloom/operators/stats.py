@@ -95,7 +95,7 @@ def get_percentile_pixel(ds: Raster, percentile: float, band_idx: Any = 1, *, re
     """The linearly interpolated percentile and the position of the first pixel nearest to it."""
     if not 0 <= percentile <= 100:
         raise ValidationError("percentiles lie in [0, 100]")
-    target = percentiles(band_table(ds, band_idx).select(F.lit(1).alias("g"), F.col("v").cast("double").alias("v")), [percentile / 100]).select(F.col("p")[0].alias("value"))
+    target = percentiles(band_table(ds, band_idx).select(F.lit(1).alias("g"), F.col("v").cast("double").alias("v")), [percentile / 100], ds.meta.height * ds.meta.width).select(F.col("p")[0].alias("value"))
     r = nearest_to(ds, band_idx, target).first()
     return _positioned(ds, band_idx, "percentile", r.value, r.row, r.col, return_position_as_pixel_coordinate)
 

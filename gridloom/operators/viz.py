@@ -45,7 +45,7 @@ def stretch_limits(ds: Raster, bands: list[Any] | None = None, pmin: float = 2,
         raise ValidationError("percentiles ascend within [0, 100]")
     which = [ds.meta.band_index(b) for b in bands] if bands else list(range(1, ds.meta.count + 1))
     each = F.array(*[F.struct(F.lit(i).alias("g"), valid(ds.column(i), ds.meta.dtype).cast("double").alias("v")) for i in which])
-    rows = percentiles(ds._base.select(F.explode(each).alias("z")).select("z.*"), [pmin / 100, pmax / 100]).withColumnRenamed("g", "band")
+    rows = percentiles(ds._base.select(F.explode(each).alias("z")).select("z.*"), [pmin / 100, pmax / 100], ds.meta.height * ds.meta.width).withColumnRenamed("g", "band")
     fit = F.col("p")[1] > F.col("p")[0]
     return rows.select("band", F.when(fit, F.col("p")[0]).alias("low"), F.when(fit, F.col("p")[1]).alias("high"))
 

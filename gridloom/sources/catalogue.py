@@ -170,8 +170,16 @@ class SearchResult(Sequence):
             return SearchResult(self.df, bbox=self.bbox, intersects=self.intersects, rows=rows)
         if isinstance(k, slice):
             return SearchResult(self.df, bbox=self.bbox, intersects=self.intersects, rows=self._got()[k])
+        if self._rows is None and isinstance(k, int) and k >= 0:  # this one row, not every hit
+            rows = self.df.offset(k).limit(1).collect()
+            if not rows:
+                raise IndexError(f"item {k} of {len(self)}")
+            return Item(rows[0], self.bbox, self.intersects)
         return Item(self._got()[k], self.bbox, self.intersects)
 
+    def __iter__(self):
+        return (Item(r, self.bbox, self.intersects) for r in self._got())
+
     @property
     def timestamps(self) -> list[datetime | None]:
         if self._rows is None:  # the times alone, without footprints and assets

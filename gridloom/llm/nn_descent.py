@@ -1,21 +1,17 @@
-"""Approximate nearest neighbours by largest inner product: NN-descent builds neighbour graphs, greedy graph search answers.
+"""Approximate nearest neighbours by largest inner product: NN-descent builds a neighbour graph, greedy graph search answers.
 
 Equal vectors are one node. One more component gives all nodes the same length, so that the nearest by inner product are the
-nearest in space. Centres, fitted on a bounded sample, deal the nodes to cells, and cells of too many nodes to several shards.
-A task builds a shard's graph: blocks of random hyperplane trees give the first neighbours, then NN-descent compares, round by
-round, every node with the neighbours and reverse neighbours of its own ones. A query goes to the shards of its nearest cells
-and searches their graphs greedily: it starts at its own node and the best of a few pivots and expands the best nodes of its
-beam until none is left. Only vectors, lists and queries move between tasks, each once for a search.
-
-How many cells a query visits follows from a bounded sample of the queries, whose neighbours by brute force are known: as many
-as hold nearly all of these. The first search goes to the nearest of them and gives each query a bound, the second to the
-rest. The recall of the sample is then measured; while it is too low, the beam doubles, cells are added and the search is
-repeated above the bounds. The last step compares each query with all nodes. Beams are scored again with the original vectors
-in double precision.
-
-Every row is indexed. Bounds (neighbours per node, reverse neighbours, block and shard size) are parameters of the index and
-don't depend on the number of rows; beam and cells are what the measured recall asks for. Recall is stated in the README and
-tested.
+nearest in space. Random hyperplane trees, fitted on a bounded sample, deal the nodes to small blocks whose members are
+compared: the first neighbours. Then NN-descent: each round joins, in Spark, every node's neighbours and reverse neighbours
+with each other and keeps what is nearer than a node's last neighbour. A search starts at a query's own node and the graph's
+entry nodes, expands the best nodes not yet expanded, a beam per query and a join per round, until a round adds nothing. The
+recall of a bounded sample of the queries is then measured against brute force; while it is too low, beam and entry nodes
+double and the search goes on from where it ended; before a beam holds a quarter of all nodes, the queries are compared with
+all of them, a group of queries after another. The beam is scored again with the original vectors in double precision.
+
+Every row is indexed. Bounds (neighbours per node, reverse neighbours, block size) are parameters of the index and don't
+depend on the number of rows; the beam is what the measured recall asks for. Descent and search go on until they change nothing
+more, or too little. Recall is stated in the README and tested.
 
 Defined cases: extra columns, whatever their names, are ignored; vectors that are null, zero or hold null or non-finite
 components take no part; shorter vectors are padded with
@@ -25,7 +21,6 @@ candidates give all of them; an empty table or no query gives no rows.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,37 +28,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_buffer, trim
+from .common import Scratch, text_buffer
 from .vectors import dense, matrix, members_of, nodes_of
 
 NEIGHBOURS = 32
-TREES = 6
+TREES = 8
 BLOCK = 1024
-#: Rows of the sample that centres are fitted on, and least rows of it for a centre.
-SAMPLE, SAMPLE_ROWS = 16_384, 8
-#: Blocks of the largest shard.
-SPLIT = 128
-#: Nodes of a shard that is worth a task of its own.
-SHARD_ROWS = 4096
+#: Rows of the sample that trees are fitted on.
+SAMPLE = 16_384
+#: Blocks of a leaf that one task splits further by itself.
+SPLIT = 64
 #: A round that changes fewer of the neighbours than this ends the descent.
 SETTLED = 0.05
-#: Reverse neighbours that a round joins with a node's neighbours, and those that a search follows.
-BACKWARD, BACK = 16, 16
-#: The first beam holds so many nodes for each doubling of the largest shard, as a search's depth grows with it.
-BEAM = 3
+BEST = 8
+#: The first beam holds so many nodes for each doubling of the number of nodes, as a search's depth grows with it.
+BEAM = 16
 #: Recall at which the beam is wide enough, and the queries that it is measured on.
 RECALL = 0.95
 PROBES = 256
-#: The share of the sampled queries' neighbours in the cells that are visited first, and which part of these gives the bounds.
-COVER, BOUNDING = 0.975, 8
-#: Nodes of a beam that one step expands, nodes that a search starts from, and queries that step together.
-EXPANDED, PIVOTS, GROUP = 8, 512, 256
-#: Nodes whose lists a round handles at once, and new nodes that a group compares at once.
-STEP, SEEN = 128, 4096
-#: Queries come behind a shard's nodes, those of one home cell together.
-ASKS = 1 << 30
-#: Pairs that a round holds before lists take them.
-PAIRS = 1 << 23
+#: Nodes of a beam that one round expands, and the least share of the beam.
+EXPANDED, EXPANDED_SHARE = 96, 3
+ENTRIES = 16
+#: Where a beam would hold more than this part of the nodes, queries are compared with all of them.
+ALL_SHARE = 4
 
 
 def _rows(batch: pa.RecordBatch, column: int, dtype: str, width: int) -> np.ndarray:
@@ -77,41 +64,59 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
 
-def _unit(v: np.ndarray, length: float) -> np.ndarray:
-    v = v / length
-    return np.hstack([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(1, keepdims=True)))])
+def _small(vectors: DataFrame, width: int, length: float) -> DataFrame:
+    """node, x, x8: vectors of unit length with one more component, in half precision and in 8 bits."""
 
-
-def centres_of(sample: np.ndarray, n: int) -> np.ndarray:
-    """At most n directions that the sample's rows gather around."""
-    out = sample[:n].copy()
-    for _ in range(6):
-        at = (sample @ out.T).argmax(1)
-        sums = np.zeros_like(out)
-        np.add.at(sums, at, sample)
-        size = np.sqrt((sums * sums).sum(1, keepdims=True))
-        out = np.where(size > 0, sums / np.maximum(size, 1e-30), out).astype(np.float32)
-    return out
-
-
-def _dealt(nodes: DataFrame, width: int, length: float, centres: np.ndarray) -> DataFrame:
-    """node, x, cell: vectors of unit length with one more component, in half precision, and their nearest centre."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = matrix(batch.column(1), width) / length
+            more = np.sqrt(np.maximum(0, 1 - (v * v).sum(1, keepdims=True)))
+            x = np.hstack([v, more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(x.astype(np.float16)), _binary(np.rint(x * 127).astype(np.int8))], names=["node", "x", "x8"])
+
+    return vectors.select("node", "v").mapInArrow(run, "node long, x binary, x8 binary")
+
+
+def grow_tree(sample: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Planes and cuts of a complete tree: each cut is the sample's median along the line between two of its points."""
+    r = np.random.default_rng(seed)
+    planes, cuts = np.zeros((2**depth, sample.shape[1]), np.float32), np.zeros(2**depth, np.float32)
+    rows = {1: np.arange(len(sample))}
+    for node in range(1, 2**depth):
+        own = rows.pop(node)
+        a, b = r.integers(0, len(own), 2) if len(own) else (0, 0)
+        plane = sample[own[a]] - sample[own[b]] if len(own) > 1 and a != b else r.normal(size=sample.shape[1])
+        if not np.any(plane):
+            plane = r.normal(size=sample.shape[1])
+        at = sample[own] @ plane
+        planes[node], cuts[node] = plane, np.median(at) if len(own) else 0
+        rows[2 * node], rows[2 * node + 1] = own[at <= cuts[node]], own[at > cuts[node]]
+    return planes, cuts
+
+
+def _blocks(small: DataFrame, width: int, trees: list, scratch: Scratch) -> DataFrame:
+    """key, part, node, x of every node in every tree; a leaf larger than a task splits is dealt to several by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _unit(matrix(batch.column(1), width), length)
-            cell = (x.astype(np.float32) @ centres.T).argmax(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(x.astype(np.float16)), pa.array(cell)], names=["node", "x", "cell"])
+            x = _rows(batch, 1, "f2", width).astype(np.float32)
+            for t, (planes, cuts) in enumerate(trees):
+                at = np.ones(len(x), np.int64)
+                while len(cuts) > 1 and len(at) and at[0] < len(cuts):
+                    at = 2 * at + (np.einsum("ij,ij->i", x, planes[at]) > cuts[at])
+                yield pa.RecordBatch.from_arrays([pa.array(at * len(trees) + t), batch.column(0), batch.column(1)], names=["key", "node", "x"])
 
-    return nodes.select("node", "v").mapInArrow(run, "node long, x binary, cell int")
+    leaves = scratch.keep(small.select("node", "x").mapInArrow(run, "key long, node long, x binary"))
+    parts = leaves.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (SPLIT * BLOCK)).alias("parts"))
+    return leaves.join(parts, "key").select("key", F.pmod(F.xxhash64("node", "key"), "parts").alias("part"), "node", "x")
 
 
-def halves(x: np.ndarray, seed: int, block: int) -> Iterator[np.ndarray]:
+def halves(x: np.ndarray, seed: int) -> Iterator[np.ndarray]:
     """Rows of x in groups of at most a block, by medians along lines between two of a group's points."""
     r, todo = np.random.default_rng(seed), [np.arange(len(x))]
     while todo:
         own = todo.pop()
-        if len(own) <= block:
+        if len(own) <= BLOCK:
             yield own
             continue
         a, b = r.choice(len(own), 2, replace=False)
@@ -119,263 +124,182 @@ def halves(x: np.ndarray, seed: int, block: int) -> Iterator[np.ndarray]:
         todo += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
 
 
-def reverse(lists: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Up to k places in the flat lists, in an order by hash, that hold a node; -1 fills up."""
-    odd, mask = 2654435761, (1 << 32) - 1
-    flat = lists.ravel()
-    place = np.flatnonzero(flat >= 0)
-    keys = np.sort((flat[place].astype(np.int64) << 32) | ((place * odd + seed) & mask))
-    to, of = keys >> 32, (((keys & mask) - seed) * pow(odd, -1, 1 << 32)) & mask
-    nth = np.arange(len(to)) - np.searchsorted(to, np.arange(len(lists)))[to]
-    out = np.full((len(lists), k), -1, np.int64)
-    out[to[nth < k], nth[nth < k]] = of[nth < k]
-    return out
-
-
-def _better(x: np.ndarray, rows: np.ndarray, known: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest of known and found nodes (-1: none) of each of the rows, as many as are known, and the last one's score."""
-    k = known.shape[1]
-    ids = np.sort(np.hstack([known, found]), axis=1)
-    bad = (ids < 0) | (ids == rows[:, None])
-    bad[:, 1:] |= ids[:, 1:] == ids[:, :-1]
-    s = np.einsum("ijk,ik->ij", x.take(ids.ravel(), axis=0, mode="wrap").reshape(*ids.shape, -1), x[rows])
-    s[bad] = -9
-    best = np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:]
-    score = np.take_along_axis(s, best, 1)
-    return np.where(score > -9, np.take_along_axis(ids, best, 1), -1), score.min(1)
-
-
-def _merge(x: np.ndarray, lists: np.ndarray, least: np.ndarray, keys: np.ndarray, bits: int, k: int) -> None:
-    """Takes the k best of what keys (node, how far, other) hold for each node into its list."""
-    keys.sort()
-    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
-    node = keys >> (63 - bits)
-    start = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(keys) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(keys)))
-    for at in range(0, len(start), STEP):
-        first, n = start[at : at + STEP, None], size[at : at + STEP, None]
-        nth = np.arange(min(k, int(n.max())))[None, :]
-        found = np.where(nth < n, keys[np.minimum(first + nth, len(keys) - 1)] & ((1 << bits) - 1), -1).astype(np.int32)
-        rows = node[start[at : at + STEP]]
-        lists[rows], least[rows] = _better(x, rows, lists[rows], found)
-
-
-def descend(x: np.ndarray, k: int, trees: int, block: int, settled: float) -> np.ndarray:
-    """About the k nearest neighbours of every row of x by NN-descent (-1: fewer), and some reverse neighbours."""
-    m = len(x)
-    lists, least = np.full((m, k), -1, np.int32), np.zeros(m, np.float32)
-    for t in range(trees):
-        seeds = np.full((m, k // 2), -1, np.int32)
-        for rows in halves(x, t, block):
-            s = x[rows] @ x[rows].T
-            np.fill_diagonal(s, -9)
-            n = min(k // 2, len(rows) - 1)
+def _in_blocks(blocks: DataFrame, width: int, k: int) -> DataFrame:
+    """node, other, score: each node's nearest in its block."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        nodes = block.column("node").to_numpy()
+        x = text_buffer(block.column("x"))[0].view("f2").reshape(-1, width).astype(np.float32)
+        out = []
+        for rows in halves(x, len(nodes)):
+            own, y = nodes[rows], x[rows]
+            s = y @ y.T
+            np.fill_diagonal(s, -np.inf)
+            n = min(k, len(own) - 1)
             if n > 0:
-                seeds[rows, :n] = rows[np.argpartition(s, len(rows) - n, axis=1)[:, -n:]]
-        for at in range(0, m, STEP):
-            rows = np.arange(at, min(m, at + STEP))
-            lists[rows], least[rows] = _better(x, rows, lists[rows], seeds[rows])
-    del seeds
-    bits = max(1, int(m).bit_length())
-    unit, below = (1 << (62 - 2 * bits)) - 1, 63 - bits
-    fresh, changed, round_ = lists >= 0, m * k, 0
-    while changed >= settled * m * k and changed > 0:
-        back = reverse(lists, BACKWARD, round_)
-        before, parts, held = lists.copy(), [], 0
-        for at in range(0, m, STEP):
-            ids = np.hstack([before[at : at + STEP], np.where(back[at : at + STEP] >= 0, back[at : at + STEP] // k, -1)]).astype(np.int64)
-            new = np.hstack([fresh[at : at + STEP], (back[at : at + STEP] >= 0) & fresh.ravel()[back[at : at + STEP]]])
-            g = x.take(ids.ravel(), axis=0, mode="wrap").reshape(*ids.shape, -1)
-            s = g @ g.transpose(0, 2, 1)
-            good = s > np.where(ids >= 0, least[ids], 9)[:, :, None]
-            good &= (ids >= 0)[:, None, :]
-            good &= new[:, :, None] | new[:, None, :]
-            good &= ids[:, :, None] != ids[:, None, :]
-            z, i, j = np.nonzero(good)
-            far = ((1 - np.clip(s[z, i, j].astype(np.float64), -1, 1)) * (unit / 2)).astype(np.int64)
-            parts.append((ids[z, i] << below) | (far << bits) | ids[z, j])
-            held += len(z)
-            if held > PAIRS:
-                _merge(x, lists, least, np.concatenate(parts), bits, k)
-                parts, held = [], 0
-        if parts:
-            _merge(x, lists, least, np.concatenate(parts), bits, k)
-        for at in range(0, m, STEP):
-            own = lists[at : at + STEP]
-            fresh[at : at + STEP] = (own >= 0) & ~(own[:, :, None] == before[at : at + STEP, None, :]).any(2)
-        changed, round_ = int(fresh.sum()), round_ + 1
-    back = reverse(lists, BACK, round_)
-    return np.hstack([lists, np.where(back >= 0, back // k, -1).astype(np.int32)])
-
-
-def build_graphs(dealt: DataFrame, shards: int, width: int, scratch: Scratch) -> DataFrame:
-    """shard, at, node, x, links of dealt (shard, node, x): each shard's nodes by id and the places of their neighbours."""
-    k, trees, block, settled = NEIGHBOURS, TREES, BLOCK, SETTLED
+                best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                out.append((np.repeat(own, n), own[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+        return pa.table({"node": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float32())})
+
+    return blocks.groupBy("key", "part").applyInArrow(run, "node long, other long, score float")
+
+
+def _nearest(edges: DataFrame, k: int) -> DataFrame:
+    """The k best distinct neighbours of each node; ``fresh`` stays only where every copy of an edge is fresh."""
+    dealt = edges.repartition("node")
+    each = dealt.groupBy("node", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
+    order = Window.partitionBy("node").orderBy(F.col("score").desc(), F.xxhash64("node", "other"))  # near copies score alike: no few of them may be everyone's neighbours
+    return each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+
+
+def _join_round(graph: DataFrame, small: DataFrame, width: int, k: int, round_: int) -> DataFrame:
+    """node, other, score: pairs of neighbours of one node that are nearer than the node's last neighbour."""
+    last = graph.groupBy("node").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select(F.col("node").alias("other"), F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
+    both = graph.select("node", "other", "fresh").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh"))
+    order = Window.partitionBy("node").orderBy(F.col("fresh").desc(), F.xxhash64("other", F.lit(round_)))
+    lists = both.groupBy("node", "other").agg(F.min("fresh").alias("fresh")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + k // 2).drop("n")
+    known = small.join(last, small["node"] == last["other"]).select("other", "x8", "least")
+    full = lists.join(known, "other").groupBy("node").agg(F.collect_list(F.struct("other", "fresh", "least", "x8")).alias("l"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _rows(b, 2, "f2", width)) for b in batches if b.num_rows]
-        if not parts:
-            return
-        shard, node, x = (np.concatenate(c) for c in zip(*parts, strict=True))
-        del parts
-        for one in np.unique(shard):
-            rows = np.flatnonzero(shard == one)
-            rows = rows[np.argsort(node[rows])]
-            links = descend(x[rows].astype(np.float32), k, trees, block, settled)
-            for at in range(0, len(rows), 10_000):
-                own = rows[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[own]), pa.array(np.arange(at, at + len(own), dtype=np.int32)), pa.array(node[own]), _binary(x[own]), _binary(links[at : at + len(own)])], names=["shard", "at", "node", "x", "links"])
-        trim()
-
-    return scratch.keep(dealt.select("shard", "node", "x").repartitionById(shards, "shard").mapInArrow(run, "shard int, at int, node long, x binary, links binary"))
-
-
-def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes (-1: fewer) and scores of the beams that greedy search of the queries q ends with; ``own``: a node to start at or -1.
-
-    The queries step together: each names the best unexpanded nodes of its beam, the neighbours of all these that are new to
-    the group are compared with every query of it at once.
-    """
-    m, n = len(x), len(q)
-    if beam >= m:
-        return np.broadcast_to(np.arange(m), (n, m)), q @ x.T
-    ids, scores, todo = np.full((n, beam), -1), np.full((n, beam), -9, np.float32), np.zeros((n, beam), bool)
-    step = min(EXPANDED, beam)
-    seen, expanded = np.zeros(m, bool), np.zeros(m, bool)
-    new = np.unique(np.append(np.arange(0, m, max(1, m // PIVOTS)), own[own >= 0]))
-    while len(new):
-        seen[new] = True
-        for at in range(0, len(new), SEEN):
-            some = new[at : at + SEEN]
-            s = q @ x.take(some, axis=0).T
-            i, j = np.nonzero(s > scores.min(1)[:, None])
-            counts = np.bincount(i, minlength=n)
-            if not len(i):
-                continue
-            place = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
-            width = int(counts.max())
-            more, value = np.full((n, width), -1), np.full((n, width), -9, np.float32)
-            more[i, place], value[i, place] = some[j], s[i, j]
-            value = np.hstack([scores, value])
-            best = np.argpartition(value, width, axis=1)[:, -beam:]
-            scores, ids = np.take_along_axis(value, best, 1), np.take_along_axis(np.hstack([ids, more]), best, 1)
-            todo = np.take_along_axis(np.hstack([todo, more >= 0]), best, 1)
-        new = new[:0]
-        while not len(new) and (todo := todo & ~expanded[ids]).any():
-            rank = np.where(todo, scores, -10)
-            now = np.argpartition(rank, beam - step, axis=1)[:, -step:]
-            chosen = np.unique(np.take_along_axis(ids, now, 1)[np.take_along_axis(rank, now, 1) > -10])
-            expanded[chosen] = True
-            reached = np.zeros(m, bool)
-            reached[links[chosen].ravel()] = True  # -1, no node, marks the last one: one more comparison
-            new = np.flatnonzero(reached & ~seen)
-    return np.where(scores > -9, ids, -1), scores
-
-
-def search(queries: DataFrame, graphs: DataFrame, shards: int, width: int, beam: int, route: tuple, visits: tuple[int, int], least: DataFrame | None) -> DataFrame:
-    """q, node, score: what queries (q, node, qx) find, above ``least`` (q, least), in the cells from visits[0] to visits[1] by nearness."""
-    centres, first, parts = route
-    asked = queries.withColumn("least", F.lit(-2.0).cast("float")) if least is None else queries.join(least, "q", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)).cast("float"))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.argsort(-(_rows(batch, 2, "f2", width).astype(np.float32) @ centres.T), axis=1, kind="stable")
-            visited = near[:, visits[0] : visits[1]]
-            row, cell = np.repeat(np.arange(len(near)), visited.shape[1]), visited.ravel()
-            n = parts[cell]
-            part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            row, shard = pa.array(np.repeat(row, n)), np.repeat(first[cell], n) + part
-            home = pa.array((ASKS + near[:, 0]).astype(np.int32)).take(row)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), home, *(batch.column(j).take(row) for j in range(4))], names=["shard", "at", "q", "node", "x", "least"])
-
-    sent = asked.select("q", "node", "qx", "least").mapInArrow(send, "shard int, at int, q long, node long, x binary, least float")
-    index = graphs.select("shard", "at", F.lit(None).cast("long").alias("q"), "node", "x", F.lit(None).cast("float").alias("least"), "links")
-    both = index.unionByName(sent.select("shard", "at", "q", "node", "x", "least", F.lit(None).cast("binary").alias("links")))
-    dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "at")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.column(0).slice(at, 500)
+                counts = part.value_lengths().to_numpy()
+                flat = part.flatten()
+                other, fresh, least = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("other", "fresh", "least"))
+                x = text_buffer(flat.field("x8"))[0].view(np.int8).reshape(-1, width).astype(np.float32) / 127
+                m = int(counts.max())
+                row = np.repeat(np.arange(len(counts)), counts)
+                col = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                cube = np.zeros((len(counts), m, width), np.float32)
+                ids, new, worst = np.full((len(counts), m), -1), np.zeros((len(counts), m), bool), np.full((len(counts), m), 9.0, np.float32)
+                cube[row, col], ids[row, col], new[row, col], worst[row, col] = x, other, fresh, least
+                s = cube @ cube.transpose(0, 2, 1)
+                good = (ids[:, :, None] >= 0) & (ids[:, None, :] >= 0) & (ids[:, :, None] != ids[:, None, :]) & (new[:, :, None] | new[:, None, :]) & (s > worst[:, :, None])
+                s = np.where(good, s, -9)
+                n = min(BEST, m)
+                best = np.argpartition(-s, n - 1, axis=2)[:, :, :n]
+                value = np.take_along_axis(s, best, 2)
+                i, j, z = np.nonzero(value > -9)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i, j], pa.int64()), pa.array(ids[i, best[i, j, z]], pa.int64()), pa.array(value[i, j, z].astype(np.float32))], names=["node", "other", "score"])
+
+    return full.select("l").mapInArrow(run, "node long, other long, score float").groupBy("node", "other").agg(F.max("score").alias("score"))
+
+
+def build_graph(small: DataFrame, width: int, n: int, scratch: Scratch, k: int = NEIGHBOURS) -> DataFrame:
+    """node, other, score: about k nearest neighbours of every node."""
+    sample = np.array([np.frombuffer(r.x, "f2") for r in small.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()], np.float32).reshape(-1, width)
+    depth = max(0, min(int(np.ceil(np.log2(max(1, n / (BLOCK * 0.7))))), int(np.log2(max(1, len(sample) / 8)))))
+    trees = [grow_tree(sample, depth, seed) for seed in range(TREES)]
+    first = _in_blocks(_blocks(small, width, trees, scratch), width, k // 2)
+    graph = scratch.keep(_nearest(first.withColumn("fresh", F.lit(True)), k))
+    changed, round_ = n * k, 0
+    while changed >= SETTLED * n * k:
+        found = _join_round(graph, small, width, k, round_).withColumn("fresh", F.lit(True))
+        new = scratch.keep(_nearest(graph.withColumn("fresh", F.lit(False)).unionByName(found), k))
+        scratch.drop(graph)
+        graph, changed, round_ = new, new.where("fresh").count(), round_ + 1
+    return graph
+
+
+def _expand(steps: DataFrame, lists: DataFrame, width: int) -> DataFrame:
+    """q, node, score of the neighbours, nearer than ``least``, of the nodes that ``steps`` (q, node, qx, least) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pieces, node, x, links = -1, [], None, None, None
         for batch in batches:
-            shard, asks = batch.column(0).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(shard)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if shard[a] != held:
-                    held, pieces, node, x, links = shard[a], [], None, None, None
-                part = batch.slice(a, b - a)
-                if not asks[a]:
-                    pieces.append((part.column(3).to_numpy(), _rows(part, 4, "f2", width).astype(np.float32), _rows(part, 6, "i4", 1).reshape(b - a, -1)))
-                    continue
-                if node is None:
-                    node, x, links = (np.concatenate(c) for c in zip(*pieces, strict=True))
-                    pieces = []
-                for at in range(0, b - a, GROUP):
-                    few = part.slice(at, GROUP)
-                    place = np.minimum(np.searchsorted(node, few.column(3).to_numpy()), len(node) - 1)
-                    own = np.where(node[place] == few.column(3).to_numpy(), place, -1)
-                    ids, scores = walk(x, links, _rows(few, 4, "f2", width).astype(np.float32), own, beam)
-                    i, j = np.nonzero((ids >= 0) & (scores > few.column(5).to_numpy()[:, None]))
-                    yield pa.RecordBatch.from_arrays([few.column(2).take(pa.array(i)), pa.array(node[ids[i, j]]), pa.array(scores[i, j].astype(np.float32))], names=["q", "node", "score"])
-        trim()
-
-    return dealt.mapInArrow(run, "q long, node long, score float")
-
-
-def _shards(nodes: DataFrame, width: int, length: float, n: int, scratch: Scratch) -> tuple[DataFrame, tuple]:
-    """Nodes with their shard (shard, node, x, cell); the centres of the cells, each cell's first shard and number of shards."""
-    spark = nodes.sparkSession
-    sample = [np.frombuffer(r.v, np.float64) for r in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").collect()]
-    sample = _unit(np.array(sample).reshape(-1, width), length).astype(np.float32)
-    cells = max(1, -(-5 * n // (4 * SPLIT * BLOCK)), min(2 * spark.sparkContext.defaultParallelism, n // SHARD_ROWS))
-    centres = centres_of(sample, min(cells, max(1, len(sample) // SAMPLE_ROWS)))
-    small = scratch.keep(_dealt(nodes, width, length, centres))
-    counts = np.zeros(len(centres), np.int64)
-    for r in small.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
-    parts = -(-counts // (SPLIT * BLOCK))
-    first = np.cumsum(parts) - parts
-    places = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(first, parts, strict=True))], "cell int, first int, parts int")
-    shard = (F.col("first") + F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1)))).cast("int").alias("shard")
-    return small.join(F.broadcast(places), "cell").select(shard, "node", "x", "cell"), (centres, first, parts)
-
-
-def _probes(asked: DataFrame, nodes: DataFrame, width: int, k: int) -> tuple[tuple, list[tuple[int, int]]]:
-    """Of a sample of the queries: q, vector, how many nodes its recall counts (k, or all others), and the last one's score; pairs of a probe and one of these nodes."""
-    rows = asked.orderBy(F.xxhash64("q", F.lit(9)), "q").limit(PROBES).select("q", "node", "v").collect()
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                counts = part.column(3).value_lengths().to_numpy()
+                x = text_buffer(part.column(4).flatten())[0].view(np.int8).reshape(-1, width).astype(np.float32) / 127
+                q = _rows(part, 1, "f2", width).astype(np.float32)
+                row = np.repeat(np.arange(len(counts)), counts)
+                score = np.einsum("ij,ij->i", x, q[row]).astype(np.float32)
+                qs, nodes = part.column(0).to_numpy()[row], part.column(3).flatten().to_numpy()
+                good = np.flatnonzero(score > part.column(2).to_numpy()[row])
+                order = good[np.lexsort((nodes[good], qs[good]))]  # expanded nodes share neighbours
+                new = np.ones(len(order), bool)
+                new[1:] = (nodes[order][1:] != nodes[order][:-1]) | (qs[order][1:] != qs[order][:-1])
+                order = order[new]
+                yield pa.RecordBatch.from_arrays([pa.array(qs[order], pa.int64()), pa.array(nodes[order], pa.int64()), pa.array(score[order])], names=["q", "node", "score"])
+
+    return steps.join(lists, "node").select("q", "qx", "least", "others", "xs").mapInArrow(run, "q long, node long, score float")
+
+
+def _neighbour_lists(graph: DataFrame, small: DataFrame, k: int) -> DataFrame:
+    """node, others, xs: neighbours and up to k reverse neighbours, with their vectors in 8 bits."""
+    order = Window.partitionBy("node").orderBy(F.col("score").desc(), F.xxhash64("node", "other"))
+    back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+    both = graph.select("node", "other", "score").unionByName(back).groupBy("node", "other").agg(F.max("score").alias("score"))
+    full = both.join(small.select(F.col("node").alias("other"), "x8"), "other").groupBy("node").agg(F.collect_list(F.struct("other", "x8")).alias("l"))
+    return full.select("node", F.col("l.other").alias("others"), F.col("l.x8").alias("xs"))
+
+
+def search(queries: DataFrame, lists: DataFrame, small: DataFrame, width: int, scratch: Scratch, beam: int, entries: int = ENTRIES, known: DataFrame | None = None) -> DataFrame:
+    """q, node, score, open: for queries (q, qx, node: where to start) the beam that greedy search ends with; ``known`` is a narrower beam's."""
+    first = small.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(entries).select("node")
+    starts = queries.select("q", "node").unionByName(queries.select("q").join(F.broadcast(first), F.lit(True))).distinct().withColumn("score", F.lit(-1.5).cast("float"))
+    if known is not None:
+        starts = starts.unionByName(known.select("q", "node", "score")).groupBy("q", "node").agg(F.max("score").alias("score"))
+    state = scratch.keep(starts.withColumn("open", F.lit(True)))
+    expanded = max(EXPANDED, beam // EXPANDED_SHARE)
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
+    next_ = Window.partitionBy("q").orderBy(F.col("open").desc(), F.col("score").desc(), "node")
+    while True:
+        last = state.groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select("q", F.when(F.col("n") >= beam, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
+        chosen = state.withColumn("n", F.row_number().over(next_)).withColumn("now", F.col("open") & (F.col("n") <= expanded)).drop("n")
+        steps = chosen.where("now").select("q", "node").join(queries.select("q", "qx"), "q").join(last, "q")
+        found = _expand(steps, lists, width).withColumn("open", F.lit(True))
+        left = chosen.select("q", "node", "score", (F.col("open") & ~F.col("now")).alias("open"))
+        merged = left.unionByName(found).groupBy("q", "node").agg(F.max("score").alias("score"), F.min("open").alias("open"))
+        new = scratch.keep(merged.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n"))
+        scratch.drop(state)
+        state = new
+        if state.where("open").isEmpty():
+            return state
+
+
+def _compared_with_all(asked: DataFrame, nodes: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """A bounded number of queries (q, node, v), their vectors, and (at, node, score): the k best other nodes of each, by number."""
+    rows = asked.select("q", "node", "v").collect()
     qs, own = (np.array([r[c] for r in rows], np.int64) for c in ("q", "node"))
     v = np.array([np.frombuffer(r.v, np.float64) for r in rows]).reshape(-1, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, ids = np.full((len(qs), 0), -np.inf), np.zeros((len(qs), 0), np.int64)
         for batch in batches:
-            node = batch.column(0).to_numpy()
-            s = v @ matrix(batch.column(1), width).T
+            s, node = v @ matrix(batch.column(1), width).T, batch.column(0).to_numpy()
             s[own[:, None] == node[None, :]] = -np.inf
             best, ids = np.hstack([best, s]), np.hstack([ids, np.broadcast_to(node, s.shape)])
             if best.shape[1] > k:
                 top = np.argpartition(-best, k - 1, axis=1)[:, :k]
                 best, ids = np.take_along_axis(best, top, 1), np.take_along_axis(ids, top, 1)
         at, j = np.nonzero(best > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids[at, j]), pa.array(best[at, j])], names=["at", "node", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids[at, j], pa.int64()), pa.array(best[at, j])], names=["at", "node", "score"])
 
     order = Window.partitionBy("at").orderBy(F.col("score").desc(), "node")
-    top = nodes.select("node", "v").mapInArrow(run, "at long, node long, score double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).collect()
-    wanted, last = np.zeros(len(qs), np.int64), np.full(len(qs), np.inf)
-    for r in top:
-        wanted[r["at"]] += 1
-        last[r["at"]] = min(last[r["at"]], r["score"])
-    return (qs, v, wanted, np.where(wanted > 0, last, 0)), [(r["at"], r["node"]) for r in top]
+    return qs, v, nodes.select("node", "v").mapInArrow(run, "at long, node long, score double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
 
-def _depths(probes: tuple, own: list[tuple[int, int]], dealt: DataFrame, centres: np.ndarray) -> np.ndarray:
-    """For each neighbour of a probe how many cells are nearer to the probe than the neighbour's own."""
-    v = probes[1] / np.maximum(np.sqrt((probes[1] * probes[1]).sum(1, keepdims=True)), 1e-300)
-    near = np.argsort(-(np.hstack([v, np.zeros((len(v), 1))]).astype(np.float32) @ centres.T), axis=1, kind="stable")
-    rank = np.argsort(near, axis=1)
-    pairs = dealt.sparkSession.createDataFrame(own, "probe long, node long")
-    found = dealt.join(F.broadcast(pairs), "node").select("probe", "cell").collect()
-    return np.array([rank[r["probe"], r["cell"]] for r in found], np.int64)
+def _all_nodes(asked: DataFrame, nodes: DataFrame, width: int, k: int, scratch: Scratch) -> DataFrame:
+    """q, node, score of each query's nearest by comparison with every node: groups of queries against all rows."""
+    groups, out = max(1, -(-asked.count() // PROBES)), None
+    for g in range(groups):
+        qs, _, top = _compared_with_all(asked.where(F.pmod(F.xxhash64("q"), F.lit(groups)) == g), nodes, width, k)
+        part = top.select(F.element_at(F.array(*[F.lit(int(q)) for q in qs]), (F.col("at") + 1).cast("int")).alias("q"), "node", F.col("score").cast("float").alias("score")) if len(qs) else None
+        out = part if out is None else out if part is None else out.unionByName(part)
+    return scratch.keep(out)
+
+
+def _probes(asked: DataFrame, nodes: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sample of the queries: q, vector, how many nodes its recall counts (k, or all others), and the last one's score."""
+    qs, v, top = _compared_with_all(asked.orderBy(F.xxhash64("q", F.lit(9)), "q").limit(PROBES), nodes, width, k)
+    wanted, last = np.zeros(len(qs), np.int64), np.zeros(len(qs))
+    for r in top.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last")).collect():
+        wanted[r["at"]], last[r["at"]] = r["n"], r["last"]
+    return qs, v, wanted, last
 
 
 def _recall(beams: DataFrame, queries: DataFrame, nodes: DataFrame, width: int, probes: tuple) -> float:
@@ -396,35 +320,24 @@ def _recall(beams: DataFrame, queries: DataFrame, nodes: DataFrame, width: int,
     return sum(min(found.get(q, 0), n) for q, n in zip(qs.tolist(), wanted.tolist(), strict=True)) / max(1, int(wanted.sum()))
 
 
-def search_to_recall(queries: DataFrame, asked: DataFrame, nodes: DataFrame, graphs: DataFrame, dealt: DataFrame, route: tuple, width: int, n: int, k: int, scratch: Scratch) -> DataFrame:
-    """q, node, score: beams as wide, from as many cells, as the recall at k of a sample of the queries asks for."""
-    centres, first, parts = route
-    shards, cells = int(parts.sum()), len(centres)
-    probes, own = _probes(asked, nodes, width, k)
-    depth = _depths(probes, own, dealt, centres)
-    largest = graphs.groupBy("shard").count().agg(F.max("count")).first()[0]
-    beam, cover, beams, visited = max(2 * k + 1, BEAM * int(np.ceil(np.log2(largest + 1)))), COVER, None, 0
+def search_to_recall(queries: DataFrame, asked: DataFrame, nodes: DataFrame, graph: DataFrame, small: DataFrame, width: int, n: int, k: int, scratch: Scratch) -> DataFrame:
+    """q, node, score: beams as wide as the recall at k of a sample of the queries asks for, or, in the end, the nearest of all nodes."""
+    lists = scratch.keep_by(_neighbour_lists(graph, small, NEIGHBOURS), "node")
+    probes = _probes(asked, nodes, width, k)
+    beam, entries, beams = max(4 * k, BEAM * int(np.ceil(np.log2(n + 1)))), ENTRIES, None
     while True:
-        visits = cells if beam >= n or not len(depth) else int(np.quantile(depth, cover, method="higher")) + 1
-        steps = [(0, visits)] if visited or visits < 2 else [(0, max(1, visits // BOUNDING)), (max(1, visits // BOUNDING), visits)]
-        for step in steps:
-            least = None
-            if beams is not None:
-                scores = beams.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-                least = scores.where(F.col("n") >= beam).select("q", "least")
-            found = search(queries, graphs, shards, width + 1, beam, route, step, least)
-            every = found if beams is None else found.unionByName(beams)
-            order = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
-            best = every.groupBy("q", "node").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n")
-            last, beams = beams, scratch.keep(best)
-            if last is not None:
-                scratch.drop(last)
-        visited, recall = visits, _recall(beams, queries, nodes, width, probes)
-        if recall >= RECALL or beam >= n:
+        wider = search(queries, lists, small, width + 1, scratch, beam, entries, beams)
+        if beams is not None:
+            scratch.drop(beams)
+        beams, recall = wider, _recall(wider, queries, nodes, width, probes)
+        if recall >= RECALL:
+            break
+        beam, entries = 2 * beam, 2 * entries
+        if beam > n // ALL_SHARE:
+            scratch.drop(beams)
+            beams = _all_nodes(asked, nodes, width, k, scratch)
             break
-        beam, cover = 2 * beam, (1 + cover) / 2
-    if recall < RECALL:
-        warnings.warn(f"recall at {k} of the sampled queries is {recall:.3f}", stacklevel=2)
+    scratch.drop(lists)
     return beams.select("q", "node", "score")
 
 
@@ -438,11 +351,11 @@ def nearest(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: in
     if n == 0:
         return vectors.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
     length = _longest(nodes, width)
-    dealt, route = _shards(nodes, width, length, n, scratch)
-    graphs = build_graphs(dealt, int(route[2].sum()), width + 1, scratch)
-    asked = scratch.keep(vectors.where(is_query).join(nodes, "v").select(F.col("uid").alias("q"), "node", "v"))
+    small = scratch.keep(_small(nodes, width, length))
+    graph = build_graph(small, width + 1, n, scratch)
+    asked = vectors.where(is_query).join(nodes, "v").select(F.col("uid").alias("q"), "node", "v")
     queries = scratch.keep(_asked(asked, width))
-    beams = search_to_recall(queries, asked, nodes, graphs, dealt, route, width, n, k, scratch)
+    beams = search_to_recall(queries, asked, nodes, graph, small, width, n, k, scratch)
     members = members_of(vectors, nodes, k + 1).join(nodes, "node").select("node", F.col("uid").alias("c"), F.col("id").alias("cid"), F.col("v").alias("b"))
     own = queries.select("q", "node").withColumn("score", F.lit(2.0).cast("float"))
     pairs = beams.unionByName(own).select("q", "node").distinct().join(members, "node").where("q <> c")

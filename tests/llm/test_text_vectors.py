@@ -289,24 +289,31 @@ def test_the_beam_widens_until_neighbours_are_found(spark, monkeypatch):
     assert hit / 500 >= 0.95
 
 
-def _shuffled(spark):
-    """Records written to shuffles so far."""
-    sc = spark.sparkContext
-    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+def test_searches_compare_few_nodes(spark, monkeypatch):
+    """Greedy search meets the recall while most nodes are never compared with a query."""
+    r = np.random.default_rng(4)
+    v = r.normal(size=(40, 32))[r.integers(0, 40, 12_000)] + 0.5 * r.normal(size=(12_000, 32))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    seen, expand = [], nn_descent._expand
 
+    def watched(steps, lists, width):
+        pairs = steps.select("q", "node").join(lists.select("node", F.explode("others").alias("other")), "node").select("q", "other").distinct()
+        seen.extend((x.q, x.other) for x in pairs.collect())
+        return expand(steps, lists, width)
 
-def test_neighbour_lists_are_not_shuffled(spark):
-    v = np.random.default_rng(4).normal(size=(3000, 32))
-    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    before = _shuffled(spark)
-    assert nn_descent.nearest(table, "vec_id", "embedding", F.col("id") % 30 == 0, 5).count() == 500
-    assert _shuffled(spark) - before < 40 * len(v)  # descent by joins shuffled hundreds of rows for each vector
+    monkeypatch.setattr(nn_descent, "_expand", watched)
+    got = {}
+    for row in nn_descent.nearest(table, "vec_id", "embedding", F.col("id") % 200 == 0, 10).collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    s = v[::200] @ v.T
+    s[np.arange(60), np.arange(0, 12_000, 200)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :10]
+    assert sum(len(set(got[200 * i]) & set(best[i].tolist())) for i in range(60)) / 600 >= 0.95
+    assert len(set(seen)) / (60 * 12_000) < 0.2
 
 
-def test_neighbours_across_shards_and_groups_of_near_copies(spark, monkeypatch):
-    for name, value in (("BLOCK", 64), ("SPLIT", 4), ("SHARD_ROWS", 200)):  # many cells, the large group's in several shards
+def test_neighbours_across_leaves_and_groups_of_near_copies(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("SPLIT", 4)):  # many leaves, the large group's in several parts
         monkeypatch.setattr(nn_descent, name, value)
     r = np.random.default_rng(5)
     v = np.vstack([r.normal(size=(1500, 32)), r.normal(size=32) + 0.01 * r.normal(size=(900, 32)), np.repeat(r.normal(size=(1, 32)), 30, axis=0)])

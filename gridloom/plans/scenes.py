@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import footprints
 from ..operators.asof import as_of
 from . import grids
 from .queries import query, r6, rounded
@@ -36,3 +37,22 @@ def as_of_nearest(spark, d):
     """Of each pixel and date the nearest observation, before or after."""
     out = as_of(*_tables(spark, d), ["q"], direction="nearest")
     return out.select("id", rounded("q").alias("q"), F.date_format("seen_at", "yyyy-MM-dd").alias("day"))
+
+
+# -- many areas: a box for every supplier --
+
+_BOX = "box AS (SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 330 - 165 AS DOUBLE) + 0.25 AS x0, CAST(s_suppkey * 53 % 150 - 75 AS DOUBLE) + 0.25 AS y0, (s_suppkey % 7 + 1) * 0.75 AS w FROM supplier)"
+
+
+@query(
+    f"""WITH {_BOX}, t AS (SELECT o_orderkey AS k, CAST(o_custkey % 340 - 170 AS DOUBLE) AS x, CAST(o_orderkey % 160 - 80 AS DOUBLE) AS y FROM orders)
+SELECT id, count(*) AS n, min(k) AS first FROM box JOIN t ON x <= x0 + w AND x + 1 >= x0 AND y <= y0 + w AND y + 1 >= y0 AND greatest(x0, x) - x + greatest(y0, y) - y <= 1 GROUP BY 1"""
+)
+def items_in_areas(spark, d):
+    """How many scenes meet each of many areas: footprints and areas joined by quad cells."""
+    k = F.col("s_suppkey")
+    x, y, w = (k * 37 % 330 - 165).cast("double") + 0.25, (k * 53 % 150 - 75).cast("double") + 0.25, (k % 7 + 1) * 0.75
+    ring = F.format_string('{"type": "Polygon", "coordinates": [[[%s, %s], [%s, %s], [%s, %s], [%s, %s], [%s, %s]]]}', x, y, x + w, y, x + w, y + w, x, y + w, x, y)
+    areas = grids.table(spark, d, "supplier").select(k.alias("id"), ring.alias("geometry"))
+    items = grids.scene_items(spark, d).select(F.col("id").cast("long").alias("k"), "geometry")
+    return footprints.meeting(items, areas).groupBy(F.col("area_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))

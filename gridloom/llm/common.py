@@ -88,6 +88,11 @@ class Scratch:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def own_name(label: str) -> str:
+    """A column name that no table has."""
+    return f"__{label}_{uuid.uuid4().hex}"
+
+
 def task_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

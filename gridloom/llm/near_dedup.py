@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, frequent_join, slices, text_buffer, trim
+from .common import SLICE_BYTES, Scratch, frequent_join, own_name, slices, text_buffer, trim
 from .components import components
 from .hashing import mixed, word_hashes
 from .tokens import _KIND, _LOWER, SPACE
@@ -262,11 +262,11 @@ def _rooted(texts: DataFrame, threshold: float, words: int, bands: int, rows: in
     sigs = scratch.keep(signed(texts, words, bands, rows).withColumn("uid", F.monotonically_increasing_id()))
     full = sigs.where(F.col("bands").isNotNull())
     # nodes: one per distinct weighted set, named by its least uid
-    kinds = scratch.keep(full.groupBy("d1", "d2").agg(F.min("uid").alias("node")))
+    kinds = scratch.keep(full.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies")))
     nodes = full.join(kinds.select("node"), F.col("uid") == F.col("node")).select("node", "k1", "k2", "bands")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1").select("bucket", "pivot")
-    buckets = scratch.keep(members.join(shared, "bucket").select("bucket", "node", "pivot"))
+    shared = scratch.keep(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"))
+    buckets = scratch.keep(frequent_join(members, shared, ["bucket"], "n").select("bucket", "node", "pivot"))
     wanted = buckets.select("node").distinct()
     origin = full.join(wanted, F.col("uid") == F.col("node")).select("node", "k1", "k2")
     sets = scratch.keep(_sets(origin, texts.select("k1", "k2", "text"), words).dropDuplicates(["node"]))
@@ -279,8 +279,10 @@ def _rooted(texts: DataFrame, threshold: float, words: int, bands: int, rows: in
     if more is not None:
         roots = components(links.unionByName(more), scratch)
 
-    nodes_of = sigs.join(kinds, ["d1", "d2"], "left").withColumn("node", F.coalesce(F.when(F.col("bands").isNotNull(), F.col("node")), F.col("uid")))
-    return nodes_of.select("doc_id", "k1", "k2", "node").join(roots, "node", "left").select("doc_id", "k1", "k2", F.coalesce("root", "node").alias("root"))
+    # roots meet the distinct sets first, so that a text's copies ask once
+    rooted = scratch.keep(kinds.join(roots, "node", "left").select("d1", "d2", "copies", F.coalesce("root", "node").alias("root")))
+    met = frequent_join(sigs.select("doc_id", "k1", "k2", "uid", "d1", "d2", F.col("bands").isNotNull().alias("full")), rooted, ["d1", "d2"], "copies", "left")
+    return scratch.keep(met.select("doc_id", "k1", "k2", F.when(F.col("full"), F.col("root")).otherwise(F.col("uid")).alias("root")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -292,15 +294,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
     """doc_id, class_id, class_size: one row per row of docs (doc_id, text); class_id is the class's least doc_id."""
     member = _rooted(keyed(docs.select("doc_id", "text")), threshold, words, bands, rows)
     named = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return member.join(named, "root").select("doc_id", "class_id", "class_size")
+    return frequent_join(member, named, ["root"], "class_size").select("doc_id", "class_id", "class_size")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with one row of each class: that of the least doc_id. Columns are those of ``docs``."""
     member = _rooted(keyed(docs.select("doc_id", "text")), threshold, words, bands, rows)
     each = member.groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    first = each.groupBy("root").agg(F.min_by(F.struct("k1", "k2", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("z")).select(F.col("z.k1").alias("__k1"), F.col("z.k2").alias("__k2"), F.col("z.copies").alias("__copies"))
-    own = docs.withColumn("__h1", F.xxhash64("doc_id", "text")).withColumn("__h2", F.xxhash64(F.lit(17), "text", "doc_id"))
-    kept = own.join(first, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")))
-    alike = kept.where("__copies > 1").dropDuplicates(["__h1", "__h2"])
-    return kept.where("__copies = 1").unionByName(alike).select(*[f"`{c}`" for c in docs.columns])
+    h1, h2, k1, k2, copies = (own_name(n) for n in ("h1", "h2", "k1", "k2", "copies"))
+    first = each.groupBy("root").agg(F.min_by(F.struct("k1", "k2", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("z")).select(F.col("z.k1").alias(k1), F.col("z.k2").alias(k2), F.col("z.copies").alias(copies))
+    own = docs.withColumn(h1, F.xxhash64("doc_id", "text")).withColumn(h2, F.xxhash64(F.lit(17), "text", "doc_id"))
+    kept = own.join(first, (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2)))
+    alike = kept.where(F.col(copies) > 1).dropDuplicates([h1, h2])
+    return kept.where(F.col(copies) == 1).unionByName(alike).select(*[f"`{c}`" for c in docs.columns])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, frequent_join, slices, task_width, text_buffer, trim
+from .common import SLICE_BYTES, Scratch, frequent_join, own_name, slices, task_width, text_buffer, trim
 from .hashing import Rolling, mixed
 
 #: Entries of one anchor, or of one range of its strings, that a shard takes.
@@ -389,16 +389,17 @@ def covered(docs: DataFrame, length: int, core: int, scratch: Scratch) -> DataFr
     return out
 
 
-def _joined(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """docs with ``__ranges``: the covered ranges of each row's text, null where there are none."""
+def _joined(docs: DataFrame, min_bytes: int) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: the covered ranges of each row's text, null where there are none."""
     length, core = min_bytes, max(4, min_bytes // 4)
     if length < 8:
         raise ValueError("min_bytes must be at least 8")
-    own = docs.withColumn("__k1", F.xxhash64("doc_id", "text")).withColumn("__k2", F.xxhash64(F.lit(17), "text", "doc_id"))
-    texts = own.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text")
+    k1, k2, p1, p2, held = (own_name(n) for n in ("k1", "k2", "p1", "p2", "ranges"))
+    own = docs.withColumn(k1, F.xxhash64("doc_id", "text")).withColumn(k2, F.xxhash64(F.lit(17), "text", "doc_id"))
+    texts = own.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "text")
     ranges = covered(texts, length, core, Scratch(docs.sparkSession, "repeats"))
-    per_doc = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("__ranges")).select(F.col("k1").alias("__p1"), F.col("k2").alias("__p2"), "__ranges")
-    return own.join(per_doc, (F.col("__k1") == F.col("__p1")) & (F.col("__k2") == F.col("__p2")), "left").drop("__k1", "__k2", "__p1", "__p2")
+    per_doc = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias(held)).select(F.col("k1").alias(p1), F.col("k2").alias(p2), held)
+    return own.join(per_doc, (F.col(k1) == F.col(p1)) & (F.col(k2) == F.col(p2)), "left").drop(k1, k2, p1, p2), held
 
 
 def _kept(data: np.ndarray, offsets: np.ndarray, listed: pa.Array) -> Iterator[tuple[np.ndarray | None, memoryview]]:
@@ -432,7 +433,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
 
     ``kept_sha256`` is that of the remaining bytes; ``text`` is what remains to be read: a character that loses a byte goes whole.
     """
-    joined = _joined(docs.select("doc_id", "text"), min_bytes).select("doc_id", "text", "__ranges")
+    joined, held = _joined(docs.select("doc_id", "text"), min_bytes)
+    joined = joined.select("doc_id", "text", held)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +458,8 @@ def strip_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     where it is one, counts the new text.
     """
     names = docs.columns
-    joined = _joined(docs, min_bytes).select(*[f"`{c}`" for c in names], "__ranges")
+    joined, held = _joined(docs, min_bytes)
+    joined = joined.select(*[f"`{c}`" for c in names], held)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,7 +470,7 @@ def strip_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
                 texts: list[bytes | str | None] = []
                 for i, (gone, text) in enumerate(_kept(data, offsets, batch.column(len(names)))):
                     if gone is not None:
-                        new = np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+                        new = _readable(gone, text)
                         texts.append(new if new.strip() else None)
                     else:
                         texts.append(batch.column(at)[i].as_py())

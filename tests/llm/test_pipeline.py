@@ -5,7 +5,7 @@ import shutil
 import corpus_pipeline as cp
 import pytest
 
-from gridloom.llm import near_dedup, quality
+from gridloom.llm import near_dedup, quality, suffix_dedup
 from gridloom.llm.common import Scratch, table
 from gridloom.llm.queries import oracle_sql, queries
 
@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert {n.split("_")[0] for n in queries()} == {f"op{k}" for k in range(1, 11)} and set(oracle_sql()) <= set(queries())
+    assert {n.split("_")[0] for n in queries()} == {f"op{k}" for k in range(1, 14)} and set(oracle_sql()) <= set(queries())
     assert [n for n, _ in cp.STAGES] == ["quality_classifier", "near_dedup", "suffix_dedup", "mix_sources", "pack_sequences"]
 
 
@@ -48,6 +48,15 @@ def test_stages(spark, tmp_path):
             assert abs(words(docs) - words(before)) <= 0.01 * words(before) + 20
 
 
+def test_columns_with_any_name_are_passed_on(docs_of, prose):
+    names = ["__score", "__h1", "__h2", "__k1", "__k2", "__ranges", "__copies"]
+    docs = docs_of([(1, prose(60, 1), "s"), (2, prose(60, 1), "s"), (3, prose(60, 2), "s")])
+    for n in names:
+        docs = docs.withColumn(n, docs["doc_id"] * 7)
+    for out in (near_dedup.representatives(docs), suffix_dedup.strip_repeats(docs, 400), cp.keep_quality(docs.sparkSession, docs, DATA)):
+        assert out.columns == docs.columns and all(r[n] == 7 * r.doc_id for r in out.collect() for n in names)
+
+
 def test_stages_take_any_table(spark, docs_of, mixed_docs):
     # nulls, empty and very long texts, repeated rows, clashing column names; then no rows at all
     for docs in (docs_of(mixed_docs), docs_of([])):

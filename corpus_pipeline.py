@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, near_dedup, packing, quality, suffix_dedup
-from gridloom.llm.common import Scratch, table
+from gridloom.llm.common import Scratch, own_name, table
 
 
 #: Bytes of a repeated passage that the pipeline takes out: fewer than 50 words mostly have (the README states the share).
@@ -22,7 +22,8 @@ PASSAGE_BYTES = 240
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject: an empty text is scored as a chunk of zero bytes, repeated rows alike."""
     net = quality.learned(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net, "__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    score = own_name("score")
+    return quality.score(docs, net, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Equal vectors are one node. One more component gives all nodes the same length,
 nearest in space. Random hyperplane trees, fitted on a bounded sample, deal the nodes to small blocks whose members are
 compared: the first neighbours. Then NN-descent: each round joins, in Spark, every node's neighbours and reverse neighbours
 with each other and keeps what is nearer than a node's last neighbour. A search starts at a query's own node and the graph's
-entry nodes, expands the best nodes not yet expanded, a beam per query and a join per round, until a round adds nothing. The
+entry nodes, expands the best nodes not yet expanded, a beam per query and a join per round, until next to none is left open. The
 recall of a bounded sample of the queries is then measured against brute force; while it is too low, beam and entry nodes
 double and the search goes on from where it ended; before a beam holds a quarter of all nodes, the queries are compared with
 all of them, a group of queries after another. The beam is scored again with the original vectors in double precision.
@@ -49,6 +49,8 @@ PROBES = 256
 #: Nodes of a beam that one round expands, and the least share of the beam.
 EXPANDED, EXPANDED_SHARE = 96, 3
 ENTRIES = 16
+#: A search is done when open nodes are fewer than this share of its queries: what the last rounds would find is found by few.
+DONE = 0.1
 #: Where a beam would hold more than this part of the nodes, queries are compared with all of them.
 ALL_SHARE = 4
 
@@ -244,20 +246,22 @@ def search(queries: DataFrame, lists: DataFrame, small: DataFrame, width: int, s
     if known is not None:
         starts = starts.unionByName(known.select("q", "node", "score")).groupBy("q", "node").agg(F.max("score").alias("score"))
     state = scratch.keep(starts.withColumn("open", F.lit(True)))
-    expanded = max(EXPANDED, beam // EXPANDED_SHARE)
+    expanded, enough = max(EXPANDED, beam // EXPANDED_SHARE), int(DONE * queries.count())
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
     next_ = Window.partitionBy("q").orderBy(F.col("open").desc(), F.col("score").desc(), "node")
+    all_ = Window.partitionBy("q")
     while True:
-        last = state.groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select("q", F.when(F.col("n") >= beam, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
-        chosen = state.withColumn("n", F.row_number().over(next_)).withColumn("now", F.col("open") & (F.col("n") <= expanded)).drop("n")
-        steps = chosen.where("now").select("q", "node").join(queries.select("q", "qx"), "q").join(last, "q")
+        least = F.when(F.count(F.lit(1)).over(all_) >= beam, F.min("score").over(all_)).otherwise(F.lit(-2.0)).cast("float")
+        chosen = state.withColumns({"n": F.row_number().over(next_), "least": least}).withColumn("now", F.col("open") & (F.col("n") <= expanded)).drop("n")
+        steps = chosen.where("now").select("q", "node", "least").join(queries.select("q", "qx"), "q")
         found = _expand(steps, lists, width).withColumn("open", F.lit(True))
         left = chosen.select("q", "node", "score", (F.col("open") & ~F.col("now")).alias("open"))
-        merged = left.unionByName(found).groupBy("q", "node").agg(F.max("score").alias("score"), F.min("open").alias("open"))
+        both = left.unionByName(found).repartition("q")  # a query's beam and what it found: merged and cut where they lie
+        merged = both.groupBy("q", "node").agg(F.max("score").alias("score"), F.min("open").alias("open"))
         new = scratch.keep(merged.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n"))
         scratch.drop(state)
         state = new
-        if state.where("open").isEmpty():
+        if state.where("open").count() <= enough:
             return state
 
 

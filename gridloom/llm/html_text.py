@@ -2,7 +2,9 @@
 
 Each page's containers are scored by the running text of their blocks; the best container's generalised tag-class path is a
 vote of its host. Votes are summed in Spark, and every page is extracted again at its host's winning paths. A page on which
-no winning path occurs, or whose host is unknown, is extracted at its own best container.
+no winning path occurs, or whose host is unknown, is extracted at its own best container. So is a page of a layout of its own, on
+which a winning path occurs as something lesser, a teaser say: where the same best container stands beside the same winning path
+on several pages of a host, that is what the host does there, and not one page's oddity.
 
 A page is read in one pass whose cost grows with its length alone, however deep, long or broken it is.
 
@@ -51,6 +53,8 @@ LONG_NUMBER = re.compile(r"&#(?=[0-9]{8})0*([0-9]+);?")
 #: Votes of a host that a path needs, as a share of the host's best.
 SHARE = 0.1
 PATHS = 3
+#: Pages of a host on which one best container beats one winning path, from which on it is taken there.
+TOGETHER = 2
 #: Steps of a path that its text shows; all of them count.
 SHOWN = 32
 #: Hosts up to which their paths are broadcast (a few hundred bytes each), else only frequent hosts' are.
@@ -308,17 +312,27 @@ class Page:
                 k = self.parents[k]
         return out
 
-    def main_text(self, paths: list[str]) -> str:
-        """Text at the first of ``paths`` (keys of them) that occurs, or at the page's own best container."""
+    def both_texts(self, paths: list[str]) -> tuple[str, str | None, str | None]:
+        """Text at the first of ``paths`` (keys of them) that occurs, or at the page's own best container.
+
+        Where these two differ and the best container holds more running text: also the text there, and a digest of both paths.
+        """
+        node, score = self.best()
         if paths:
-            hidden, roots = self.hidden(), {p: set() for p in paths}
-            for i, key in enumerate(self.keys()):
+            hidden, keys, roots = self.hidden(), self.keys(), {p: set() for p in paths}
+            for i, key in enumerate(keys):
                 if key in roots and not hidden[i]:
                     roots[key].add(i)
             for p in paths:
                 if roots[p] and (text := self.extract(roots[p])):
-                    return text
-        return self.extract({self.best()[0]})
+                    if score > 0 and keys[node] != p and len(own := self.extract({node})) > len(text):
+                        return text, own, hashlib.blake2b((p + keys[node]).encode(), digest_size=16).hexdigest()
+                    return text, None, None
+        return self.extract({node}), None, None
+
+    def main_text(self, paths: list[str]) -> str:
+        """Text at the first of ``paths`` that occurs, or at the page's own best container."""
+        return self.both_texts(paths)[0]
 
 
 def decoded(text: str) -> str:
@@ -365,17 +379,23 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, keys in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for source, keys in zip(batch.column(3), batch.column(4).to_pylist(), strict=True):
                 source = source.as_py()
-                texts.append(Page(source).main_text(keys or []) if source else "")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                texts.append(Page(source).both_texts(keys or []) if source else ("", None, None))
+            columns = [pa.array([t[i] for t in texts], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["page_id", "url", "host", "text", "own", "pair"])
         trim()
 
-    own = pages.select("page_id", "url", "html")
-    won = Scratch(pages.sparkSession, "hosts").keep(winners(votes(own)))
+    scratch, own = Scratch(pages.sparkSession, "hosts"), pages.select("page_id", "url", "html")
+    won = scratch.keep(winners(votes(own)))
     hosted = own.withColumn("host", host_of(F.col("url")))
     if won.count() <= BROADCAST_HOSTS:
         joined = hosted.join(F.broadcast(won), "host", "left")
     else:  # pages of frequent hosts stay where they are
         joined = frequent_join(hosted, won, ["host"], "pages", "left")
-    return joined.select("page_id", "url", "html", "keys").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    read = scratch.keep(joined.select("page_id", "url", "host", "html", "keys").mapInArrow(run, f"page_id {kind}, url string, host string, text string, own string, pair string"))
+    together = scratch.keep(read.where(F.col("pair").isNotNull()).groupBy("host", "pair").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= TOGETHER))
+    odd = frequent_join(read.where(F.col("pair").isNotNull()), together, ["host", "pair"], "pages", "left")
+    text = F.when(F.col("pages").isNotNull(), F.col("own")).otherwise(F.col("text"))
+    done = read.where(F.col("pair").isNull()).select("page_id", "url", "text").unionByName(odd.select("page_id", "url", text.alias("text")))
+    return done.withColumn("n_chars", F.length("text").cast("long"))

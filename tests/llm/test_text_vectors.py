@@ -37,6 +37,22 @@ def test_host_consensus_beats_a_page_of_its_own(spark):
     assert got[9] == "The story itself, in short words, is here."
 
 
+def test_a_winning_path_that_is_a_teaser_elsewhere(spark):
+    words = "A story, told in many words, over and over. "
+    plain = "<body><div class='content'><p>" + words * 6 + "</p><p>" + words * 6 + "</p></div></body>"
+    other = "<body><div class='content'><p>In short: read on below.</p></div><div class='story'>" + "".join(f"<p>Paragraph {k}, {words * 3}</p>" for k in range(12)) + "</div></body>"
+    rows = [(i, "http://h.x/", plain) for i in range(8)] + [(20 + i, "http://h.x/", other) for i in range(2)] + [(30, "http://lone.x/", plain), (31, "http://lone.x/", plain), (32, "http://lone.x/", other)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].count("Paragraph") == 12 and "In short" not in got[i] for i in (20, 21))
+    assert got[0].startswith("A story") and got[32] == "In short: read on below."  # one page alone follows its host
+
+
+def test_repeated_pages_come_out_alike(spark):
+    rows = [(1, "http://h.x/", PAGE.format(n=1))] * 3 + [(None, None, None)] * 2
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got if r.page_id == 1] == [TEXT.format(n=1)] * 3 and [(r.text, r.n_chars) for r in got if r.page_id is None] == [("", 0)] * 2
+
+
 def test_broken_markup():
     for source in ("<p><b>x<p>y</div></p>", "<div", "<script>never closed <p>a", "<!-- never closed <p>a", "<a href='>'>x</a>", "<table><tr><td>1<tr><td>2", "&am &amp &bogus; &#x41;", "<p>a</p></article></p>b"):
         html_text.Page(source).main_text([])

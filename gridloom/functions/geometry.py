@@ -16,7 +16,11 @@ Ring = list[tuple[float, float]]
 
 
 def polygons(value: Any) -> list[list[Ring]]:
-    """Polygons (lists of rings) of a geometry, Feature, FeatureCollection, JSON text, file path or ``__geo_interface__``."""
+    """Polygons (lists of rings) of a geometry, Feature, FeatureCollection, JSON text, file path, WKB or ``__geo_interface__``."""
+    from ..sources import vectors
+
+    if vectors.is_vector_file(value) or isinstance(value, (bytes, bytearray, memoryview)):
+        value = vectors.geojson(value)
     if hasattr(value, "__geo_interface__"):
         value = value.__geo_interface__
     if isinstance(value, str):
@@ -49,7 +53,12 @@ def polygons(value: Any) -> list[list[Ring]]:
 
 
 def declared_crs(value: Any) -> str | None:
-    """The CRS that a GeoJSON mapping names, if any."""
+    """The CRS that a GeoJSON mapping or a vector file names, if any."""
+    from ..sources import vectors
+
+    if vectors.is_vector_file(value):
+        named = vectors.crs_of(value)
+        return clean_crs(named) if named else None
     if isinstance(value, dict):
         name = ((value.get("crs") or {}).get("properties") or {}).get("name")
         return clean_crs(name) if name else None

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import projection
+from ..functions import geometry, projection
 from ..functions.crs import DATUMS, ELLIPSOIDS
 from ..meta import Affine
 from ..operators import resample
 from . import grids
-from .queries import CUST, EVT, f32, pixels, query, r6, rounded, shared_path
+from .queries import CUST, EVT, MOSAIC, POLYGON, SQL, f32, pixels, query, r6, rounded, shared_path
 
 # -- projections: a place for every customer --
 
@@ -240,3 +242,23 @@ def plot_raster(spark, d):
 def plot_raster_with_histogram(spark, d):
     shown, bars = grids.events(spark, d).plot_raster_with_histogram("nir", figsize=(100, 100), bins=16, stretch=True)
     return bars.select("bin", "n").crossJoin(F.broadcast(shown.agg(F.count("d1").alias("shown"))))
+
+
+# -- saved mosaics, binary geometry --
+
+
+@query(f"WITH {MOSAIC}, m AS (SELECT row, col, arg_min(b1, prio) FILTER (WHERE b1 IS NOT NULL) AS b1 FROM united GROUP BY 1, 2) SELECT g.row, g.col, {r6('b1', 2)} AS b1 FROM g LEFT JOIN m USING (row, col)")
+def mosaic_saved(spark, d):
+    """A mosaic written as tiles in the shared folder, and opened again."""
+    path = shared_path(spark)
+    e, o = grids.events(spark, d).band(1), grids.orders(spark, d, transform=grids.PLACE.shifted(40, 5)).band(1)
+    assert e.mosaic(o, save_path=path) is None
+    return sources.load_raster(path, spark=spark).df.select("row", "col", rounded("b1", 2).alias("b1"))
+
+
+@query(SQL["clip_polygon"])
+def clip_wkb(spark, d):
+    """The same polygons as well-known binary."""
+    rings = [ring for polygon in geometry.polygons(POLYGON) for ring in polygon]
+    blob = struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r) for r in rings)
+    return pixels(grids.events(spark, d).clip_raster_with_vector(blob), 1)

@@ -117,15 +117,20 @@ def plot_raster_with_histogram(ds: Raster, bands: Any = None, *, cmap: str = "gr
 
 
 @raster_viz
-def plot_composite(ds: Raster, bands: Any, *, stretch: bool = True, figsize: Any = (8, 8), pmin: float = 2, pmax: float = 98, title: str | None = None, save_path: str | None = None, dpi: int = 300) -> DataFrame:
-    """row, col, red, green, blue, alpha; nodata in any channel is transparent."""
+def composite(ds: Raster, bands: Any, *, stretch: bool = True, pmin: float = 2, pmax: float = 98) -> DataFrame:
+    """row, col, red, green, blue, alpha of every pixel, none decimated; nodata in any channel is transparent."""
     if not isinstance(bands, (list, tuple)) or len(bands) != 3:
         raise ValidationError("a composite has three bands")
-    small = _decimated(ds, figsize, dpi)
-    which = [small.meta.band_index(b) for b in bands]
+    which = [ds.meta.band_index(b) for b in bands]
     if stretch:
-        shown = stretched(small, which, pmin, pmax)
+        shown = stretched(ds, which, pmin, pmax)
     else:
-        shown = small._base.select("row", "col", *[small.column(i).cast("double").alias(f"d{k}") for k, i in enumerate(which, 1)])
+        shown = ds._base.select("row", "col", *[ds.column(i).cast("double").alias(f"d{k}") for k, i in enumerate(which, 1)])
     ok = F.col("d1").isNotNull() & F.col("d2").isNotNull() & F.col("d3").isNotNull()
     return shown.select("row", "col", F.col("d1").alias("red"), F.col("d2").alias("green"), F.col("d3").alias("blue"), F.when(ok, 1.0).otherwise(0.0).alias("alpha"))
+
+
+@raster_viz
+def plot_composite(ds: Raster, bands: Any, *, stretch: bool = True, figsize: Any = (8, 8), pmin: float = 2, pmax: float = 98, title: str | None = None, save_path: str | None = None, dpi: int = 300) -> DataFrame:
+    """The composite of a decimated grid."""
+    return composite(_decimated(ds, figsize, dpi), bands, stretch=stretch, pmin=pmin, pmax=pmax)

@@ -40,8 +40,9 @@ def query(sql: str | None = None):
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), digits)
+    """Rounded as the SQL's round() does: the double times a power of ten, to the nearest whole number. Spark's own rounds the decimal that a double is printed as, so halves differ."""
+    c, unit = F.col(c) if isinstance(c, str) else c, F.lit(10.0**digits)
+    return F.round(c.cast("double") * unit) / unit
 
 
 def pixels(r: Raster, *bands: int) -> DataFrame:
@@ -584,7 +585,7 @@ SELECT row, col, {r6('CASE WHEN b1 IS NOT NULL THEN least(greatest((b1 - l1) / (
 {r6('CASE WHEN b3 IS NOT NULL THEN least(greatest((b3 - l3) / (h3 - l3), 0), 1) END', 5)} AS blue, CAST(CASE WHEN b1 IS NOT NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS alpha FROM evt, s"""
 )
 def composite_rgb(spark, d):
-    c = grids.events(spark, d).plot_composite([1, 2, 3])
+    c = viz.composite(grids.events(spark, d), [1, 2, 3])
     return c.select("row", "col", rounded("red", 5).alias("red"), rounded("green", 5).alias("green"), rounded("blue", 5).alias("blue"), "alpha")
 
 

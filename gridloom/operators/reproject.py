@@ -1,4 +1,4 @@
-"""Reprojection: nearest and kernel methods by an approximated transformer on tiles (``warp``), area methods by column formulas."""
+"""Reprojection: kernel methods by an approximated transformer on tiles (``warp``), nearest there at exact places, area methods by column formulas."""
 
 from __future__ import annotations
 
@@ -55,7 +55,7 @@ def warp_onto(ds: Raster, target: Raster, method: Any = "nearest", tolerance: fl
 def reproject_raster(ds: Raster, *, target_crs: Any, resampling_method: Any = "nearest", tolerance: float = TOLERANCE) -> Raster:
     """The raster in another CRS. Pixels that the source doesn't reach are nodata, or 0 on export where none is declared.
 
-    ``tolerance``: by how many source pixels a place may err (nearest and kernel methods); 0 transforms every pixel exactly.
+    ``tolerance``: by how many source pixels a place may err (kernel methods); 0 transforms every pixel exactly, as nearest always does.
     """
     if not isinstance(target_crs, (int, str)) and not hasattr(target_crs, "to_string") or isinstance(target_crs, bool):
         raise ValidationError("a CRS is a code or a string")

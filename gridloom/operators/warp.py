@@ -4,6 +4,7 @@ A target tile knows where its pixels lie in the source from a control grid: exac
 them. The grid is halved until it errs by less than half the tolerance wherever that is measured, and becomes exact where it
 must (at poles, at the antimeridian). A source tile works out, from the same grids, which target tiles read it, and sends each
 the rectangle it reads. So tables never meet by a join: source pixels travel once, as arrays, to the tiles that need them.
+The nearest method draws at exact places, as any error across an edge picks another pixel; the grid only tells it what to read.
 """
 
 from __future__ import annotations
@@ -97,6 +98,10 @@ class Transformer:
         """u and v of every pixel's centre in a rectangle of the target."""
         return _lines(self.grid(r0, r1, c0, c1), r1 - r0, c1 - c0)
 
+    def exact_places(self, r0: int, r1: int, c0: int, c1: int) -> np.ndarray:
+        """The same without an error."""
+        return np.stack(self.exact(*np.meshgrid(np.arange(c0, c1) + 0.5, np.arange(r0, r1) + 0.5)))
+
 
 def _turned(x: np.ndarray, crs: str | None, box: tuple[float, float, float, float]) -> np.ndarray:
     """Longitudes as a grid of that extent counts them: within half a turn of its middle."""
@@ -139,7 +144,7 @@ def warped(ds: Raster, height: int, width: int, transform: Affine, crs: str | No
     """row, col, b1 ... of every pixel of a target grid, NULL where the source doesn't reach; nearest or a kernel method."""
     m, t = ds.meta, Transformer(ds.meta, height, width, transform, crs, tolerance)
     side, count, kinds = tile_side(t), ds.meta.count, [contract.storage(ds.meta.dtype)] * ds.meta.count
-    reach = 1 if method == "nearest" else SUPPORT[method] + 1
+    reach = 1 + math.ceil(tolerance) if method == "nearest" else SUPPORT[method] + 1  # exact places, but pieces sent by the grid's
     across, size = -(-width // side), (m.height, m.width)
 
     def box(tr: int, tc: int) -> tuple[int, int, int, int]:
@@ -198,7 +203,7 @@ def _bounds(x: np.ndarray, side: int) -> tuple[int, int]:
 def _drawn(t: Transformer, box: tuple[int, int, int, int], parts: list[Block], method: str, dtype: str, size: tuple[int, int]) -> Block:
     """A target tile from the pieces it reads."""
     r0, r1, c0, c1 = box
-    u, v = t.places(*box)
+    u, v = (t.exact_places if method == "nearest" else t.places)(*box)
     with np.errstate(invalid="ignore"):
         inside = (u >= 0) & (u < size[1]) & (v >= 0) & (v < size[0])
     u, v = np.where(inside, u, -9.0), np.where(inside, v, -9.0)
